@@ -6,15 +6,19 @@ invented snippet (one of a fixed list, by document) followed by the document's t
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import EXTENSION_LANGUAGE
+from ..sources.files import EXTENSION_LANGUAGE, spread
 from .snippets import SNIPPETS
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A stored table; text tables are spread over the cores."""
+    read = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(read) if name in ("documents", "pages", "conversations") else read
 
 
 def lit(text: str) -> str:
@@ -100,8 +104,31 @@ CODE = """
     len(_PARTS),
 )
 
-LINES = """
-  numbered AS (SELECT repo, path, language, string_split(content, chr(10)) AS all_lines FROM files),
-  lines AS MATERIALIZED (
-    SELECT repo, path, language, all_lines, unnest(all_lines) AS text,
-           (generate_subscripts(all_lines, 1) - 1)::INT AS line FROM numbered)"""
+def lines_sql(prefix: str = "") -> str:
+    """CTEs from `files` to `lines`, numbered from 0."""
+    return f"""
+  {prefix}numbered AS (SELECT repo, path, language, string_split(content, chr(10)) AS all_lines FROM {prefix}files),
+  {prefix}lines AS MATERIALIZED (
+    SELECT repo, path, language, unnest(all_lines) AS text,
+           (generate_subscripts(all_lines, 1) - 1)::INT AS line FROM {prefix}numbered)"""
+
+
+STORED = ("documents", "pages", "conversations", "labels", "events", "customer", "orders", "part", "supplier", "benchmark")
+_views = itertools.count()
+
+
+def sql_table(spark: SparkSession, sf: str, text: str, **tables: DataFrame) -> DataFrame:
+    """Run portable SQL; names in braces are stored tables or the frames given."""
+    for name in (*tables, *STORED):
+        if "{%s}" % name in text:
+            view = f"seclake_{name}_{next(_views)}"
+            (tables[name] if name in tables else table(spark, sf, name)).createOrReplaceTempView(view)
+            text = text.replace("{%s}" % name, view)
+    return spark.sql(text)
+
+
+def duck(text: str, *names: str) -> str:
+    """The same SQL for the oracle, where stored tables are views and frames are CTEs."""
+    for name in (*names, *STORED):
+        text = text.replace("{%s}" % name, name)
+    return text

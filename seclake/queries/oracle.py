@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from ..rules import Rule
 from ..rules.model import ADVISORY, REMINDER, Rx
-from .corpus import LINES, lit
+from .corpus import lines_sql, lit
 
 _LOOK = ("(?=", "(?!", "(?<")
 
@@ -32,7 +32,7 @@ def matches(column: str, patterns: Sequence[Rx | str]) -> str:
     return f"regexp_matches({column}, {lit('|'.join(re2(p) for p in patterns))})"
 
 
-def hits(rules: Sequence[Rule], limit: bool = True) -> str:
+def hits(rules: Sequence[Rule], prefix: str = "", limit: bool = True) -> str:
     """SELECT of (repo, path, language, line, text, number, rule, code, severity, category, kind, col, pattern)."""
     parts, number = [], 0
     for place, r in enumerate(rules):
@@ -47,7 +47,7 @@ def hits(rules: Sequence[Rule], limit: bool = True) -> str:
                 tests.append("NOT " + matches("path", r.skip_paths))
             if r.unless_near:
                 tests.append(
-                    "NOT EXISTS (SELECT 1 FROM lines n WHERE n.repo = l.repo AND n.path = l.path"
+                    f"NOT EXISTS (SELECT 1 FROM {prefix}lines n WHERE n.repo = l.repo AND n.path = l.path"
                     f" AND n.line BETWEEN l.line - 3 AND l.line + 3 AND {matches('n.text', r.unless_near)})"
                 )
             severity = str(r.severity)
@@ -58,7 +58,7 @@ def hits(rules: Sequence[Rule], limit: bool = True) -> str:
                 f"SELECT repo, path, language, line, text, {number} AS number, {place} AS rule, {lit(r.code)} AS code,"
                 f" {severity} AS severity, {lit(r.category)} AS category, {lit(r.kind)} AS kind,"
                 f" length(regexp_extract(text, {before}, 1))::INT AS col, regexp_extract(text, {lit(re2(p))}) AS pattern"
-                f" FROM lines l WHERE {' AND '.join(tests)}"
+                f" FROM {prefix}lines l WHERE {' AND '.join(tests)}"
             )
             number += 1
     return "\n UNION ALL ".join(parts)
@@ -69,15 +69,16 @@ _SCORE = """(CASE WHEN regexp_matches(text, '^\\s*(?:import\\s|export\\s(?:type|
    + CASE WHEN regexp_matches(text, '\\w+\\s*\\(') AND NOT regexp_matches(text, '^\\s*(?:import\\s|export\\s(?:type|interface|default)|const\\s|let\\s|var\\s|type\\s|interface\\s|class\\s)') THEN 1 ELSE 0 END)"""
 
 
-def findings(rules: Sequence[Rule], files: str, name: str = "findings", lines: str = LINES) -> str:
-    """CTEs (after WITH) from a `files` CTE to a findings CTE."""
+def findings(rules: Sequence[Rule], files: str, prefix: str = "") -> str:
+    """CTEs (after WITH) from a `files` CTE to a `findings` CTE; all names start with the prefix."""
     chosen = [r for r in rules if r.kind != ADVISORY]
     words = ",\n".join(f"({lit(r.code)}, {lit(r.message)}, {lit(r.suggestion)})" for r in chosen)
-    return f"""{files},{lines},
-  hits AS ({hits(chosen)}),
-  firsts AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY repo, path, line, rule ORDER BY number) = 1),
-  placed AS (SELECT *, row_number() OVER (PARTITION BY repo, path, code ORDER BY line) AS place, {_SCORE} AS score FROM firsts),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY repo, path, code ORDER BY CASE WHEN place <= 10 THEN score ELSE -1 END DESC, line) AS best FROM placed),
-  words(code, message, suggestion) AS (VALUES {words}),
-  {name} AS (SELECT repo, path, language, line, col, r.code, severity, category, message, suggestion, pattern, text
-             FROM ranked r JOIN words w ON w.code = r.code WHERE kind <> '{REMINDER}' OR best = 1)"""
+    p = prefix
+    return f"""{files},{lines_sql(p)},
+  {p}hits AS ({hits(chosen, p)}),
+  {p}firsts AS (SELECT * FROM {p}hits QUALIFY row_number() OVER (PARTITION BY repo, path, line, rule ORDER BY number) = 1),
+  {p}placed AS (SELECT *, row_number() OVER (PARTITION BY repo, path, code ORDER BY line) AS place, {_SCORE} AS score FROM {p}firsts),
+  {p}ranked AS (SELECT *, row_number() OVER (PARTITION BY repo, path, code ORDER BY CASE WHEN place <= 10 THEN score ELSE -1 END DESC, line) AS best FROM {p}placed),
+  {p}words(code, message, suggestion) AS (VALUES {words}),
+  {p}findings AS MATERIALIZED (SELECT repo, path, language, line, col, r.code, severity, category, message, suggestion, pattern, text
+             FROM {p}ranked r JOIN {p}words w ON w.code = r.code WHERE kind <> '{REMINDER}' OR best = 1)"""

@@ -94,6 +94,16 @@ def read_files(
     )
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Spread a stored table over the cores when it has fewer splits than cores.
+
+    Scanning text is bound by computing, so a small table in one split would leave cores idle. A large
+    table has more splits than cores and is left alone: nothing is shuffled. Call it on a plain read.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(4 * cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def within_size(content: Column, limit: int = MAX_FILE_SIZE, unit: str = "bytes") -> Column:
     """Size guard; 0 switches it off. `unit` is bytes (command line) or characters (editor)."""
     if not limit:
