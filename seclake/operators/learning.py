@@ -32,7 +32,7 @@ def _n(*actions: str) -> Column:
 def rule_stats(actions: DataFrame, keys: tuple[str, ...] = ("code",)) -> DataFrame:
     """Counters per rule, with the time from detection to action."""
     settled = F.col("action").isin("fixed", "ignored", "false_positive", "verified") & F.col("detected_at").isNotNull()
-    took = (F.unix_millis("ts") - F.unix_millis("detected_at")).cast("bigint")
+    took = F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(F.col("detected_at").cast("timestamp"))
     detected = F.when(F.col("action") == "detected", F.col("ts"))
     return actions.groupBy(*keys).agg(
         _n("detected").alias("detections"), _n("false_positive").alias("fps"), _n("fixed").alias("fixed"),

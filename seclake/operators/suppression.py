@@ -106,6 +106,10 @@ def internal_paths(findings: DataFrame) -> DataFrame:
     )
 
 
+def _holds(name: str):
+    return lambda line: line.contains(name)
+
+
 # Names that an ignore list should cover.
 SENSITIVE_NAMES = [".env", "credentials.json", "serviceAccountKey"]
 
@@ -113,17 +117,18 @@ SENSITIVE_NAMES = [".env", "credentials.json", "serviceAccountKey"]
 def uncovered_names(repos: DataFrame, ignore_lists: DataFrame) -> DataFrame:
     """One finding per repository whose .gitignore misses sensitive names. `repos` (repo),
     `ignore_lists` (repo, content)."""
-    listed = ignore_lists.select(
-        "repo", F.filter(F.transform(F.split("content", "\n"), lambda l: F.trim(F.regexp_replace(l, r"^\s+|\s+$", ""))),
-                         lambda l: (l != "") & ~l.startswith("#")).alias("entries"),
+    entries = F.filter(
+        F.transform(F.split("content", "\n"), lambda l: F.regexp_replace(l, r"^\s+|\s+$", "")),
+        lambda l: (l != "") & ~l.startswith("#"),
     )
-    names = F.array(*[F.lit(n) for n in SENSITIVE_NAMES])
+    covers = [F.max(F.exists(entries, _holds(n))).alias(f"c{i}") for i, n in enumerate(SENSITIVE_NAMES)]
+    listed = ignore_lists.groupBy("repo").agg(*covers)
     joined = repos.select("repo").distinct().join(listed, "repo", "left")
-    missing = F.filter(
-        names, lambda n: ~F.exists(F.coalesce("entries", F.array().cast("array<string>")), lambda l: F.contains(l, n))
-    )
-    joined = joined.withColumn("missing", F.array_join(missing, ", ")).where(F.col("missing") != "")
-    path = F.when(F.col("entries").isNull(), ".gitignore (missing)").otherwise(".gitignore")
+    missing = F.concat_ws(", ", *[
+        F.when(~F.coalesce(F.col(f"c{i}"), F.lit(False)), n) for i, n in enumerate(SENSITIVE_NAMES)
+    ])
+    joined = joined.withColumn("missing", missing).where(F.col("missing") != "")
+    path = F.when(F.col("c0").isNull(), ".gitignore (missing)").otherwise(".gitignore")
     return joined.select(
         "repo", path.alias("path"), F.lit("ignore").alias("language"), F.lit(0).alias("line"), F.lit(0).alias("col"),
         F.lit("CRED007a").alias("code"), F.lit(WARNING).alias("severity"), F.lit("secrets-credentials").alias("category"),

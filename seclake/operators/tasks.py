@@ -16,7 +16,7 @@ def interval_days(interval: Column, override: Column) -> Column:
 
 
 def _after(base: Column, days: Column) -> Column:
-    return F.timestamp_millis(F.unix_millis(base) + days.cast("bigint") * 86_400_000)
+    return F.timestamp_millis(F.unix_millis(base.cast("timestamp")) + days.cast("bigint") * 86_400_000)
 
 
 def completed(tasks: DataFrame, at: Column) -> DataFrame:
@@ -32,7 +32,7 @@ def snoozed(tasks: DataFrame, until: Column) -> DataFrame:
 
 
 def rescheduled(tasks: DataFrame, interval: str, now: Column) -> DataFrame:
-    base = F.coalesce("last_completed_at", now)
+    base = F.coalesce(F.col("last_completed_at").cast("timestamp"), now)
     return tasks.withColumn("interval_override", F.lit(interval)).withColumn(
         "next_due_at", _after(base, F.lit(INTERVAL_DAYS[interval]))
     )

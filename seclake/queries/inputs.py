@@ -90,8 +90,8 @@ SELECT 'team' || c_nationkey AS repo, 'svc' || CAST(floor(c_custkey / 8) AS BIGI
     || '[[package]]' || chr(10) || 'name = "rand' || (c_custkey % 4) || '"' || chr(10) || 'version = "0.8.5"' || chr(10) || '[[package]]' || chr(10) || 'name = "nover"'
   WHEN 3 THEN '[package]' || chr(10) || 'name = "app"' || chr(10) || 'version = "9.9.9"' || chr(10) || '[dependencies] ' || chr(10) || 'serde = "^1.0.' || (c_custkey % 9) || '"' || chr(10)
     || 'tokio = { version = "~1.2", features = ["x"] } # io' || chr(10) || 'local = { path = "../l" }' || chr(10) || '[dev-dependencies]' || chr(10) || 'wild = "*"' || chr(10) || 'crit = "=0.' || (c_custkey % 3) || '"'
-  WHEN 4 THEN '<project><properties><v.a>1.' || (c_custkey % 5) || '</v.a><v.b> 2.0 </v.b></properties><dependencies><dependency><groupId>g.one</groupId><artifactId>a</artifactId><version>${v.a}</version></dependency>' || chr(10)
-    || '<dependency><groupId>g.two</groupId>' || chr(10) || '<artifactId>b</artifactId><version>3.' || c_nationkey || '</version></dependency><dependency><groupId>g.x</groupId><artifactId>c</artifactId><version>${none}</version></dependency>'
+  WHEN 4 THEN '<project><properties><v.a>1.' || (c_custkey % 5) || '</v.a><v.b> 2.0 </v.b></properties><dependencies><dependency><groupId>g.one</groupId><artifactId>a</artifactId><version>$' || '{v.a}</version></dependency>' || chr(10)
+    || '<dependency><groupId>g.two</groupId>' || chr(10) || '<artifactId>b</artifactId><version>3.' || c_nationkey || '</version></dependency><dependency><groupId>g.x</groupId><artifactId>c</artifactId><version>$' || '{none}</version></dependency>'
     || '<dependency><groupId>g.y</groupId><artifactId>d</artifactId></dependency><dependency><groupId>g.z</groupId><artifactId>e</artifactId><version>[1,2)</version></dependency></dependencies></project>'
   WHEN 5 THEN 'GIT' || chr(10) || '  specs:' || chr(10) || '    ungem (1.0)' || chr(10) || 'GEM' || chr(10) || '  remote: https://gems.test/' || chr(10) || '  specs:' || chr(10) || '    rails (7.' || (c_custkey % 3) || '.1)' || chr(10)
     || '      rack (>= 2)' || chr(10) || '    rack (2.2.' || (c_custkey % 6) || '-java)' || chr(10) || 'PLATFORMS' || chr(10) || '    ruby (1.0)'
@@ -214,3 +214,4 @@ FINDINGS = oracle.findings(RULES, corpus.CODE)
 
 NEW_FINDINGS = oracle.findings(RULES, f"new_files AS ({duck(EDITED, 'files')})", "new_")
 STATUS_SQL = f"statuses AS ({duck(STATUSES, 'findings')})"
+NEW_FINDINGS_ALL = f"{FINDINGS}, {NEW_FINDINGS}"

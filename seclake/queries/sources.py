@@ -210,7 +210,7 @@ def advisory_feed(spark, sf):
                     F.col("database_specific.severity").alias("stated"))
 
 
-_REPORTS = f"reports AS ({duck(inputs.REPORTS)})"
+REPORTS_SQL = f"reports AS ({duck(inputs.REPORTS)})"
 _SEMVER = lambda v, i: f"nullif(regexp_extract({v}, '^[v^~>=<\\s]*(\\d+)\\.(\\d+)\\.(\\d+)', {i}), '')"
 
 
@@ -226,7 +226,7 @@ OUTDATED = f"""outdated AS (SELECT repo, k AS name, coalesce(nullif(p->>'$.curre
   FROM (SELECT repo, k, body->k AS p FROM (SELECT repo, body::JSON AS body, unnest(json_keys(body)) AS k FROM reports WHERE kind = 'outdated')))"""
 
 
-@query("src25_outdated_report", f"WITH {_REPORTS}, {OUTDATED} SELECT * FROM outdated")
+@query("src25_outdated_report", f"WITH {REPORTS_SQL}, {OUTDATED} SELECT * FROM outdated")
 def outdated_report(spark, sf):
     return reports.outdated(sql_table(spark, sf, inputs.REPORTS))
 
@@ -240,7 +240,7 @@ AUDIT = """audit AS (SELECT repo, k AS name, coalesce(p->>'$.severity', 'info')
   FROM (SELECT repo, v->k AS p FROM (SELECT repo, body::JSON->'$.advisories' AS v, unnest(json_keys(body::JSON->'$.advisories')) AS k FROM reports WHERE kind = 'audit')))"""
 
 
-@query("src26_audit_report", f"WITH {_REPORTS}, {AUDIT} SELECT * FROM audit")
+@query("src26_audit_report", f"WITH {REPORTS_SQL}, {AUDIT} SELECT * FROM audit")
 def audit_report(spark, sf):
     return reports.audit(sql_table(spark, sf, inputs.REPORTS))
 
