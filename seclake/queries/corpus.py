@@ -85,8 +85,12 @@ _PARTS = [(i, *_place(n, e), t) for i, (n, e, t) in enumerate(SNIPPETS)]
 
 def code(spark: SparkSession, sf: str) -> DataFrame:
     """Source files derived from documents."""
+    return code_from(spark, table(spark, sf, "documents"))
+
+
+def code_from(spark: SparkSession, docs: DataFrame) -> DataFrame:
     parts = spark.createDataFrame(_PARTS, "part int, before string, after string, language string, snippet string")
-    docs = table(spark, sf, "documents").withColumn("part", (F.col("doc_id") % len(_PARTS)).cast("int"))
+    docs = docs.withColumn("part", (F.col("doc_id") % len(_PARTS)).cast("int"))
     return docs.join(F.broadcast(parts), "part").select(
         F.col("source").alias("repo"),
         F.concat("before", F.col("doc_id").cast("string"), "after").alias("path"),
@@ -113,7 +117,7 @@ def lines_sql(prefix: str = "") -> str:
            (generate_subscripts(all_lines, 1) - 1)::INT AS line FROM {prefix}numbered)"""
 
 
-STORED = ("documents", "pages", "conversations", "labels", "events", "customer", "orders", "part", "supplier", "benchmark")
+STORED = ("documents", "pages", "conversations", "labels", "events", "customer", "orders", "part", "supplier", "benchmark", "nation")
 _views = itertools.count()
 
 

@@ -144,8 +144,8 @@ VULNERABLE = f"""refs AS ({_REFERENCES}),
   feed AS (SELECT body::JSON AS b FROM ({duck(inputs.FEED)})),
   adv AS (SELECT b->>'$.id' AS id, b->>'$.affected[0].package.name' AS name, b->>'$.affected[0].package.ecosystem' AS ecosystem, CAST(b->'$.affected[0].versions' AS VARCHAR[]) AS versions,
       b->>'$.affected[0].ranges[0].events[1].fixed' AS fixed_version, coalesce(nullif(b->>'$.summary', ''), b->>'$.details') AS summary,
-      CASE WHEN b->>'$.database_specific.severity' = 'CRITICAL' THEN 'critical' WHEN b->>'$.database_specific.severity' = 'moderate' THEN 'moderate' WHEN b->>'$.severity[0].score' LIKE 'CVSS%' THEN 'high'
-           WHEN b->'$.severity' IS NOT NULL THEN 'low' ELSE 'unknown' END AS severity FROM feed),
+      CASE WHEN (b->>'$.database_specific.severity') = 'CRITICAL' THEN 'critical' WHEN (b->>'$.database_specific.severity') = 'moderate' THEN 'moderate' WHEN (b->>'$.severity[0].score') LIKE 'CVSS%' THEN 'high'
+           WHEN (b->'$.severity') IS NOT NULL THEN 'low' ELSE 'unknown' END AS severity FROM feed),
   vulnerable AS (SELECT p.repo, p.dir, p.manifest, p.ecosystem, p.name, p.version, a.id, a.severity, a.summary, a.fixed_version, 'https://osv.dev/vulnerability/' || a.id AS url
       FROM packages p JOIN adv a ON a.ecosystem = p.ecosystem AND a.name = p.name
       WHERE list_contains(a.versions, p.version) OR {_version("p.version")} < {_version("a.fixed_version")})"""
@@ -199,9 +199,9 @@ _TRIGGERS = "SELECT 'team' || (user_id % 5) AS repo, CASE WHEN event_type = 'vie
 DAYS = "CASE coalesce(interval_override, \"interval\") WHEN 'daily' THEN 1 WHEN 'weekly' THEN 7 WHEN 'biweekly' THEN 14 WHEN 'quarterly' THEN 90 ELSE 30 END"
 
 
-@query("jn16_auto_complete", f"""WITH tasks AS ({duck(inputs.TASKS)}), triggers AS ({duck(_TRIGGERS)}), last AS (SELECT repo, trigger, max(at) AS at FROM triggers GROUP BY repo, trigger)
+@query("jn16_auto_complete", f"""WITH tasks AS ({duck(inputs.TASKS)}), triggers AS ({duck(_TRIGGERS)}), last AS (SELECT repo, "trigger" AS kind, max(at) AS at FROM triggers GROUP BY ALL)
 SELECT t.repo, task_id, 'completed' AS status, strftime(at, '%Y-%m-%d %H:%M:%S') AS completed, strftime(at + to_days({DAYS}), '%Y-%m-%d %H:%M:%S') AS due
-FROM tasks t JOIN last l ON l.repo = t.repo AND l.trigger = t.trigger WHERE status IN ('overdue', 'pending')""")
+FROM tasks t JOIN last l ON l.repo = t.repo AND l.kind = t."trigger" WHERE status IN ('overdue', 'pending')""")
 def auto_complete(spark, sf):
     done = tasks.auto_completed(sql_table(spark, sf, inputs.TASKS), sql_table(spark, sf, _TRIGGERS))
     return done.select("repo", "task_id", "status", stamp("last_completed_at").alias("completed"), stamp("next_due_at").alias("due"))
