@@ -37,7 +37,8 @@ def parameters(declaration: Column) -> Column:
 
 def functions(files: DataFrame) -> DataFrame:
     """(file, start, stop) of every function, at most 200 lines long."""
-    ranges = files.select(*FILE, function_ranges(split_lines(F.col("content"))).alias("r"))
+    held = files.select(*FILE, split_lines(F.col("content")).alias("lines"))
+    ranges = held.select(*FILE, function_ranges(F.col("lines")).alias("r"))
     return ranges.select(*FILE, F.explode("r").alias("r")).select(*FILE, "r.start", "r.stop")
 
 

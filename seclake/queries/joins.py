@@ -199,8 +199,8 @@ _TRIGGERS = "SELECT 'team' || (user_id % 5) AS repo, CASE WHEN event_type = 'vie
 DAYS = "CASE coalesce(interval_override, \"interval\") WHEN 'daily' THEN 1 WHEN 'weekly' THEN 7 WHEN 'biweekly' THEN 14 WHEN 'quarterly' THEN 90 ELSE 30 END"
 
 
-@query("jn16_auto_complete", f"""WITH tasks AS ({duck(inputs.TASKS)}), triggers AS ({duck(_TRIGGERS)}), last AS (SELECT repo, "trigger" AS kind, max(at) AS at FROM triggers GROUP BY ALL)
-SELECT t.repo, task_id, 'completed' AS status, strftime(at, '%Y-%m-%d %H:%M:%S') AS completed, strftime(at + to_days({DAYS}), '%Y-%m-%d %H:%M:%S') AS due
+@query("jn16_auto_complete", f"""WITH tasks AS ({duck(inputs.TASKS)}), triggers AS ({duck(_TRIGGERS)}), last AS (SELECT repo, "trigger" AS kind, max("at") AS done FROM triggers GROUP BY ALL)
+SELECT t.repo, task_id, 'completed' AS status, strftime(done, '%Y-%m-%d %H:%M:%S') AS completed, strftime(done + to_days({DAYS}), '%Y-%m-%d %H:%M:%S') AS due
 FROM tasks t JOIN last l ON l.repo = t.repo AND l.kind = t."trigger" WHERE status IN ('overdue', 'pending')""")
 def auto_complete(spark, sf):
     done = tasks.auto_completed(sql_table(spark, sf, inputs.TASKS), sql_table(spark, sf, _TRIGGERS))

@@ -131,7 +131,7 @@ class _Store:
     def run(self, writer) -> DataFrame:
         q = writer.trigger(availableNow=True).start()
         q.awaitTermination()
-        return self.spark.read.schema(self.schema).parquet(self.folder)
+        return self.spark.read.schema(self.schema).parquet(self.folder).drop("batch")
 
 
 def _versions(spark, sf, edited: bool = False) -> DataFrame:
