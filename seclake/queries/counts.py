@@ -53,7 +53,7 @@ def build_baseline(spark, sf):
 @query("agg03_fail_gate", f"""WITH {inputs.FINDINGS}, w AS (SELECT repo, max(severity) AS worst FROM findings GROUP BY repo)
 SELECT repo, worst, 'error' AS fail_on, CASE WHEN worst >= 2 THEN 1 ELSE 0 END AS exit_code FROM w UNION ALL SELECT repo, worst, 'never', 0 FROM w""")
 def fail_gate(spark, sf):
-    found = inputs.findings(spark, sf)
+    found = inputs.stored_findings(spark, sf)
     return statistics.fail_gate(found, "error").withColumn("fail_on", F.lit("error")).unionByName(
         statistics.fail_gate(found, "never").withColumn("fail_on", F.lit("never"))
     )
@@ -73,12 +73,14 @@ _SCORES = f"""{inputs.FINDINGS}, {inputs.STATUS_SQL}, open AS (SELECT f.* FROM f
 
 @query("agg05_security_score", f"WITH {_SCORES} SELECT * FROM scores")
 def score(spark, sf):
-    return statistics.security_score(corpus.code(spark, sf), inputs.findings(spark, sf), inputs.statuses(spark, sf)).drop("grade")
+    found = inputs.stored_findings(spark, sf)
+    return statistics.security_score(corpus.code(spark, sf), found, inputs.statuses(spark, sf, found)).drop("grade")
 
 
 @query("agg06_grade", f"WITH {_SCORES} SELECT repo, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM scores")
 def grade(spark, sf):
-    return statistics.security_score(corpus.code(spark, sf), inputs.findings(spark, sf), inputs.statuses(spark, sf)).select("repo", "score", "grade")
+    found = inputs.stored_findings(spark, sf)
+    return statistics.security_score(corpus.code(spark, sf), found, inputs.statuses(spark, sf, found)).select("repo", "score", "grade")
 
 
 @query("agg07_status_summary", f"""WITH {inputs.FINDINGS}, {inputs.STATUS_SQL} SELECT repo, count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'fixed') AS fixed,
@@ -225,7 +227,7 @@ def history_by_commit(spark, sf):
 
 
 def scan_versions(spark, sf):
-    first, second = inputs.findings(spark, sf), inputs.new_findings(spark, sf)
+    first, second = inputs.stored_findings(spark, sf), inputs.stored_new_findings(spark, sf)
     third = first.where(F.col("severity") > 0)
     return first.withColumn("seq", F.lit(1)).unionByName(second.withColumn("seq", F.lit(2))).unionByName(third.withColumn("seq", F.lit(3)))
 
@@ -262,7 +264,7 @@ def line_scores(spark, sf):
 @query("win03_baseline_budget", f"""WITH {inputs.FINDINGS}, b AS (SELECT repo, path, code, 1 AS n FROM findings GROUP BY ALL), r AS (SELECT f.*, row_number() OVER (PARTITION BY f.repo, f.path, f.code ORDER BY line, col, pattern) <= n AS baselined FROM findings f JOIN b USING (repo, path, code))
 SELECT repo, code, count(*) FILTER (baselined) AS baselined, count(*) FILTER (NOT baselined) AS new_findings FROM r GROUP BY ALL""")
 def baseline_budget(spark, sf):
-    found = inputs.findings(spark, sf)
+    found = inputs.stored_findings(spark, sf)
     baseline = suppression.build_baseline(found).withColumn("n", F.lit(1))
     split = suppression.apply_baseline(found, baseline)
     return split.groupBy("repo", "code").agg(F.count_if("baselined").alias("baselined"), F.count_if(~F.col("baselined")).alias("new_findings"))
@@ -312,8 +314,9 @@ _REGRESSED = f"""{inputs.NEW_FINDINGS_ALL}, {inputs.STATUS_SQL}, regressions AS
 
 
 def regressed(spark, sf):
-    none = inputs.findings(spark, sf).where(F.lit(False)).select("repo", "path", "code", "line")
-    found = lifecycle.regressions(inputs.new_findings(spark, sf), inputs.statuses(spark, sf), none)
+    old = inputs.stored_findings(spark, sf)
+    none = old.where(F.lit(False)).select("repo", "path", "code", "line")
+    found = lifecycle.regressions(inputs.new_findings(spark, sf), inputs.statuses(spark, sf, old), none)
     return found.withColumn("acknowledged", F.col("code") == "AUTH004")
 
 
@@ -350,7 +353,8 @@ def all_insights(spark, sf):
 
 @query("win11_triage_queue", f"""WITH {inputs.FINDINGS}, {inputs.STATUS_SQL} SELECT f.repo, f.path, f.line, f.code, f.severity FROM findings f LEFT JOIN statuses s USING (repo, path, code, line, pattern) WHERE coalesce(s.status, 'pending') = 'pending'""")
 def triage(spark, sf):
-    return lifecycle.triage_queue(inputs.findings(spark, sf), inputs.statuses(spark, sf)).select("repo", "path", "line", "code", "severity")
+    found = inputs.stored_findings(spark, sf)
+    return lifecycle.triage_queue(found, inputs.statuses(spark, sf, found)).select("repo", "path", "line", "code", "severity")
 
 
 @query("win12_first_findings", f"""WITH {inputs.FINDINGS}, n AS (SELECT count(*) AS total_findings FROM findings WHERE severity >= 1)

@@ -151,7 +151,8 @@ WHERE severity_label IN ('Error', 'Warning') AND status = 'pending' AND contains
 def browse(spark, sf):
     from ..operators.lifecycle import with_status
 
-    found = with_status(inputs.findings(spark, sf), inputs.statuses(spark, sf))
+    found = inputs.stored_findings(spark, sf)
+    found = with_status(found, inputs.statuses(spark, sf, found))
     shown = statistics.browse(found, ["Error", "Warning"], status="pending", search="Session", sort="path", ascending=False)
     return shown.select("repo", "path", "line", "code", "severity_label", "category_label", "status")
 

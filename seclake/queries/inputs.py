@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.matching import scan_rules
+from ..plans.workspace import written
 from ..rules import family
 from . import corpus, oracle
 from .corpus import duck, sql_table
@@ -82,20 +83,20 @@ SELECT 'team' || c_nationkey AS repo, 'svc' || CAST(floor(c_custkey / 8) AS BIGI
   CASE CAST(c_custkey % 8 AS INT) WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'go.mod' WHEN 2 THEN 'Cargo.lock' WHEN 3 THEN 'Cargo.toml'
     WHEN 4 THEN 'pom.xml' WHEN 5 THEN 'Gemfile.lock' WHEN 6 THEN 'composer.lock' ELSE 'README.md' END AS file,
   CASE CAST(c_custkey % 8 AS INT)
-  WHEN 0 THEN '# pins' || chr(10) || '-r base.txt' || chr(10) || 'pkg' || (c_custkey % 11) || '==1.' || (c_custkey % 7) || '.0 # why' || chr(10)
+  WHEN 0 THEN '# pins' || chr(10) || '-r base.txt' || chr(10) || 'pkg' || CAST(floor(c_custkey / 48) AS BIGINT) || '==1.' || (c_custkey % 7) || '.0 # why' || chr(10)
     || 'extra[a,b] == 2.0.' || (c_custkey % 3) || ' ; python_version > "3"' || chr(10) || 'loose>=1' || chr(10) || '  spaced==3.' || c_nationkey || '  '
   WHEN 1 THEN 'module x/y' || chr(10) || 'require example.test/one v1.' || (c_custkey % 5) || '.0' || chr(10) || 'require (' || chr(10)
-    || '  example.test/two v2.0.' || (c_custkey % 7) || ' // indirect' || chr(10) || chr(10) || '  example.test/three v0.1.0-rc1' || chr(10) || ')' || chr(10) || 'go 1.20' || chr(10) || 'require example.test/four v1.0.0'
-  WHEN 2 THEN 'version = 3' || chr(10) || chr(10) || '[[package]]' || chr(10) || 'name = "serde"' || chr(10) || 'version = "1.0.' || (c_custkey % 9) || '"' || chr(10) || chr(10)
+    || '  example.test/two' || CAST(floor(c_custkey / 48) AS BIGINT) || ' v2.0.' || (c_custkey % 7) || ' // indirect' || chr(10) || chr(10) || '  example.test/three v0.1.0-rc1' || chr(10) || ')' || chr(10) || 'go 1.20' || chr(10) || 'require example.test/four v1.0.0'
+  WHEN 2 THEN 'version = 3' || chr(10) || chr(10) || '[[package]]' || chr(10) || 'name = "serde' || CAST(floor(c_custkey / 48) AS BIGINT) || '"' || chr(10) || 'version = "1.0.' || (c_custkey % 9) || '"' || chr(10) || chr(10)
     || '[[package]]' || chr(10) || 'name = "rand' || (c_custkey % 4) || '"' || chr(10) || 'version = "0.8.5"' || chr(10) || '[[package]]' || chr(10) || 'name = "nover"'
-  WHEN 3 THEN '[package]' || chr(10) || 'name = "app"' || chr(10) || 'version = "9.9.9"' || chr(10) || '[dependencies] ' || chr(10) || 'serde = "^1.0.' || (c_custkey % 9) || '"' || chr(10)
+  WHEN 3 THEN '[package]' || chr(10) || 'name = "app"' || chr(10) || 'version = "9.9.9"' || chr(10) || '[dependencies] ' || chr(10) || 'serde' || CAST(floor(c_custkey / 48) AS BIGINT) || ' = "^1.0.' || (c_custkey % 9) || '"' || chr(10)
     || 'tokio = { version = "~1.2", features = ["x"] } # io' || chr(10) || 'local = { path = "../l" }' || chr(10) || '[dev-dependencies]' || chr(10) || 'wild = "*"' || chr(10) || 'crit = "=0.' || (c_custkey % 3) || '"'
-  WHEN 4 THEN '<project><properties><v.a>1.' || (c_custkey % 5) || '</v.a><v.b> 2.0 </v.b></properties><dependencies><dependency><groupId>g.one</groupId><artifactId>a</artifactId><version>$' || '{v.a}</version></dependency>' || chr(10)
+  WHEN 4 THEN '<project><properties><v.a>1.' || (c_custkey % 5) || '</v.a><v.b> 2.0 </v.b></properties><dependencies><dependency><groupId>g.one</groupId><artifactId>a' || CAST(floor(c_custkey / 48) AS BIGINT) || '</artifactId><version>$' || '{v.a}</version></dependency>' || chr(10)
     || '<dependency><groupId>g.two</groupId>' || chr(10) || '<artifactId>b</artifactId><version>3.' || c_nationkey || '</version></dependency><dependency><groupId>g.x</groupId><artifactId>c</artifactId><version>$' || '{none}</version></dependency>'
     || '<dependency><groupId>g.y</groupId><artifactId>d</artifactId></dependency><dependency><groupId>g.z</groupId><artifactId>e</artifactId><version>[1,2)</version></dependency></dependencies></project>'
   WHEN 5 THEN 'GIT' || chr(10) || '  specs:' || chr(10) || '    ungem (1.0)' || chr(10) || 'GEM' || chr(10) || '  remote: https://gems.test/' || chr(10) || '  specs:' || chr(10) || '    rails (7.' || (c_custkey % 3) || '.1)' || chr(10)
-    || '      rack (>= 2)' || chr(10) || '    rack (2.2.' || (c_custkey % 6) || '-java)' || chr(10) || 'PLATFORMS' || chr(10) || '    ruby (1.0)'
-  WHEN 6 THEN CASE WHEN c_custkey % 5 = 0 THEN '{"packages": [' ELSE '{"packages": [{"name": "acme/log", "version": "v1.' || (c_custkey % 4) || '.0"}, {"name": "acme/none"}], "packages-dev": [{"name": "acme/test", "version": "9.' || c_nationkey || '"}]}' END
+    || '      rack (>= 2)' || chr(10) || '    rack' || CAST(floor(c_custkey / 48) AS BIGINT) || ' (2.2.' || (c_custkey % 6) || '-java)' || chr(10) || 'PLATFORMS' || chr(10) || '    ruby (1.0)'
+  WHEN 6 THEN CASE WHEN c_custkey % 5 = 0 THEN '{"packages": [' ELSE '{"packages": [{"name": "acme/log' || CAST(floor(c_custkey / 48) AS BIGINT) || '", "version": "v1.' || (c_custkey % 4) || '.0"}, {"name": "acme/none"}], "packages-dev": [{"name": "acme/test", "version": "9.' || c_nationkey || '"}]}' END
   ELSE 'text' END AS content
 FROM {customer}"""
 
@@ -105,8 +106,8 @@ SELECT '{"id": "ADV-' || p_partkey || '", "aliases": ["CVE-' || p_partkey || '"]
   || '", "details": "about ' || p_brand || '", '
   || CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN '"database_specific": {"severity": "CRITICAL"}, ' WHEN 1 THEN '"database_specific": {"severity": "moderate"}, '
      WHEN 2 THEN '"severity": [{"type": "CVSS_V3", "score": "CVSS:3.1/AV:N/AC:L/C:H/I:N/A:N"}], ' WHEN 3 THEN '"severity": [{"type": "X", "score": "7"}, {"type": "CVSS_V3", "score": "CVSS:3.1/AV:L/C:L/I:L/A:L"}], ' ELSE '' END
-  || '"affected": [{"package": {"name": "' || CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'pkg' || (p_size % 11) || '", "ecosystem": "PyPI' WHEN 1 THEN 'example.test/two", "ecosystem": "Go' WHEN 2 THEN 'serde", "ecosystem": "crates.io'
-     WHEN 3 THEN 'g.one:a", "ecosystem": "Maven' WHEN 4 THEN 'rack", "ecosystem": "RubyGems' ELSE 'acme/log", "ecosystem": "Packagist' END
+  || '"affected": [{"package": {"name": "' || CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'pkg' || CAST(floor(p_partkey / 48) AS BIGINT) || '", "ecosystem": "PyPI' WHEN 1 THEN 'example.test/two' || CAST(floor(p_partkey / 48) AS BIGINT) || '", "ecosystem": "Go' WHEN 2 THEN 'serde' || CAST(floor(p_partkey / 48) AS BIGINT) || '", "ecosystem": "crates.io'
+     WHEN 3 THEN 'g.one:a' || CAST(floor(p_partkey / 48) AS BIGINT) || '", "ecosystem": "Maven' WHEN 4 THEN 'rack' || CAST(floor(p_partkey / 48) AS BIGINT) || '", "ecosystem": "RubyGems' ELSE 'acme/log' || CAST(floor(p_partkey / 48) AS BIGINT) || '", "ecosystem": "Packagist' END
   || '"}, "versions": ["1.' || (p_size % 7) || '.0", "1.0.' || (p_size % 9) || '"], "ranges": [{"type": "SEMVER", "events": [{"introduced": "0"}, {"fixed": "' || (p_size % 3) || '.' || (p_size % 5) || '.0"}]}]}]}' AS body,
   p_partkey, p_size
 FROM {part}"""
@@ -204,8 +205,17 @@ def new_findings(spark: SparkSession, sf: str) -> DataFrame:
     return scan_rules(new_files(spark, sf), RULES)
 
 
-def statuses(spark: SparkSession, sf: str) -> DataFrame:
-    return sql_table(spark, sf, STATUSES, findings=findings(spark, sf))
+def stored_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of the first version, scanned once and stored, for queries that use them twice."""
+    return written(findings(spark, sf))
+
+
+def stored_new_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return written(new_findings(spark, sf))
+
+
+def statuses(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
+    return sql_table(spark, sf, STATUSES, findings=found if found is not None else findings(spark, sf))
 
 
 # Oracle CTEs (each starts after WITH).

@@ -91,14 +91,15 @@ def status_overlay(spark, sf):
 @query("jn07_scan_diff", f"""WITH {inputs.NEW_FINDINGS_ALL}
 SELECT *, 'resolved' AS change FROM (SELECT {_KEY} FROM findings EXCEPT SELECT {_KEY} FROM new_findings) UNION ALL SELECT *, 'new' FROM (SELECT {_KEY} FROM new_findings EXCEPT SELECT {_KEY} FROM findings)""")
 def scan_diff(spark, sf):
-    return lifecycle.scan_diff(inputs.findings(spark, sf), inputs.new_findings(spark, sf))
+    return lifecycle.scan_diff(inputs.stored_findings(spark, sf), inputs.stored_new_findings(spark, sf))
 
 
 @query("jn08_auto_verify", f"""WITH {inputs.NEW_FINDINGS_ALL}, {inputs.STATUS_SQL}, gone AS (SELECT {_KEY} FROM findings EXCEPT SELECT {_KEY} FROM new_findings)
 SELECT {_KEY} FROM gone g WHERE (g.line = 0 OR NOT EXISTS (SELECT 1 FROM new_findings n WHERE n.repo = g.repo AND n.path = g.path AND n.code = g.code AND n.pattern = g.pattern))
   AND NOT EXISTS (SELECT 1 FROM statuses s WHERE s.status IN ('verified', 'ignored') AND s.repo = g.repo AND s.path = g.path AND s.code = g.code AND s.line = g.line AND s.pattern = g.pattern)""")
 def auto_verify(spark, sf):
-    return lifecycle.auto_verified(inputs.findings(spark, sf), inputs.new_findings(spark, sf), inputs.statuses(spark, sf))
+    old, new = inputs.stored_findings(spark, sf), inputs.stored_new_findings(spark, sf)
+    return lifecycle.auto_verified(old, new, inputs.statuses(spark, sf, old))
 
 
 @query("jn09_verify_fixes", f"""WITH {inputs.NEW_FINDINGS_ALL}, {inputs.STATUS_SQL}
@@ -114,8 +115,9 @@ _KNOWN = "SELECT repo, path, code, line FROM {findings} WHERE code IN ('AUTH003'
 SELECT DISTINCT f.repo, f.path, f.code, f.line FROM new_findings f JOIN statuses s ON s.status = 'verified' AND s.repo = f.repo AND s.path = f.path AND s.code = f.code
 WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.repo = f.repo AND k.path = f.path AND k.code = f.code AND k.line = f.line)""")
 def regressions(spark, sf):
-    known = sql_table(spark, sf, _KNOWN, findings=inputs.findings(spark, sf))
-    return lifecycle.regressions(inputs.new_findings(spark, sf), inputs.statuses(spark, sf), known).select("repo", "path", "code", "line")
+    old = inputs.stored_findings(spark, sf)
+    known = sql_table(spark, sf, _KNOWN, findings=old)
+    return lifecycle.regressions(inputs.new_findings(spark, sf), inputs.statuses(spark, sf, old), known).select("repo", "path", "code", "line")
 
 
 def packages_of(spark, sf):
