@@ -31,10 +31,29 @@ def needed_words(patterns: list[Pattern]) -> tuple[dict[str, list[int]], list[in
     return words, free
 
 
-def line_candidates(content: Column, patterns: list[Pattern]) -> Column:
-    """array<bigint>: one entry `line * len(patterns) + pattern` per line and possible pattern."""
+# A candidate is one number: line, pattern and two flags of the pattern, from the high bits down.
+_LINE, _NUMBER = 20, 2
+
+
+def candidate_line(candidate: Column) -> Column:
+    return F.shiftright(candidate, _LINE).cast("int")
+
+
+def candidate_number(candidate: Column) -> Column:
+    return F.shiftright(candidate, _NUMBER).bitwiseAND((1 << (_LINE - _NUMBER)) - 1).cast("int")
+
+
+def candidate_flag(candidate: Column, flag: int) -> Column:
+    return candidate.bitwiseAND(flag) != 0
+
+
+def line_candidates(content: Column, patterns: list[Pattern], flags: list[int] | None = None) -> Column:
+    """array<bigint>: one candidate per line and possible pattern. `flags` gives 0 to 3 per pattern."""
     words, free = needed_words(patterns)
-    total = len(patterns)
+    marks = [n << _NUMBER | (flags[n] if flags else 0) for n in range(len(patterns))]
+    words = {w: [marks[n] for n in numbers] for w, numbers in words.items()}
+    free = [marks[n] for n in free]
+    line_bits = _LINE
 
     @F.pandas_udf("array<bigint>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -55,10 +74,10 @@ def line_candidates(content: Column, patterns: list[Pattern]) -> Column:
                 for end, numbers in automaton.iter(low):
                     line += low.count("\n", seen, end)
                     seen = end
-                    found.update(line * total + n for n in numbers)
+                    found.update([line << line_bits | n for n in numbers])
             if free:
                 for i in range(low.count("\n") + 1):
-                    found.update(i * total + n for n in free)
+                    found.update([i << line_bits | n for n in free])
             return sorted(found)
 
         for batch in batches:

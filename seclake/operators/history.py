@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prefilter import line_candidates
+from ..functions.prefilter import candidate_number, line_candidates
 from ..rules import Rule, history_rules
 from ..sources.changes import added_lines
 from .matching import by_pattern, pattern_table
@@ -21,8 +21,8 @@ def history_findings(patches: DataFrame, rules: Sequence[Rule] | None = None) ->
     lines = added_lines(patches.select("repo", "sha", "author", "committed_at", "patch"))
     marked = lines.withColumn("numbers", line_candidates(F.col("text"), patterns))
     pairs = marked.where(F.size("numbers") > 0).select(
-        "repo", "sha", "author", "committed_at", "path", "line", "text", F.explode("numbers").alias("number")
-    ).withColumn("number", F.col("number").cast("int"))
+        "repo", "sha", "author", "committed_at", "path", "line", "text", F.explode(F.transform("numbers", candidate_number)).alias("number")
+    )
     table = pattern_table(patches.sparkSession, rules).select("number", "code", "message", "severity", "regex", "unless", "literal")
     hits = by_pattern(pairs).join(F.broadcast(table), "number").where(
         F.rlike("text", F.col("regex")) & ~F.coalesce(F.rlike("text", F.col("unless")), F.lit(False))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.context import inside_comment, inside_markup_text, inside_string, line_states
 from ..functions.dialect import any_of, java_regex
-from ..functions.prefilter import line_candidates
+from ..functions.prefilter import candidate_flag, candidate_line, candidate_number, line_candidates
 from ..rules import CATEGORY_LABELS, Rule
 from ..rules.model import ADVISORY, REMINDER
 
@@ -93,50 +93,33 @@ def _present(test: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def _numbers(values: Sequence[int]) -> Column:
-    return F.expr("array(" + ",".join(f"{v}L" for v in values) + ")")
+_NEEDS_NEAR, _NEEDS_STATE = 1, 2
 
 
 def possible_pairs(
     files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, line_limit: bool = True
 ) -> DataFrame:
     """(file, line, pattern number) pairs worth a look, with the line and what its rule needs around it."""
-    patterns = [p for r in rules for p in r.match]
     owner = [r for r in rules for _ in r.match]
-    near = [i for i, r in enumerate(owner) if keep_near or r.unless_near]
-    aware = [i for i, r in enumerate(owner) if r.code_only]
-    total = F.lit(len(patterns)).cast("bigint")
-
+    flags = [(_NEEDS_NEAR if keep_near or r.unless_near else 0) + (_NEEDS_STATE if r.code_only else 0) for r in owner]
+    patterns = [p for r in rules for p in r.match]
     keys = [c for c in files.columns if c != "content"]
-    found = (
-        files.withColumn("pairs", line_candidates(F.col("content"), patterns))
-        .where(F.size("pairs") > 0)
-    )
-    found = found.withColumn("lines", split_lines(F.col("content")))
-    if aware:
-        marks = _numbers(aware)
-        asks = F.exists("pairs", lambda p: F.array_contains(marks, p % total))
+    found = files.withColumn("pairs", line_candidates(F.col("content"), patterns, flags)).where(F.size("pairs") > 0)
+    if any(f & _NEEDS_STATE for f in flags):
+        asks = F.exists("pairs", lambda p: candidate_flag(p, _NEEDS_STATE))
         found = found.withColumn("states", line_states(F.when(asks, F.col("content"))))
     else:
         found = found.withColumn("states", F.lit(None).cast("array<int>"))
-
-    all_near = len(near) == len(patterns)
-    near_marks = _numbers(near)
+    found = found.withColumn("lines", split_lines(F.col("content")))
 
     def expand(p: Column) -> Column:
-        number = (p % total).cast("int")
-        line = F.floor(p / total).cast("int")
+        line = candidate_line(p)
         around = F.slice(
-            F.col("lines"), F.greatest(line - REACH + 1, F.lit(1)),
-            F.least(line, F.lit(REACH)) + REACH + 1,
+            F.col("lines"), F.greatest(line - REACH + 1, F.lit(1)), F.least(line, F.lit(REACH)) + REACH + 1
         )
-        if not near:
-            around = F.lit(None).cast("array<string>")
-        elif not all_near:
-            around = F.when(F.array_contains(near_marks, p % total), around)
         return F.struct(
-            line.alias("line"), number.alias("number"), F.get("lines", line).alias("text"),
-            around.alias("near"), F.get("states", line).alias("state"),
+            line.alias("line"), candidate_number(p).alias("number"), F.get("lines", line).alias("text"),
+            F.when(candidate_flag(p, _NEEDS_NEAR), around).alias("near"), F.get("states", line).alias("state"),
         )
 
     pairs = found.select(*keys, F.explode(F.transform("pairs", expand)).alias("pair"))

@@ -117,8 +117,8 @@ def normal_lines(spark, sf):
 @query("fn10_restored_lines")
 def restored_lines(spark, sf):
     log = sql_table(spark, sf, inputs.FIX_LOG)
-    shape = fixes.normal_line(F.col("after"))
-    return log.select("repo", "code", "before", "after", fixes.restored_line(shape, F.col("before")).alias("restored"))
+    shapes = log.select("repo", "code", "before", "after", fixes.normal_line(F.col("after")).alias("shape")).distinct()
+    return shapes.select("repo", "code", "before", "after", fixes.restored_line(F.col("shape"), F.col("before")).alias("restored"))
 
 
 @query("fn11_helper_names", f"""WITH {ACTIONS} SELECT event_id, array_to_string(list_concat(list_filter([{', '.join(lit(h) for h in learning.KNOWN_HELPERS)}], lambda h: contains(line_text, h)),
