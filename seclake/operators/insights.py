@@ -90,11 +90,12 @@ def regression_summary(regressions: DataFrame) -> DataFrame:
     """(repo, regressions, files, sample): unacknowledged ones, with the first three paths."""
     open_ones = regressions.where(~F.coalesce("acknowledged", F.lit(False)))
     per_file = open_ones.groupBy("repo", "path").agg(F.count("*").alias("n"))
-    ranked = per_file.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy("path")))
-    return ranked.groupBy("repo").agg(
-        F.sum("n").alias("regressions"), F.count("*").alias("files"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("place") <= 3, F.col("path")))), ", ").alias("sample"),
-    )
+    totals = per_file.groupBy("repo").agg(F.sum("n").alias("regressions"), F.count("*").alias("files"))
+    # Ranked apart from the totals: a rank limit is applied before the exchange, a rank column is not.
+    by_path = Window.partitionBy("repo").orderBy("path")
+    first = per_file.select("repo", "path", F.row_number().over(by_path).alias("place")).where("place <= 3")
+    sample = first.groupBy("repo").agg(F.array_join(F.sort_array(F.collect_list("path")), ", ").alias("sample"))
+    return totals.join(sample, "repo")
 
 
 def regression_statements(regressions: DataFrame) -> DataFrame:

@@ -102,9 +102,9 @@ def browse(
 def first_findings(findings: DataFrame, limit: int = 200, level: str = "info") -> DataFrame:
     """The first findings in scan order with a flag that says whether more exist."""
     kept = findings.where(F.col("severity") >= {"info": 0, "warning": 1, "error": 2}[level])
-    total = kept.agg(F.count("*").alias("total_findings"))
+    total = kept.agg(F.count("*"))
     top = kept.orderBy("repo", "path", "line", "code", "col").limit(limit)
-    return top.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total_findings") > limit)
+    return top.withColumn("total_findings", total.scalar()).withColumn("truncated", F.col("total_findings") > limit)
 
 
 def scan_estimate(files: DataFrame, batch: int = 50) -> DataFrame:

@@ -360,7 +360,7 @@ def triage(spark, sf):
 @query("win12_first_findings", f"""WITH {inputs.FINDINGS}, n AS (SELECT count(*) AS total_findings FROM findings WHERE severity >= 1)
 SELECT repo, path, line, code, total_findings, total_findings > 200 AS truncated FROM findings, n WHERE severity >= 1 ORDER BY repo, path, line, code, col LIMIT 200""")
 def first_findings(spark, sf):
-    return statistics.first_findings(inputs.findings(spark, sf), 200, "warning").select("repo", "path", "line", "code", "total_findings", "truncated")
+    return statistics.first_findings(inputs.stored_findings(spark, sf), 200, "warning").select("repo", "path", "line", "code", "total_findings", "truncated")
 
 
 @query("win13_by_advisory_severity", f"WITH {DEPENDENCY_PARTS} SELECT repo, dir, name, version, id, severity, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'moderate' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS place FROM vulnerable")

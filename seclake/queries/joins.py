@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import dependencies, fixes, lifecycle, scope, suppression, taint, tasks
 from ..operators.learning import safe_helpers
 from ..operators.matching import line_findings, pick_reminders
+from ..plans.workspace import written
 from ..sources import files as file_source
 from ..sources import manifests, policies, reports
 from . import corpus, inputs
@@ -121,7 +122,8 @@ def regressions(spark, sf):
 
 
 def packages_of(spark, sf):
-    return manifests.packages(sql_table(spark, sf, inputs.MANIFESTS))
+    """Packages, parsed once and stored: the join with advisories reads them twice."""
+    return written(manifests.packages(sql_table(spark, sf, inputs.MANIFESTS)))
 
 
 def advisories_of(spark, sf):

@@ -19,7 +19,7 @@ from .corpus import duck, lines_sql, lit, sql_table
 from .counts import _BUCKET, _LANGS, ACTIONS, STATS, actions
 from .filters import _LABEL, _SEV
 from .joins import advisories_of
-from .registry import query
+from .registry import ORACLES, query
 from .sources import update_type_sql
 
 _PLACES = f"places AS ({duck(inputs.PLACES)})"
@@ -199,16 +199,13 @@ def content_hashes(spark, sf):
 
 
 _STACK = "SELECT 'team' || c_nationkey AS repo, CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN 'Node.js' WHEN 1 THEN 'TypeScript' ELSE 'Engine' END AS component, c_custkey, (c_custkey % 3) || '.' || (c_nationkey % 4) || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE '.1' END AS current FROM {customer}"
-_LATEST = "SELECT CASE WHEN n_regionkey = 0 THEN 'Node.js' ELSE 'TypeScript' END AS component, '1.2.1' AS latest FROM nation WHERE n_regionkey < 2 GROUP BY 1"
+_LATEST = "SELECT DISTINCT CASE n_regionkey WHEN 0 THEN 'Node.js' WHEN 1 THEN 'TypeScript' ELSE 'Runtime' END AS component, '1.2.1' AS latest FROM {nation}"
 
 
-@query("fn19_stack_drift", f"""WITH s AS ({duck(_STACK)}), l AS ({_LATEST}), j AS (SELECT repo, s.component, current, latest, {update_type_sql('current', "coalesce(latest, '')")} AS t, s.component = 'Node.js' AND coalesce(latest, '') <> '' AND current <> latest AS differs FROM s LEFT JOIN l ON l.component = s.component)
+@query("fn19_stack_drift", f"""WITH s AS ({duck(_STACK)}), l AS ({duck(_LATEST)}), j AS (SELECT repo, s.component, current, latest, {update_type_sql('current', "coalesce(latest, '')")} AS t, s.component = 'Node.js' AND coalesce(latest, '') <> '' AND current <> latest AS differs FROM s LEFT JOIN l ON l.component = s.component)
 SELECT repo, component, current, latest, t <> 'unknown' OR differs AS is_outdated, CASE WHEN t <> 'unknown' THEN t WHEN differs THEN 'major' ELSE 'up-to-date' END AS update_type FROM j""")
 def stack_drift(spark, sf):
-    latest = corpus.table(spark, sf, "nation").where("n_regionkey < 2").select(
-        F.when(F.col("n_regionkey") == 0, "Node.js").otherwise("TypeScript").alias("component"), F.lit("1.2.1").alias("latest")
-    ).distinct()
-    return dependencies.stack_drift(sql_table(spark, sf, _STACK).drop("c_custkey"), latest)
+    return dependencies.stack_drift(sql_table(spark, sf, _STACK).drop("c_custkey"), sql_table(spark, sf, _LATEST))
 
 
 @query("fn20_display_text", f"""WITH {oracle.findings(_SURE, corpus.CODE)}, {_CONFIDENCE} SELECT f.repo, f.path, f.line, f.code, CASE confidence WHEN 'critical' THEN '[Critical] ' WHEN 'safe' THEN '[Safe] ' WHEN 'verify-needed' THEN '[Verify Needed] ' ELSE '' END
@@ -234,6 +231,12 @@ def function_ranges(spark, sf):
     return scope.functions(corpus.code(spark, sf)).select("repo", "path", "start", "stop")
 
 
+# The same ranges answer two of the join queries.
+ORACLES["jn13_function_ranges"] = ORACLES["tnt02_function_ranges"]
+ORACLES["jn13_enclosing_functions"] = f"""WITH {inputs.FINDINGS}, ranges AS ({ORACLES["tnt02_function_ranges"]}),
+  inside AS (SELECT f.repo, f.path, f.line, max(start) AS start FROM (SELECT DISTINCT repo, path, line FROM findings) f JOIN ranges r ON r.repo = f.repo AND r.path = f.path AND f.line BETWEEN r.start AND r.stop GROUP BY ALL)
+SELECT f.repo, f.path, f.code, f.line, f.pattern, i.start, r.stop FROM findings f LEFT JOIN inside i ON i.repo = f.repo AND i.path = f.path AND i.line = f.line LEFT JOIN ranges r ON r.repo = i.repo AND r.path = i.path AND r.start = i.start"""
+
 _LABELS = lambda c: "CASE " + " ".join(f"WHEN {oracle.matches(c, [s.expr])} THEN {lit(s.label)}" for s in SOURCES) + " END"
 _DECL = r"(?:^|\s)(?:const|let|var)\s+(\{[^}]+\}|\[[^\]]+\]|[\w$]+)\s*=\s*(.+);?$"
 _SET = r"^\s*([\w$]+)\s*=\s*(.+);?$"

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dialect import any_of
+from ..functions.literals import required
+from ..rules.model import Rx, rx
+
 # What is scanned, what is skipped, and the language of each extension.
 EXTENSIONS = [
     "js", "jsx", "mjs", "cjs", "ts", "tsx", "py", "java", "cs", "php", "go", "rs", "kt", "kts",
@@ -99,9 +104,13 @@ def spread(table: DataFrame) -> DataFrame:
 
     Scanning text is bound by computing, so a small table in one split would leave cores idle. A large
     table has more splits than cores and is left alone: nothing is shuffled. Call it on a plain read.
+    The (always true) row-number test keeps later filters from being moved below the exchange, where
+    they would run on the few cores again.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(4 * cores) if table.rdd.getNumPartitions() < cores else table
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(4 * cores).where(F.monotonically_increasing_id() >= 0)
 
 
 def within_size(content: Column, limit: int = MAX_FILE_SIZE, unit: str = "bytes") -> Column:
@@ -115,15 +124,26 @@ def generated_by_path(path: Column) -> Column:
     return F.lower(F.translate(path, "\\", "/")).rlike("|".join(f"(?:{p})" for p in GENERATED_PATHS))
 
 
+def _matches_any(text: Column, patterns: list[Rx]) -> Column:
+    """One expression for all patterns, run only on text that holds a string one of them needs.
+
+    Plain substring tests are far cheaper than the alternation, and nearly every file fails them.
+    """
+    words = sorted(set().union(*[required(p) for p in patterns]))
+    low = F.lower(text)
+    possible = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    return F.when(possible, text.rlike(any_of(patterns))).otherwise(F.lit(False))
+
+
 def generated_by_content(content: Column) -> Column:
-    return F.substring(content, 1, 500).rlike("(?i)" + "|".join(f"(?:{p})" for p in GENERATED_MARKS))
+    return _matches_any(F.substring(content, 1, 500), [rx(p, "i") for p in GENERATED_MARKS])
 
 
 def minified(content: Column) -> Column:
     sample = F.substring(content, 1, 1000)
     breaks = F.length(sample) - F.length(F.replace(sample, F.lit("\n"), F.lit("")))
     return F.when(breaks == 0, F.length(sample) > 500).otherwise(
-        (F.length(sample) / (breaks + 1) > 300) | sample.rlike("|".join(MINIFIED_SHAPES))
+        (F.length(sample) / (breaks + 1) > 300) | _matches_any(sample, [rx(p) for p in MINIFIED_SHAPES])
     )
 
 
