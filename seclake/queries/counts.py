@@ -10,7 +10,7 @@ from . import corpus, inputs
 from .corpus import duck, lit, sql_table
 from .filters import LEAKS, _LABEL, _SEV
 from .joins import DAYS, DEPENDENCY_PARTS, dependency_parts, stamp
-from .registry import query
+from .registry import ORACLES, query
 
 ACTIONS = f"actions AS MATERIALIZED ({duck(inputs.ACTIONS)})"
 SCANS = f"scans AS ({duck(inputs.SCANS)})"
@@ -400,3 +400,10 @@ def due_dates(spark, sf):
     state = tasks.swept(t, now).select("repo", "task_id", "status", "newly_overdue")
     both = day(tasks.completed(t, now), "due_if_completed").join(day(tasks.rescheduled(t, "biweekly", now), "due_if_biweekly"), ["repo", "task_id"])
     return state.join(both, ["repo", "task_id"])
+
+
+# The log's lines have known pieces, so the fix put back into a line can be spelled out.
+ORACLES["jn12_fix_lookup"] = f"""WITH {FIX_LOG}, {_SHAPES}, {_BEST}, l AS (SELECT DISTINCT repo, code, language, before AS text FROM fix_log),
+  p AS (SELECT *, regexp_extract(text, '(total[0-9]+)', 1) AS t, regexp_extract(text, '[*] ([0-9]+)', 1) AS k, regexp_extract(text, '"a([0-9]+)"', 1) AS u FROM l)
+SELECT p.repo, p.code, p.language, p.text, CASE WHEN starts_with(norm_after, 'const') THEN '  const ' || t || ' = sanitize(price, ' || k || ', "a' || u || '");' ELSE '  let ' || t || ' = price(a' || u || ');' END AS suggested,
+  {_R('CASE WHEN applied > 0 THEN succeeded::DOUBLE / applied ELSE 0 END')} AS success_rate FROM p JOIN best b ON b.repo = p.repo AND b.code = p.code AND b.language = p.language"""

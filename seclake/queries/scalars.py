@@ -255,13 +255,19 @@ def sanitiser_lines(spark, sf):
     return files.lines(corpus.code(spark, sf)).where(F.col("text").rlike(any_of(SANITISERS))).select("repo", "path", "line")
 
 
-@query("tnt05_tainted_variables")
-def tainted_variables(spark, sf):
-    hits = taint.taint_hits(corpus.code(spark, sf)).where(F.col("name").isNotNull())
-    return hits.groupBy("repo", "name", "label").agg(F.count("*").alias("uses"))
-
-
-@query("tnt06_sink_calls")
+_CALLS = "\n UNION ALL ".join(
+    f"SELECT repo, path, line, {n} AS sink, regexp_extract(text, {lit('(?s)^.*?(?:' + k.call.text + ')(.*)$')}, 1) AS rest FROM lines WHERE {oracle.matches('text', [k.call])}"
+    for n, k in enumerate(SINKS)
+)
+_CALLED = f"""calls AS ({_CALLS}),
+  marks AS (SELECT *, unnest(string_split(rest, '')) AS ch, generate_subscripts(string_split(rest, ''), 1) AS i FROM calls),
+  depths AS (SELECT *, 1 + sum(CASE ch WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY repo, path, line, sink ORDER BY i ROWS UNBOUNDED PRECEDING) AS depth FROM marks),
+  closes AS (SELECT repo, path, line, sink, min(i) AS stop FROM depths WHERE depth = 0 GROUP BY ALL),
+  cut AS (SELECT c.repo, c.path, c.line, c.sink, CASE WHEN stop IS NULL THEN rest ELSE rest[1:stop - 1] END AS args FROM calls c LEFT JOIN closes USING (repo, path, line, sink)),
+  called AS (SELECT *, {_LABELS('args')} AS direct FROM cut)"""
+
+
+@query("tnt06_sink_calls", f"WITH {corpus.CODE},{lines_sql()}, {_CALLED} SELECT repo, path, line, sink, args, direct FROM called")
 def sink_calls(spark, sf):
     """Sinks on each line with their arguments and the source they name directly."""
     rows = files.lines(corpus.code(spark, sf)).where(F.col("text").rlike(any_of([s.call for s in SINKS])))
@@ -269,6 +275,36 @@ def sink_calls(spark, sf):
     return calls.select("repo", "path", "line", "s.sink", "s.args", "s.direct")
 
 
-@query("tnt07_taint_findings")
+_WORD = lambda text, name: f"regexp_matches({text}, '\\b' || replace({name}, '$', '\\$') || '\\b')"
+# A variable counts at a line when it was tainted there or before, inside the function, and no line since
+# then (up to and including this one) both cleans and names it. Variables are tried by age.
+TAINT = f"""assigned AS ({ORACLES["tnt03_tainting_assignments"]}), ranges AS ({ORACLES["tnt02_function_ranges"]}), cleaners AS (SELECT repo, path, line, text FROM lines WHERE {oracle.matches('text', SANITISERS)}),
+  {_CALLED},
+  visits AS (SELECT r.start, r.stop, c.* FROM ranges r JOIN called c ON c.repo = r.repo AND c.path = r.path AND c.line BETWEEN r.start AND r.stop
+      WHERE NOT EXISTS (SELECT 1 FROM assigned a WHERE a.repo = c.repo AND a.path = c.path AND a.line = c.line)),
+  named AS (SELECT v.repo, v.path, v.start, v.line, v.sink, a.name, a.line AS came, a.label,
+        (SELECT max(k.line) FROM cleaners k WHERE k.repo = v.repo AND k.path = v.path AND k.line BETWEEN v.start AND v.line AND {_WORD('k.text', 'a.name')}) AS cleaned
+      FROM visits v JOIN assigned a ON a.repo = v.repo AND a.path = v.path AND a.line >= v.start AND a.line < v.line WHERE {_WORD('v.args', 'a.name')}),
+  alive AS (SELECT repo, path, start, line, sink, name, min(came) AS born, max(came) AS source_line, max_by(label, came) AS label FROM named WHERE cleaned IS NULL OR came >= cleaned GROUP BY ALL),
+  eldest AS (SELECT * FROM alive QUALIFY row_number() OVER (PARTITION BY repo, path, start, line, sink ORDER BY born) = 1),
+  reached AS (SELECT v.repo, v.path, v.start, v.line, v.sink, CASE WHEN v.direct IS NULL THEN e.name END AS name, CASE WHEN v.direct IS NULL THEN e.source_line END AS source_line, coalesce(v.direct, e.label) AS label
+      FROM visits v LEFT JOIN eldest e ON e.repo = v.repo AND e.path = v.path AND e.start = v.start AND e.line = v.line AND e.sink = v.sink WHERE v.direct IS NOT NULL OR e.name IS NOT NULL),
+  tainted AS (SELECT DISTINCT repo, path, line, sink, name, source_line, label FROM (SELECT * FROM reached QUALIFY row_number() OVER (PARTITION BY repo, path, start, line ORDER BY sink) = 1)),
+  sinks(sink, code, category, what, call) AS (VALUES {", ".join(f"({i}, {lit(k.code)}, {lit(k.category)}, {lit(k.message)}, {lit(k.call.text)})" for i, k in enumerate(SINKS))}),
+  taint_findings AS (SELECT repo, path, line, code, 2 AS severity, CASE WHEN name IS NULL THEN what || ' — direct flow from ' || label
+      ELSE what || ' — ''' || name || ''' was tainted at line ' || (source_line + 1) || ' (source: ' || label || ')' END AS message, call AS pattern FROM tainted JOIN sinks USING (sink))"""
+_TAINT = f"{corpus.CODE},{lines_sql()}, {TAINT}"
+ORACLES["jn14_taint_as_of"] = f"WITH {_TAINT} SELECT repo, path, line, sink, name, source_line, label FROM tainted WHERE name IS NOT NULL"
+ORACLES["set01_all_findings"] = f"""WITH {inputs.FINDINGS}, {TAINT} SELECT repo, path, line, code, severity, pattern FROM findings
+UNION ALL SELECT repo, path, line, code, severity, pattern FROM taint_findings"""
+
+
+@query("tnt05_tainted_variables", f"WITH {_TAINT} SELECT repo, name, label, count(*) AS uses FROM tainted WHERE name IS NOT NULL GROUP BY ALL")
+def tainted_variables(spark, sf):
+    hits = taint.taint_hits(corpus.code(spark, sf)).where(F.col("name").isNotNull())
+    return hits.groupBy("repo", "name", "label").agg(F.count("*").alias("uses"))
+
+
+@query("tnt07_taint_findings", f"WITH {_TAINT} SELECT repo, path, line, code, severity, message FROM taint_findings")
 def taint_findings(spark, sf):
     return taint.taint_findings(corpus.code(spark, sf)).select("repo", "path", "line", "code", "severity", "message")
