@@ -94,7 +94,7 @@ def inside_comment(text: Column, col: Column, state: Column) -> Column:
     even = (_quotes(before, "'") == 0) & (_quotes(before, '"') == 0) & (_quotes(before, "`") == 0)
     after_slashes = (slashes > 0) & (col > slashes - 1) & even
     # Opened on this line, with no close between the opener and the match.
-    left_open = F.substring(text, F.lit(1), col).rlike(r"(?s)/\*(?:(?!\*/).)*\z")
+    left_open = F.substring(text, F.lit(1), col).rlike(r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+\z")
     at_opener = (F.substring(text, col + 1, F.lit(2)) == "/*") | (
         (col > 0) & (F.substring(text, col, F.lit(2)) == "/*")
     )

@@ -308,3 +308,18 @@ def tainted_variables(spark, sf):
 @query("tnt07_taint_findings", f"WITH {_TAINT} SELECT repo, path, line, code, severity, message FROM taint_findings")
 def taint_findings(spark, sf):
     return taint.taint_findings(corpus.code(spark, sf)).select("repo", "path", "line", "code", "severity", "message")
+
+
+_HEAD_NAMES = "list_filter(list_transform(string_split(regexp_extract(h.text, '^[^(]*\\(([^)]*)\\)', 1), ','), lambda p: regexp_extract(trim(p), '^(\\w+)', 1)), lambda n: n <> '')"
+_DECLARES = "'(?:const|let|var)\\s+' || replace(name, '$', '\\$') || '\\b'"
+ORACLES["jn15_definitions"] = f"""WITH {_TAINT},
+  inside AS (SELECT f.repo, f.path, f.line, max(r.start) AS start FROM (SELECT DISTINCT repo, path, line FROM taint_findings) f JOIN ranges r ON r.repo = f.repo AND r.path = f.path AND f.line BETWEEN r.start AND r.stop GROUP BY ALL),
+  placed AS (SELECT f.repo, f.path, f.line, f.code, i.start, r.stop, l.text FROM taint_findings f JOIN inside i USING (repo, path, line) JOIN ranges r ON r.repo = i.repo AND r.path = i.path AND r.start = i.start
+      JOIN lines l ON l.repo = f.repo AND l.path = f.path AND l.line = f.line),
+  words AS (SELECT * EXCLUDE (text), unnest(list_distinct(list_filter(regexp_extract_all(text, '\\b([a-zA-Z_$][\\w$]*)\\b', 1), lambda x: length(x) >= 2 AND x NOT IN ({_KEYWORDS})))) AS name FROM placed),
+  found AS (SELECT w.*, list_contains({_HEAD_NAMES}, name) AS given,
+      (SELECT max(b.line) FROM lines b WHERE b.repo = w.repo AND b.path = w.path AND b.line >= w.start AND b.line < w.line AND regexp_matches(b.text, {_DECLARES} || '|\\b' || replace(name, '$', '\\$') || '\\s*=')) AS earlier,
+      (SELECT min(a.line) FROM lines a WHERE a.repo = w.repo AND a.path = w.path AND a.line > w.line AND a.line <= w.stop AND regexp_matches(a.text, {_DECLARES})) AS later
+    FROM words w JOIN lines h ON h.repo = w.repo AND h.path = w.path AND h.line = w.start),
+  told AS (SELECT *, CASE WHEN given THEN 'parameter' WHEN earlier IS NOT NULL THEN 'before' WHEN later IS NOT NULL THEN 'after' END AS kind, CASE WHEN given THEN start ELSE coalesce(earlier, later) END AS definition_line FROM found)
+SELECT t.repo, t.path, t.line, t.code, t.name, t.kind, t.definition_line, trim(d.text) AS definition_text FROM told t JOIN lines d ON d.repo = t.repo AND d.path = t.path AND d.line = t.definition_line WHERE kind IS NOT NULL"""

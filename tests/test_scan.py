@@ -147,3 +147,16 @@ def test_plan_moves_hits_not_text(files):
     assert len(exchanges) == 1 and "content" not in exchanges[0]
     taint = taint_findings(files(("a", "b")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in taint
+
+
+def test_very_long_lines(spark, files):
+    """No expression recurses with the length of a line."""
+    from seclake.operators.fixes import normal_line
+
+    long = "g('" + "ab " * 60_000 + "' /* " + "* " * 20_000 + "function f() { exec(req.body.a" + "(" * 30_000 + "\n}"
+    assert taint_hits(files(("a.js", long))).count() == 1
+    assert scan_rules(files(("a.js", long)), all_rules()).count() == 0
+    shape = files(("a.js", long)).select(normal_line(F.col("content")).alias("s")).first().s
+    assert shape.startswith("$VAR1($STRING")
+    edge = "a" * 900 + "/*" + "*" * 900 + " eval(x)"
+    assert scan_rules(files(("b.js", edge)), [rule("FE001")]).count() == 0
