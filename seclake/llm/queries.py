@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import decontamination, exact_dedup, line_dedup, packing, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,3 +31,42 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op1_packing")
 def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents"))
+
+
+@query("op7_exact_dedup", """
+WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM t WINDOW g AS (PARTITION BY text_sha256)""")
+def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf, "documents"))
+
+
+@query("op9_line_dedup", """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN c ON k.key = c.key GROUP BY doc_id""")
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = line_dedup.kept_lines(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+URL_RULES = [
+    url_filters.UrlRule("allow", "com", "/"),
+    url_filters.UrlRule("block", "example.com", "/en/"),
+    url_filters.UrlRule("allow", "www.example.com", "/en/"),
+    url_filters.UrlRule("block", "net", "/es/"),
+    url_filters.UrlRule("block", "net", "/fr/"),
+]
+
+
+@query("op3_url_filters")
+def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf, "pages"), URL_RULES).drop("shape")
