@@ -63,12 +63,20 @@ class Codes(dict):
     def __init__(self, seed: int = 0) -> None:
         super().__init__()
         self.seed, self.hashes = seed, []
+        self._table = np.zeros(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self.hashes.append(xxhash.xxh3_64_intdigest(word, self.seed))
         code = self[word] = len(self)
         return code
 
+    def table(self) -> np.ndarray:
+        """The hashes by number."""
+        new = self.hashes[len(self._table) :]
+        if new:
+            self._table = np.concatenate([self._table, np.array(new, np.uint64)])
+        return self._table
+
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 

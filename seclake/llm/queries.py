@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, line_dedup, packing, url_filters
+from . import decontamination, exact_dedup, line_dedup, packing, simhash_dedup, substring_dedup, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,3 +70,13 @@ URL_RULES = [
 @query("op3_url_filters")
 def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf, "pages"), URL_RULES).drop("shape")
+
+
+@query("op8_simhash_dedup")
+def op8_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf, "documents"), with_text=False)
