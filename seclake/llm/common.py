@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.workspace import written
@@ -57,6 +57,24 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return hot.unionByName(cold)
 
 
+def bounded_sample(rows: DataFrame, class_col: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """Of the (class, text) rows at most `most_rows` different texts a class and `most_bytes` bytes of text in all.
+
+    Texts are taken in the order of their hash, so the sample does not depend on how the table is stored. A class
+    with more rows is thinned by that hash in the scan, before anything is shuffled.
+    """
+    counts = {r[class_col]: r["count"] for r in rows.groupBy(class_col).count().collect()}
+    at = F.xxhash64("text")
+    share = most_bytes // max(1, len(counts))
+    thin = F.lit(False)
+    for name, n in counts.items():
+        thin = thin | ((F.col(class_col) == F.lit(name)) & (F.pmod(at, F.lit(1 << 20)) <= F.lit(int(1.5 * most_rows / n * (1 << 20)))))
+    few = rows.where(thin).where(F.octet_length("text") <= share).select(class_col, "text", at.alias("_at")).dropDuplicates([class_col, "_at"])
+    order = Window.partitionBy(class_col).orderBy("_at")
+    ranked = few.withColumn("_n", F.row_number().over(order)).withColumn("_sum", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranked.where((F.col("_n") <= most_rows) & (F.col("_sum") <= share)).select(class_col, "text")
+
+
 class Codes(dict):
     """Numbers of words in the order in which they are first seen, with the words' 64-bit hashes."""
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, line_dedup, packing, simhash_dedup, substring_dedup, url_filters
+from . import decontamination, exact_dedup, language_id, line_dedup, packing, simhash_dedup, substring_dedup, toxicity, url_filters
+from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +81,18 @@ def op8_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_substring_dedup")
 def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf, "documents"), with_text=False)
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = language_id.fit(docs.where(~held))
+    return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held = table(spark, sf, "documents"), held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, table(spark, sf, "labels").where(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
