@@ -4,15 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seclake.llm import packing
+from seclake.llm import decontamination, exact_dedup, packing, simhash_dedup, toxicity
 from seclake.plans.workspace import written
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not find toxic; it learns from the labels of the documents given."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the largest identifier of each group of equal texts."""
+    return exact_dedup.without_copies(docs)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest identifier of each group of near copies."""
+    return simhash_dedup.one_of_each(docs)
+
+
+def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences."""
     return packing.packed(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("toxicity", clean), ("exact dedup", unique), ("SimHash near-dedup", distinct), ("benchmark decontamination", unleaked), ("best-fit packing", pack)]
+#: A trained classifier and a packing plan are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

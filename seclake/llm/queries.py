@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, line_dedup, packing, simhash_dedup, substring_dedup, toxicity, url_filters
+from . import decontamination, exact_dedup, language_id, line_dedup, packing, simhash_dedup, substring_dedup, token_counts, toxicity, url_filters
+from ..plans.workspace import shared_folder
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +97,21 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, held = table(spark, sf, "documents"), held_out(F.col("doc_id"), 5, 0)
     model = toxicity.fit(docs, table(spark, sf, "labels").where(~held))
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of all documents; then those labelled toxic are deleted, and those of low quality are revised to hold an end token.
+
+    The last batch is sent twice, of which the second has no effect.
+    """
+    store = token_counts.CountStore(spark, shared_folder(spark))
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    store.commit(1, token_counts.changes(token_counts.token_counts(docs, {"bpe": "word_bpe_49k.json", "words": "words"}), "insert"))
+    known = store.ledger().join(labels.select("doc_id", "quality", "toxic"), "doc_id")
+    store.commit(2, token_counts.changes(known.where("toxic = 1"), "delete"))
+    low = known.where("quality = 0 AND toxic = 0 AND version = 'bpe'").withColumn("n_tokens", F.col("n_tokens") + 1)
+    for _ in range(2):
+        store.commit(3, token_counts.changes(low, "revise"))
+    store.compact()
+    return store.totals()
