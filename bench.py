@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -24,10 +25,11 @@ HEADLINES = [
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    folder = tempfile.TemporaryDirectory(prefix="bench-")  # local mode: driver and executors are one process
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", folder.name).config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,6 +46,7 @@ def main() -> None:
         "sf": os.path.basename(sf.rstrip("/")),
     }))
     spark.stop()
+    folder.cleanup()
 
 
 if __name__ == "__main__":

@@ -26,22 +26,49 @@ def update_type(current: Column, latest: Column) -> Column:
     )
 
 
+_PARTS = "array<decimal(38,0)>"
+
+
 def version_key(version: Column) -> Column:
-    """An array that orders dotted versions: six numeric parts, then 0 for a pre-release, 1 otherwise."""
-    clean = F.regexp_replace(version, r"^[v=\s]+", "")
+    """A struct that orders versions: all numeric parts, then development and pre-releases before the release and
+    post-releases after it, each by its words and numbers. Build metadata after `+` does not count."""
+    clean = F.lower(F.regexp_replace(F.regexp_replace(version, r"^[v=\s]+", ""), r"\+.*$", ""))
     core = F.regexp_extract(clean, r"^([0-9]+(?:\.[0-9]+)*)", 1)
-    parts = F.transform(F.split(core, r"\."), lambda p: F.coalesce(F.try_to_number(p, F.lit("9999999999999999")).cast("bigint"), F.lit(0)))
-    padded = F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), 6)), 1, 6)
-    pre = F.length(clean) > F.length(core)
-    plain = clean.rlike(r"^[0-9.]+\+")
-    return F.when(core != "", F.concat(padded, F.array(F.when(pre & ~plain, 0).otherwise(1).cast("bigint"))))
+    trimmed = F.regexp_replace(core, r"(?:\.0+)+$", "")  # 1.2 and 1.2.0 are equal
+    parts = F.transform(F.split(trimmed, r"\."), lambda p: F.coalesce(p.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))).cast(_PARTS)
+    rest = F.substring(clean, F.length(core) + 1, F.length(clean))
+    words = F.regexp_extract_all(rest, F.lit("[0-9]+|[a-z]+"), F.lit(0))
+    order = F.transform(
+        words,
+        # Numbers come before words, and by value.
+        lambda w: F.struct(
+            F.when(w.rlike("^[0-9]"), 0).otherwise(1).alias("kind"),
+            F.coalesce(w.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("number"),
+            F.when(w.rlike("^[0-9]"), "").otherwise(w).alias("word"),
+        ),
+    )
+    first = F.get(words, F.lit(0))
+    stage = (
+        F.when(F.size(words) == 0, 2).when(first.isin("post", "rev", "r", "sp", "patch"), 3).when(first == "dev", 0)
+        .when(first.isin("final", "ga", "release"), 2).otherwise(1)
+    )
+    empty = F.array().cast("array<struct<kind:int,number:decimal(38,0),word:string>>")
+    return F.when(core != "", F.struct(parts.alias("parts"), stage.alias("stage"), F.when(stage == 2, empty).otherwise(order).alias("order")))
 
 
-def in_range(version: Column, introduced: Column, fixed: Column) -> Column:
-    """introduced <= version < fixed; "0" or null opens the lower end, null the upper."""
+def in_range(version: Column, introduced: Column, fixed: Column, last_affected: Column | None = None) -> Column:
+    """introduced <= version, and version < fixed or version <= last_affected; "0" or null opens the lower end, nulls the upper."""
     v = version_key(version)
     low = introduced.isNull() | (introduced == "0") | (v >= version_key(introduced))
-    return low & (fixed.isNull() | (v < version_key(fixed)))
+    high = fixed.isNull() | (v < version_key(fixed))
+    if last_affected is not None:
+        high = F.when(fixed.isNotNull(), v < version_key(fixed)).otherwise(last_affected.isNull() | (v <= version_key(last_affected)))
+    return low & high
+
+
+def package_name(name: Column, ecosystem: Column) -> Column:
+    """The form in which names are compared: PyPI takes case, `-`, `_` and `.` as equal."""
+    return F.when(ecosystem == "PyPI", F.lower(F.regexp_replace(name, "[-_.]+", "-"))).otherwise(name)
 
 
 def audit_severity(severity: Column) -> Column:
@@ -74,10 +101,18 @@ def severity_rank(severity: Column) -> Column:
     return chain.otherwise(len(order))
 
 
+def version_range(r: Column) -> Column:
+    """Whether a range counts versions; ranges of commits do not."""
+    return F.coalesce(F.upper(r["type"]), F.lit("ECOSYSTEM")) != "GIT"
+
+
 def first_fixed(affected: Column, name: Column, ecosystem: Column) -> Column:
     """First fixed version the advisory lists for the package."""
-    own = F.filter(affected, lambda a: (a["package"]["name"] == name) & (a["package"]["ecosystem"] == ecosystem))
-    ranges = F.flatten(F.transform(own, lambda a: F.coalesce(a["ranges"], F.expr("array()").cast(
-        "array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>"))))
+    own = F.filter(
+        affected,
+        lambda a: (package_name(a["package"]["name"], a["package"]["ecosystem"]) == package_name(name, ecosystem)) & (a["package"]["ecosystem"] == ecosystem),
+    )
+    ranges = F.flatten(F.transform(own, lambda a: F.coalesce(F.filter(a["ranges"], version_range), F.expr("array()").cast(
+        "array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>"))))
     events = F.flatten(F.transform(ranges, lambda r: r["events"]))
     return F.get(F.filter(F.transform(events, lambda e: e["fixed"]), lambda f: f.isNotNull()), F.lit(0))

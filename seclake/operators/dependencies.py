@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.versions import (
-    advisory_severity, audit_severity, first_fixed, in_range, severity_rank, update_type,
+    advisory_severity, audit_severity, first_fixed, in_range, package_name, severity_rank, update_type, version_range,
 )
 from ..rules.model import INFO, WARNING
 
@@ -18,45 +18,40 @@ def vulnerable_packages(packages: DataFrame, advisories: DataFrame) -> DataFrame
     """Package rows with the advisories that hit them.
 
     Versions are compared once per distinct (ecosystem, name, version), however many repositories use
-    it, and advisories are cut to (key, versions, ranges) before the join.
+    it; names meet in the form in which their ecosystem compares them. An advisory's facts about a package travel with its ranges, so
+    that the advisories are read once.
     """
-    affected = advisories.select("id", F.explode("affected").alias("a")).select(
-        "id", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"),
-        F.col("a.versions").alias("versions"), F.col("a.ranges").alias("ranges"),
+    facts = advisories.select(
+        "id", F.coalesce("aliases", F.expr("array()").cast("array<string>")).alias("aliases"),
+        F.coalesce(F.nullif("summary", F.lit("")), F.nullif(F.substring_index("details", "\n", 1), F.lit(""))).alias("summary"),
+        advisory_severity(F.col("database_specific.severity"), F.transform("severity", lambda s: s["score"])).alias("severity"),
+        "affected", F.explode("affected").alias("a"),
+    )
+    affected = facts.select(
+        "id", "aliases", "summary", "severity", F.col("a.package.ecosystem").alias("ecosystem"),
+        package_name(F.col("a.package.name"), F.col("a.package.ecosystem")).alias("known_as"),
+        F.col("a.versions").alias("versions"), F.filter("a.ranges", version_range).alias("ranges"),
+        first_fixed(F.col("affected"), F.col("a.package.name"), F.col("a.package.ecosystem")).alias("fixed_version"),
     )
-    used = packages.select("ecosystem", "name", "version").distinct()
+    used = packages.select("ecosystem", package_name(F.col("name"), F.col("ecosystem")).alias("known_as"), "version").distinct()
 
     def spans(r):
-        # Each "introduced" event opens a span that the next "fixed" event closes.
+        # Each "introduced" event opens a span that the next "fixed" or "last_affected" event closes.
+        def later(i, field):
+            return F.get(F.filter(F.transform(F.slice(r["events"], i + 2, F.size(r["events"])), lambda x: x[field]), lambda f: f.isNotNull()), F.lit(0))
+
         return F.exists(
-            F.transform(
-                r["events"],
-                lambda e, i: F.struct(
-                    e["introduced"].alias("low"),
-                    F.get(F.filter(F.transform(F.slice(r["events"], i + 2, 1_000_000), lambda x: x["fixed"]),
-                                   lambda f: f.isNotNull()), F.lit(0)).alias("high"),
-                ),
-            ),
-            lambda s: s["low"].isNotNull() & F.coalesce(in_range(F.col("version"), s["low"], s["high"]), F.lit(False)),
+            F.transform(r["events"], lambda e, i: F.struct(e["introduced"].alias("low"), later(i, "fixed").alias("high"), later(i, "last_affected").alias("last"))),
+            lambda s: s["low"].isNotNull() & F.coalesce(in_range(F.col("version"), s["low"], s["high"], s["last"]), F.lit(False)),
         )
 
     listed = F.coalesce(F.array_contains("versions", F.col("version")), F.lit(False))
     ranged = F.coalesce(F.exists("ranges", spans), F.lit(False))
-    hits = used.join(affected, ["ecosystem", "name"]).where(listed | ranged)
-    hits = hits.select("ecosystem", "name", "version", "id").distinct()
-    detail = advisories.select("id", "aliases", "summary", "details", "database_specific", "severity", "affected")
-    hits = hits.join(detail, "id")
-    facts = hits.select(
-        "ecosystem", "name", "version", "id", F.coalesce("aliases", F.expr("array()").cast("array<string>")).alias("aliases"),
-        F.coalesce(
-            F.nullif("summary", F.lit("")), F.nullif(F.substring_index("details", "\n", 1), F.lit("")),
-            F.concat(F.lit("Known vulnerability in "), "name"),
-        ).alias("summary"),
-        advisory_severity(F.col("database_specific.severity"), F.transform("severity", lambda s: s["score"])).alias("severity"),
-        first_fixed(F.col("affected"), F.col("name"), F.col("ecosystem")).alias("fixed_version"),
-        F.concat(F.lit(ADVISORY_URL), "id").alias("url"),
-    )
-    return packages.join(facts, ["ecosystem", "name", "version"])
+    hits = used.join(affected, ["ecosystem", "known_as"]).where(listed | ranged).drop("versions", "ranges")
+    hits = hits.dropDuplicates(["ecosystem", "known_as", "version", "id"])
+    named = packages.withColumn("known_as", package_name(F.col("name"), F.col("ecosystem")))
+    found = named.join(hits, ["ecosystem", "known_as", "version"]).drop("known_as")
+    return found.withColumn("summary", F.coalesce("summary", F.concat(F.lit("Known vulnerability in "), "name"))).withColumn("url", F.concat(F.lit(ADVISORY_URL), "id"))
 
 
 def by_severity(vulnerabilities: DataFrame) -> DataFrame:

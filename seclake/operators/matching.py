@@ -22,9 +22,7 @@ from ..functions.prefilter import candidate_flag, candidate_line, candidate_numb
 from ..rules import CATEGORY_LABELS, Rule
 from ..rules.model import ADVISORY, REMINDER
 
-MAX_LINE = 2000
 REACH = 3
-MAX_REMINDERS = 10
 
 FILE = ["repo", "path", "language"]
 FINDING = [
@@ -97,7 +95,7 @@ _NEEDS_NEAR, _NEEDS_STATE = 1, 2
 
 
 def possible_pairs(
-    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, line_limit: bool = True
+    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, line_limit: int | None = None
 ) -> DataFrame:
     """(file, line, pattern number) pairs worth a look, with the line and what its rule needs around it."""
     owner = [r for r in rules for _ in r.match]
@@ -124,7 +122,7 @@ def possible_pairs(
 
     pairs = found.select(*keys, F.explode(F.transform("pairs", expand)).alias("pair"))
     pairs = pairs.select(*keys, "pair.*")
-    return pairs.where(F.length("text") <= MAX_LINE) if line_limit else pairs
+    return pairs.where(F.length("text") <= line_limit) if line_limit else pairs
 
 
 def by_pattern(pairs: DataFrame) -> DataFrame:
@@ -137,12 +135,12 @@ def by_pattern(pairs: DataFrame) -> DataFrame:
 
 
 def pattern_hits(
-    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, markup: bool = False
+    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, markup: bool = False, line_limit: int | None = None
 ) -> DataFrame:
     """Every (line, pattern) that matches and passes the conditions of its rule."""
     rules = [r for r in rules if r.kind != ADVISORY]
     table = pattern_table(files.sparkSession, rules)
-    pairs = by_pattern(possible_pairs(files, rules, keep_near)).join(F.broadcast(table), "number")
+    pairs = by_pattern(possible_pairs(files, rules, keep_near, line_limit)).join(F.broadcast(table), "number")
     pairs = pairs.where(
         (F.col("only_paths").isNull() | _present(F.rlike("path", F.col("only_paths"))))
         & ~_present(F.rlike("path", F.col("skip_paths")))
@@ -167,10 +165,10 @@ def pattern_hits(
 
 
 def line_findings(
-    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, markup: bool = False
+    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, markup: bool = False, line_limit: int | None = None
 ) -> DataFrame:
     """One row per (rule, line): the first surviving pattern."""
-    hits = pattern_hits(files, rules, keep_near, markup)
+    hits = pattern_hits(files, rules, keep_near, markup, line_limit)
     payload = ["number", "col", "severity", "pattern", "category", "message", "suggestion", "kind", "rule", "text"]
     if keep_near:
         payload.append("near")
@@ -189,22 +187,22 @@ def reminder_score(text: Column) -> Column:
     )
 
 
-def pick_reminders(found: DataFrame) -> DataFrame:
-    """Reminders fire once per file: of the first ten lines, the most telling one."""
+def pick_reminders(found: DataFrame, within: int | None = None) -> DataFrame:
+    """Reminders fire once per file: at the most telling of the lines they match (of the first `within`, if given)."""
     group = Window.partitionBy(*FILE, "code")
     ranked = (
         found.withColumn("place", F.row_number().over(group.orderBy("line")))
         .withColumn(
-            "score", F.when(F.col("place") <= MAX_REMINDERS, reminder_score(F.col("text"))).otherwise(-1)
+            "score", reminder_score(F.col("text")) if within is None else F.when(F.col("place") <= within, reminder_score(F.col("text"))).otherwise(-1)
         )
         .withColumn("rank", F.row_number().over(group.orderBy(F.col("score").desc(), "line")))
     )
     return ranked.where((F.col("kind") != REMINDER) | (F.col("rank") == 1)).drop("place", "score", "rank")
 
 
-def scan_rules(files: DataFrame, rules: Sequence[Rule], **options) -> DataFrame:
+def scan_rules(files: DataFrame, rules: Sequence[Rule], reminder_lines: int | None = None, **options) -> DataFrame:
     """Findings of the rules on the files."""
-    return pick_reminders(line_findings(files, rules, **options)).select(*FINDING)
+    return pick_reminders(line_findings(files, rules, **options), reminder_lines).select(*FINDING)
 
 
 def project_advisories(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -214,7 +212,7 @@ def project_advisories(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         "number", "code", "category", "message", "suggestion", "regex"
     )
     hits = (
-        by_pattern(possible_pairs(files.select(*FILE, "content"), advice, line_limit=False))
+        by_pattern(possible_pairs(files.select(*FILE, "content"), advice))
         .join(F.broadcast(table), "number")
         .where(F.rlike("text", F.col("regex")))
     )

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import java_regex
 from ..rules.model import rx
-from ..rules.taint import MAX_FUNCTION_LINES
 from .matching import FILE, split_lines
 from .taint import function_ranges
 
+BLOCK_LINES = 200
 _IDENTIFIER = rx(r"\b([a-zA-Z_$][\w$]*)\b")
 
 # Words that are not identifiers.
@@ -36,7 +36,7 @@ def parameters(declaration: Column) -> Column:
 
 
 def functions(files: DataFrame) -> DataFrame:
-    """(file, start, stop) of every function, at most 200 lines long."""
+    """(file, start, stop) of every function."""
     held = files.select(*FILE, split_lines(F.col("content")).alias("lines"))
     ranges = held.select(*FILE, function_ranges(F.col("lines")).alias("r"))
     return ranges.select(*FILE, F.explode("r").alias("r")).select(*FILE, "r.start", "r.stop")
@@ -45,10 +45,9 @@ def functions(files: DataFrame) -> DataFrame:
 def enclosing_functions(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings with the innermost function around them (start and stop null outside any).
 
-    A function is at most 200 lines long, so it touches at most two blocks of 200 lines; joining on
-    (file, block) meets a line with the functions near it only.
+    Joining on (file, block of lines) meets a line with the functions that reach its block only.
     """
-    block = lambda line: F.floor(line / MAX_FUNCTION_LINES)
+    block = lambda line: F.floor(line / BLOCK_LINES)
     places = findings.select("repo", "path", "line").distinct().withColumn("block", block(F.col("line")))
     ranges = functions(files).select(
         "repo", "path", "start", "stop", F.explode(F.sequence(block(F.col("start")), block(F.col("stop")))).alias("block")

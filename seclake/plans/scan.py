@@ -13,7 +13,7 @@ from ..operators.matching import FILE, FINDING, line_findings, pick_reminders, s
 from ..operators.suppression import internal_paths, learned_suppression, without_dismissed, without_ignored, without_info
 from ..operators.taint import taint_findings
 from ..rules import Rule, all_rules
-from ..sources.files import scannable
+from ..sources.files import NO_LIMITS, Limits, scannable
 
 
 def enabled_rules(
@@ -29,18 +29,26 @@ def enabled_rules(
 
 
 def scan(
-    files: DataFrame, rules: Sequence[Rule] | None = None, taint: bool = True, gates: bool = True,
-    languages: Sequence[str] | None = None,
+    files: DataFrame, rules: Sequence[Rule] | None = None, taint: bool = True, limits: Limits = NO_LIMITS,
+    languages: Sequence[str] | None = None, repos: Sequence[str] | None = None, paths: str | None = None,
 ) -> DataFrame:
-    """The command-line scan: size and generated-file gates, all rules, taint."""
+    """The whole scan: all rules and taint, on everything unless `limits` leaves something out.
+
+    `languages`, `repos` and `paths` (a pattern) are tested before any text is read, so that they reach the scan of a stored
+    table. What the limits leave out is told by `sources.files.skipped`.
+    """
     chosen = enabled_rules(rules)
     kept = files.select(*FILE, "content")
+    if repos:
+        kept = kept.where(F.col("repo").isin(list(repos)))
     if languages:
         kept = kept.where(F.col("language").isin(list(languages)))
-    if gates:
-        kept = kept.where(scannable(F.col("path"), F.col("content")))
-    found = scan_rules(kept, chosen)
-    return found.unionByName(taint_findings(kept)) if taint else found
+    if paths:
+        kept = kept.where(F.col("path").rlike(paths))
+    if limits.file_bytes or limits.skip_generated or limits.skip_minified:
+        kept = kept.where(scannable(F.col("path"), F.col("content"), limits))
+    found = scan_rules(kept, chosen, limits.reminder_lines, line_limit=limits.line_chars)
+    return found.unionByName(taint_findings(kept, limits=limits)) if taint else found
 
 
 def two_lines_around(near: Column, line: Column) -> Column:
@@ -49,9 +57,9 @@ def two_lines_around(near: Column, line: Column) -> Column:
     return F.concat(F.slice(near, F.greatest(at - 1, F.lit(1)), F.least(at, F.lit(2))), F.slice(near, at + 2, 2))
 
 
-def findings_with_confidence(files: DataFrame, rules: Sequence[Rule] | None = None, markup: bool = True) -> DataFrame:
+def findings_with_confidence(files: DataFrame, rules: Sequence[Rule] | None = None, markup: bool = True, limits: Limits = NO_LIMITS) -> DataFrame:
     """Findings as an editor sees them: markup text counts as text, and each finding has a confidence."""
-    found = pick_reminders(line_findings(files, enabled_rules(rules), keep_near=True, markup=markup))
+    found = pick_reminders(line_findings(files, enabled_rules(rules), keep_near=True, markup=markup, line_limit=limits.line_chars), limits.reminder_lines)
     level = static_confidence(F.col("code"), F.col("text"), two_lines_around(F.col("near"), F.col("line")))
     return found.withColumn("confidence", level).select(*FINDING, "confidence", "text", "near")
 
@@ -69,10 +77,10 @@ def with_adaptive_confidence(findings: DataFrame, actions: DataFrame) -> DataFra
 def editor_scan(
     files: DataFrame, rules: Sequence[Rule] | None = None, ignores: DataFrame | None = None,
     dismissals: DataFrame | None = None, hashes: DataFrame | None = None, safe: DataFrame | None = None,
-    actions: DataFrame | None = None, show_info: bool = True, reduce_internal: bool = False,
+    actions: DataFrame | None = None, show_info: bool = True, reduce_internal: bool = False, limits: Limits = NO_LIMITS,
 ) -> DataFrame:
     """The editor's scan: confidence, learned helpers, ignores, dismissals, information and path rules."""
-    found = findings_with_confidence(files, rules)
+    found = findings_with_confidence(files, rules, limits=limits)
     found = learned_suppression(found, safe) if safe is not None else found.drop("near")
     if actions is not None:
         found = with_adaptive_confidence(found, actions)

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Only where the session names none (single-machine tests) is a local folder made and set.
+    A cluster must name that folder: one that only the driver sees would lose the rows that executors write. A
+    local session that names none gets a folder beside its warehouse, which is removed when the process ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get(SETTING, None)
     if not base:
-        base = tempfile.mkdtemp(prefix="seclake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+        base = os.path.join(warehouse, f"scratch-{spark.sparkContext.applicationId}")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set(SETTING, base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -53,7 +53,7 @@ _LITERALS = [custom("LIT001", "TOKEN"), custom("LIT002", "license", "Password"),
 
 @query("flt02_literal_patterns", f"""WITH {corpus.CODE},{lines_sql()}, p(code, n, word) AS (VALUES ('LIT001', 0, 'TOKEN'), ('LIT002', 0, 'license'), ('LIT002', 1, 'Password'), ('LIT003', 0, 'app.use('))
 SELECT repo, path, line, (position(lower(word) IN lower(text)) - 1)::INT AS col, code, 1 AS severity, word AS pattern
-FROM lines, p WHERE length(text) <= 2000 AND contains(lower(text), lower(word)) QUALIFY row_number() OVER (PARTITION BY repo, path, line, code ORDER BY n) = 1""")
+FROM lines, p WHERE contains(lower(text), lower(word)) QUALIFY row_number() OVER (PARTITION BY repo, path, line, code ORDER BY n) = 1""")
 def literal_patterns(spark, sf):
     return matching.scan_rules(corpus.code(spark, sf), _LITERALS).select(*PLACE)
 
@@ -160,7 +160,7 @@ def browse(spark, sf):
 _ADVICE = [r for r in all_rules() if r.kind == ADVISORY]
 
 
-@query("flt18_project_advisories", f"""WITH {corpus.CODE},{lines_sql()}, hits AS ({oracle.hits(_ADVICE, limit=False)})
+@query("flt18_project_advisories", f"""WITH {corpus.CODE},{lines_sql()}, hits AS ({oracle.hits(_ADVICE)})
 SELECT repo, code, category, min(path) AS triggered_by FROM hits GROUP BY repo, code, category""")
 def advisories(spark, sf):
     found = matching.project_advisories(corpus.code(spark, sf), all_rules())

@@ -216,7 +216,7 @@ def all_findings(spark, sf):
     """Rule findings, taint findings and reminders as one table."""
     from ..plans.scan import scan
 
-    return scan(corpus.code(spark, sf), inputs.RULES, gates=False).select("repo", "path", "line", "code", "severity", "pattern")
+    return scan(corpus.code(spark, sf), inputs.RULES).select("repo", "path", "line", "code", "severity", "pattern")
 
 
 def dependency_parts(spark, sf):

@@ -32,13 +32,12 @@ def matches(column: str, patterns: Sequence[Rx | str]) -> str:
     return f"regexp_matches({column}, {lit('|'.join(re2(p) for p in patterns))})"
 
 
-def hits(rules: Sequence[Rule], prefix: str = "", limit: bool = True) -> str:
+def hits(rules: Sequence[Rule], prefix: str = "") -> str:
     """SELECT of (repo, path, language, line, text, number, rule, code, severity, category, kind, col, pattern)."""
     parts, number = [], 0
     for place, r in enumerate(rules):
         for p in r.match:
-            tests = ["length(text) <= 2000"] if limit else []
-            tests.append(matches("text", [p]))
+            tests = [matches("text", [p])]
             if r.unless:
                 tests.append("NOT " + matches("text", r.unless))
             if r.only_paths:
@@ -77,8 +76,8 @@ def findings(rules: Sequence[Rule], files: str, prefix: str = "") -> str:
     return f"""{files},{lines_sql(p)},
   {p}hits AS ({hits(chosen, p)}),
   {p}firsts AS (SELECT * FROM {p}hits QUALIFY row_number() OVER (PARTITION BY repo, path, line, rule ORDER BY number) = 1),
-  {p}placed AS (SELECT *, row_number() OVER (PARTITION BY repo, path, code ORDER BY line) AS place, {_SCORE} AS score FROM {p}firsts),
-  {p}ranked AS (SELECT *, row_number() OVER (PARTITION BY repo, path, code ORDER BY CASE WHEN place <= 10 THEN score ELSE -1 END DESC, line) AS best FROM {p}placed),
+  {p}placed AS (SELECT *, {_SCORE} AS score FROM {p}firsts),
+  {p}ranked AS (SELECT *, row_number() OVER (PARTITION BY repo, path, code ORDER BY score DESC, line) AS best FROM {p}placed),
   {p}words(code, message, suggestion) AS (VALUES {words}),
   {p}findings AS MATERIALIZED (SELECT repo, path, language, line, col, r.code, severity, category, message, suggestion, pattern, text
              FROM {p}ranked r JOIN {p}words w ON w.code = r.code WHERE kind <> '{REMINDER}' OR best = 1)"""

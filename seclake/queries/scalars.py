@@ -226,7 +226,7 @@ def function_heads(spark, sf):
   d AS (SELECT *, row_number() OVER w AS i, sum(CASE t WHEN '{{' THEN 1 ELSE -1 END) OVER w AS depth FROM b WINDOW w AS (PARTITION BY repo, path ORDER BY line, k ROWS UNBOUNDED PRECEDING)),
   h AS (SELECT repo, path, line AS start FROM lines WHERE {oracle.matches('text', [FUNCTION_HEAD])}),
   base AS (SELECT h.*, coalesce((SELECT max_by(depth, i) FROM d WHERE d.repo = h.repo AND d.path = h.path AND d.line < h.start), 0) AS before, (SELECT min(i) FROM d WHERE d.repo = h.repo AND d.path = h.path AND d.line >= h.start AND t = '{{') AS opens FROM h)
-SELECT b.repo, b.path, b.start, min_by(d.line, d.i) AS stop FROM base b JOIN d ON d.repo = b.repo AND d.path = b.path AND d.i > b.opens AND d.t = '}}' AND d.depth = b.before AND d.line < b.start + 200 GROUP BY ALL""")
+SELECT b.repo, b.path, b.start, min_by(d.line, d.i) AS stop FROM base b JOIN d ON d.repo = b.repo AND d.path = b.path AND d.i > b.opens AND d.t = '}}' AND d.depth = b.before GROUP BY ALL""")
 def function_ranges(spark, sf):
     return scope.functions(corpus.code(spark, sf)).select("repo", "path", "start", "stop")
 
@@ -291,8 +291,8 @@ TAINT = f"""assigned AS ({ORACLES["tnt03_tainting_assignments"]}), ranges AS ({O
       FROM visits v LEFT JOIN eldest e ON e.repo = v.repo AND e.path = v.path AND e.start = v.start AND e.line = v.line AND e.sink = v.sink WHERE v.direct IS NOT NULL OR e.name IS NOT NULL),
   tainted AS (SELECT DISTINCT repo, path, line, sink, name, source_line, label FROM (SELECT * FROM reached QUALIFY row_number() OVER (PARTITION BY repo, path, start, line ORDER BY sink) = 1)),
   sinks(sink, code, category, what, call) AS (VALUES {", ".join(f"({i}, {lit(k.code)}, {lit(k.category)}, {lit(k.message)}, {lit(k.call.text)})" for i, k in enumerate(SINKS))}),
-  taint_findings AS (SELECT repo, path, line, code, 2 AS severity, CASE WHEN name IS NULL THEN what || ' — direct flow from ' || label
-      ELSE what || ' — ''' || name || ''' was tainted at line ' || (source_line + 1) || ' (source: ' || label || ')' END AS message, call AS pattern FROM tainted JOIN sinks USING (sink))"""
+  taint_findings AS (SELECT repo, path, line, code, 2 AS severity, CASE WHEN name IS NULL THEN what || ': the argument itself is ' || label
+      ELSE what || ': `' || name || '` holds ' || label || ' since line ' || (source_line + 1) END AS message, call AS pattern FROM tainted JOIN sinks USING (sink))"""
 _TAINT = f"{corpus.CODE},{lines_sql()}, {TAINT}"
 ORACLES["jn14_taint_as_of"] = f"WITH {_TAINT} SELECT repo, path, line, sink, name, source_line, label FROM tainted WHERE name IS NOT NULL"
 ORACLES["set01_all_findings"] = f"""WITH {inputs.FINDINGS}, {TAINT} SELECT repo, path, line, code, severity, pattern FROM findings

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,20 +82,26 @@ def eligible(path: Column, excludes: Sequence[str] = (), includes: Sequence[str]
 
 
 def read_files(
-    spark: SparkSession, root: str, repo: str, excludes: Sequence[str] = (), includes: Sequence[str] = ()
+    spark: SparkSession, root: str, repo: str, excludes: Sequence[str] = (), includes: Sequence[str] = (), max_size: int | None = None,
+    path_glob: str | None = None,
 ) -> DataFrame:
     """Files below a folder, one row each. Paths are relative to the folder.
 
-    Path and size come with the listing, so the choice of files is made before contents are decoded.
+    Path and size come with the listing, so the choice of files is made before contents are decoded; `path_glob`
+    and `max_size` (bytes, none by default) are tested by the reader before a file is opened. Bytes that are not UTF-8 become
+    replacement characters.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    raw = (reader.option("pathGlobFilter", path_glob) if path_glob else reader).load(root)
+    if max_size:
+        raw = raw.where(F.col("length") <= max_size)
     base = root.rstrip("/").split("://")[-1].split(":", 1)[-1]
     path = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*(?=/)", "")
     raw = raw.withColumn("path", F.substring(path, F.lit(len(base) + 2), F.length(path)))
-    raw = raw.where(eligible(F.col("path"), excludes, includes)).where(F.col("length") <= MAX_FILE_SIZE)
+    raw = raw.where(eligible(F.col("path"), excludes, includes))
     return raw.select(
         F.lit(repo).alias("repo"), "path", language(F.col("path")).alias("language"),
-        F.decode("content", "UTF-8").alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
     )
 
@@ -113,8 +120,26 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(4 * cores).where(F.monotonically_increasing_id() >= 0)
 
 
-def within_size(content: Column, limit: int = MAX_FILE_SIZE, unit: str = "bytes") -> Column:
-    """Size guard; 0 switches it off. `unit` is bytes (command line) or characters (editor)."""
+@dataclass(frozen=True)
+class Limits:
+    """What a scan leaves out. Nothing, unless asked for."""
+
+    file_bytes: int | None = None
+    line_chars: int | None = None
+    skip_generated: bool = False
+    skip_minified: bool = False
+    function_lines: int | None = None
+    variables: int | None = None
+    reminder_lines: int | None = None
+
+
+NO_LIMITS = Limits()
+#: The limits of an interactive scan, for those who want the same findings in bulk.
+INTERACTIVE_LIMITS = Limits(MAX_FILE_SIZE, 2000, True, True, 200, 50, 10)
+
+
+def within_size(content: Column, limit: int | None = MAX_FILE_SIZE, unit: str = "bytes") -> Column:
+    """Size guard; 0 or None switches it off. `unit` is bytes (command line) or characters (editor)."""
     if not limit:
         return F.lit(True)
     return (F.octet_length(content) if unit == "bytes" else F.length(content)) <= limit
@@ -147,8 +172,29 @@ def minified(content: Column) -> Column:
     )
 
 
-def scannable(path: Column, content: Column) -> Column:
-    return within_size(content) & ~(generated_by_path(path) | generated_by_content(content) | minified(content))
+def skip_reason(path: Column, content: Column, limits: Limits = INTERACTIVE_LIMITS) -> Column:
+    """Why a file is left out, or null: size, generated or minified, in this order."""
+    tests = [F.when(~within_size(content, limits.file_bytes), "size")] if limits.file_bytes else []
+    if limits.skip_generated:
+        tests.append(F.when(generated_by_path(path) | generated_by_content(content), "generated"))
+    if limits.skip_minified:
+        tests.append(F.when(minified(content), "minified"))
+    return F.coalesce(*tests) if tests else F.lit(None).cast("string")
+
+
+def scannable(path: Column, content: Column, limits: Limits = INTERACTIVE_LIMITS) -> Column:
+    return skip_reason(path, content, limits).isNull()
+
+
+def skipped(files: DataFrame, limits: Limits = INTERACTIVE_LIMITS) -> DataFrame:
+    """What the limits leave out: (repo, path, line, reason). A null line stands for the whole file."""
+    judged = files.select("repo", "path", "content", skip_reason(F.col("path"), F.col("content"), limits).alias("reason"))
+    whole = judged.where(F.col("reason").isNotNull()).select("repo", "path", F.lit(None).cast("int").alias("line"), "reason")
+    if not limits.line_chars:
+        return whole
+    kept = judged.where(F.col("reason").isNull() & (F.length("content") > limits.line_chars))
+    long = kept.select("repo", "path", F.posexplode(F.split("content", "\n")).alias("line", "text")).where(F.length("text") > limits.line_chars)
+    return whole.unionByName(long.select("repo", "path", "line", F.lit("line length").alias("reason")))
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -174,20 +220,23 @@ def file_snapshot(files: DataFrame, scanned_at: Column) -> DataFrame:
 
 
 def file_changes(files: DataFrame, state: DataFrame) -> DataFrame:
-    """new, modified, unchanged or deleted, per path. Contents are hashed before the join, so only
-    hashes and sizes are shuffled."""
-    now = files.select(
-        "repo", "path", F.octet_length("content").alias("size"), "mtime",
-        content_hash(F.col("content")).alias("content_hash"),
-    ).alias("n")
-    old = state.select("repo", "path", "size", "mtime", "content_hash").alias("o")
-    joined = now.join(old, ["repo", "path"], "full_outer")
+    """new, modified, unchanged or deleted, per path.
+
+    Sizes and times decide most files. Only contents of equal size and another time are hashed, each in the row
+    of its file; what is shuffled are listings.
+    """
+    old = state.select("repo", "path", F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"), F.col("content_hash").alias("old_hash"))
+    now = files.select("repo", "path", F.octet_length("content").alias("size"), "mtime")
+    listed = now.join(old, ["repo", "path"], "full_outer")
+    same_size = F.col("size") == F.col("old_size")
     status = (
-        F.when(F.col("o.content_hash").isNull(), "new")
-        .when(F.col("n.content_hash").isNull(), "deleted")
-        .when((F.col("n.mtime") == F.col("o.mtime")) & (F.col("n.size") == F.col("o.size")), "unchanged")
-        .when(F.col("n.size") != F.col("o.size"), "modified")
-        .when(F.col("n.content_hash") == F.col("o.content_hash"), "unchanged")
-        .otherwise("modified")
+        F.when(F.col("old_hash").isNull(), "new")
+        .when(F.col("size").isNull(), "deleted")
+        .when(same_size & (F.col("mtime") == F.col("old_mtime")), "unchanged")
+        .when(~same_size, "modified")
     )
-    return joined.select("repo", "path", status.alias("status"))
+    decided = listed.withColumn("status", status)
+    open_files = decided.where(F.col("status").isNull()).select("repo", "path", "old_hash")
+    read = files.select("repo", "path", "content").join(open_files, ["repo", "path"])
+    settled = read.select("repo", "path", F.when(content_hash(F.col("content")) == F.col("old_hash"), "unchanged").otherwise("modified").alias("status"))
+    return decided.where(F.col("status").isNotNull()).select("repo", "path", "status").unionByName(settled)

@@ -39,17 +39,25 @@ def ignore_line(code: Column, path: Column, line: Column, reason: Column) -> Col
     )
 
 
-def baseline_entries(files: DataFrame) -> DataFrame:
-    """(repo, path, code, n) from baseline documents (repo, content) of version 1."""
-    parsed = files.select(
-        "repo",
-        F.from_json("content", "version int, counts map<string, map<string, int>>").alias("doc"),
-    )
-    checked = parsed.where(
-        F.assert_true(
-            F.coalesce((F.col("doc.version") == 1) & F.col("doc.counts").isNotNull(), F.lit(False)),
-            F.lit("baseline has an unsupported shape: expected version 1 with counts"),
-        ).isNull()
-    )
-    per_file = checked.select("repo", F.explode("doc.counts").alias("path", "codes"))
+def _baselines(files: DataFrame) -> DataFrame:
+    doc = F.from_json("content", "version int, counts map<string, map<string, int>>")
+    return files.select("repo", doc.alias("doc")).withColumn("good", F.coalesce((F.col("doc.version") == 1) & F.col("doc.counts").isNotNull(), F.lit(False)))
+
+
+def baseline_entries(files: DataFrame, strict: bool = False) -> DataFrame:
+    """(repo, path, code, n) from baseline documents (repo, content) of version 1.
+
+    Documents of another shape are left out and told by `rejected_baselines`, so that one of them does not stop the others;
+    `strict` fails instead.
+    """
+    parsed = _baselines(files)
+    if strict:
+        message = F.lit("baseline has an unsupported shape: expected version 1 with counts")
+        parsed = parsed.where(F.assert_true(F.col("good"), message).isNull())
+    per_file = parsed.where("good").select("repo", F.explode("doc.counts").alias("path", "codes"))
     return per_file.select("repo", "path", F.explode("codes").alias("code", "n"))
+
+
+def rejected_baselines(files: DataFrame) -> DataFrame:
+    """(repo, version): documents that are not baselines of version 1."""
+    return _baselines(files).where(~F.col("good")).select("repo", F.col("doc.version").alias("version"))

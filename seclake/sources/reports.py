@@ -11,7 +11,7 @@ ADVISORY_SCHEMA = (
     "id string, aliases array<string>, summary string, details string,"
     " database_specific struct<severity:string>, severity array<struct<type:string,score:string>>,"
     " affected array<struct<package:struct<name:string,ecosystem:string>,versions:array<string>,"
-    "ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>>>"
+    "ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>>>"
 )
 
 
@@ -21,8 +21,15 @@ def read_advisories(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_advisories(feed: DataFrame) -> DataFrame:
-    """Advisories from a table with a JSON column `body`."""
-    return feed.select(F.from_json("body", ADVISORY_SCHEMA).alias("a")).select("a.*")
+    """Advisories from a table with a JSON column `body`; what is not one is told by `rejected_advisories`."""
+    return feed.select(F.from_json("body", ADVISORY_SCHEMA).alias("a")).where(F.col("a.id").isNotNull()).select("a.*")
+
+
+def rejected_advisories(feed: DataFrame) -> DataFrame:
+    """Rows of a feed that hold no advisory, with the reason."""
+    parsed = F.from_json("body", ADVISORY_SCHEMA)
+    reason = F.when(F.try_parse_json("body").isNull(), "not JSON").when(parsed["id"].isNull(), "no id")
+    return feed.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
 def _or(c: Column, other: str) -> Column:

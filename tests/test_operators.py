@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from seclake.functions.versions import in_range, version_key
 from seclake.operators import export, fixes, lifecycle, scope, suppression
+from seclake.operators.dependencies import vulnerable_packages
 from seclake.operators.learning import safe_helpers
 from seclake.operators.statistics import security_score
-from seclake.sources import changes, manifests, policies
+from seclake.sources import changes, manifests, policies, reports
 from seclake.sources.files import language, read_files, spread
 
 FINDING = "repo string, path string, language string, line int, col int, code string, severity int, category string, message string, suggestion string, pattern string"
@@ -38,17 +39,49 @@ def test_spread_leaves_large_tables_alone(spark):
 
 
 def test_versions(spark):
-    pairs = [("1.10.0", "1.9.0", True), ("1.2.0", "1.2", False), ("1.0.0", "1.0.0-rc1", True), ("2.0", "10.0", False), ("v1.0.1", "1.0.0", True)]
+    pairs = [("1.10.0", "1.9.0", True), ("1.2.0", "1.2", False), ("1.0.0", "1.0.0-rc1", True), ("2.0", "10.0", False), ("v1.0.1", "1.0.0", True),
+             ("1.0.0-rc2", "1.0.0-rc1", True), ("1.0.0-rc10", "1.0.0-rc9", True), ("1.0.0-beta", "1.0.0-rc1", False), ("1.2.3.4.5.6.8", "1.2.3.4.5.6.7", True),
+             ("1.0.post1", "1.0", True), ("1.0a1", "1.0.dev3", True), ("1.0+build9", "1.0", False), ("1.0", "1.0.0+x", False), ("123456789012345678901", "9", True)]
     df = spark.createDataFrame([p[:2] for p in pairs], "a string, b string")
     assert [r[0] for r in df.select(version_key(F.col("a")) > version_key(F.col("b"))).collect()] == [p[2] for p in pairs]
     inside = spark.createDataFrame([("1.5.0",), ("2.0.0",), ("0.9",)], "v string")
     assert [r[0] for r in inside.select(in_range(F.col("v"), F.lit("1.0"), F.lit("2.0.0"))).collect()] == [True, False, False]
 
 
+ADVISORIES = [
+    # id, name, ecosystem, range type, events
+    ("A1", "flask", "PyPI", "ECOSYSTEM", '{"introduced": "0"}, {"last_affected": "1.0"}'),
+    ("A2", "flask", "PyPI", "GIT", '{"introduced": "0"}'),
+    ("A3", "Typing_Extensions", "PyPI", "ECOSYSTEM", '{"introduced": "0"}, {"fixed": "2.0.0rc2"}'),
+    ("A4", "x/y", "Go", "SEMVER", '{"introduced": "1.0.0"}, {"fixed": "1.5.0"}, {"introduced": "2.0.0"}, {"fixed": "2.1.0"}'),
+]
+
+
+def test_advisory_ranges(spark):
+    body = '{"id": "%s", "affected": [{"package": {"name": "%s", "ecosystem": "%s"}, "ranges": [{"type": "%s", "events": [%s]}]}]}'
+    feed = spark.createDataFrame([(body % a,) for a in ADVISORIES] + [("{broken",), ('{"no": "id"}',), (None,)], "body string")
+    used = [("PyPI", "Flask", "3.0.0"), ("PyPI", "FLASK", "1.0"), ("PyPI", "flask", "0.9"), ("PyPI", "typing-extensions", "2.0.0rc1"), ("PyPI", "typing.extensions", "2.0.0rc2"),
+            ("Go", "x/y", "1.4.9"), ("Go", "x/y", "1.5.0"), ("Go", "x/y", "2.0.5"), ("Go", "X/Y", "2.0.5")]
+    packages = spark.createDataFrame([("r", "d", "m", *u) for u in used], "repo string, dir string, manifest string, ecosystem string, name string, version string")
+    got = {(r.name, r.version, r.id) for r in vulnerable_packages(packages, reports.parse_advisories(feed)).collect()}
+    assert got == {("FLASK", "1.0", "A1"), ("flask", "0.9", "A1"), ("typing-extensions", "2.0.0rc1", "A3"), ("x/y", "1.4.9", "A4"), ("x/y", "2.0.5", "A4")}
+    assert sorted(r.reason for r in reports.rejected_advisories(feed).collect()) == ["no id", "not JSON", "not JSON"]
+
+
+def test_bytes_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "a.js").write_bytes(b"caf\xe9 = eval(x)")
+    (tmp_path / "b.js").write_bytes(b"y" * 3000)
+    assert {r.path: r.content[:5] for r in read_files(spark, str(tmp_path), "r").collect()} == {"a.js": "caf\ufffd ", "b.js": "yyyyy"}
+    assert [r.path for r in read_files(spark, str(tmp_path), "r", max_size=100, path_glob="*.js").collect()] == ["a.js"]
+
+
 def test_baseline_shape_is_checked(spark):
     bad = spark.createDataFrame([("r", '{"version": 2, "counts": {}}')], "repo string, content string")
+    good = spark.createDataFrame([("s", '{"version": 1, "counts": {"a": {"X": 2}}}'), ("t", "no json")], "repo string, content string")
     with pytest.raises(PySparkException):
-        policies.baseline_entries(bad).collect()
+        policies.baseline_entries(bad, strict=True).collect()
+    assert {tuple(r) for r in policies.baseline_entries(bad.union(good)).collect()} == {("s", "a", "X", 2)}
+    assert {tuple(r) for r in policies.rejected_baselines(bad.union(good)).collect()} == {("r", 2), ("t", None)}
 
 
 def test_baseline_budget(spark):
