@@ -96,24 +96,3 @@ def _node(op, arg) -> tuple[set[str] | None, set[str] | None]:
             return {"".join(t) for t in product(e, repeat=low)}, None
         return None, _better(e, n)
     return None, None
-
-
-def trie_regex(words: set[str]) -> str:
-    """One Java expression for a set of strings, sharing prefixes, longest word first."""
-    from .dialect import quote
-
-    root: dict = {}
-    for w in words:
-        at = root
-        for ch in w:
-            at = at.setdefault(ch, {})
-        at[""] = {}
-
-    def render(node: dict) -> str:
-        parts = [quote(ch) + render(kid) for ch, kid in sorted(node.items()) if ch]
-        if not parts:
-            return ""
-        body = parts[0] if len(parts) == 1 and "" not in node else "(?:" + "|".join(parts) + ")"
-        return body + "?" if "" in node else body
-
-    return render(root)

@@ -92,12 +92,13 @@ def sarif_logs(findings: DataFrame, tool: str = "seclake", version: str = "1.0.0
         "line", "code", "col", "pattern", "severity", "message", "suggestion", "category"
     ))).alias("found"))
     codes = F.array_distinct(F.transform("found", lambda f: f["code"]))
-    per_file = per_file.withColumn("codes", codes)
+    # The first finding of each rule, found once by position.
+    places = F.transform(codes, lambda c: F.array_position(F.transform("found", lambda f: f["code"]), c))
+    per_file = per_file.withColumn("codes", codes).withColumn("rules", F.transform(places, lambda i: F.get("found", (i - 1).cast("int"))))
 
-    def rule(code: Column) -> Column:
-        f = F.get(F.filter("found", lambda x: x["code"] == code), F.lit(0))
+    def rule(f: Column) -> Column:
         return F.struct(
-            code.alias("id"), F.struct(f["message"].alias("text")).alias("shortDescription"),
+            f["code"].alias("id"), F.struct(f["message"].alias("text")).alias("shortDescription"),
             F.struct(f["suggestion"].alias("text")).alias("fullDescription"),
             F.struct(category_label(f["category"]).alias("category")).alias("properties"),
         )
@@ -113,7 +114,7 @@ def sarif_logs(findings: DataFrame, tool: str = "seclake", version: str = "1.0.0
             ).alias("physicalLocation"))).alias("locations"),
         )
 
-    driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.transform("codes", rule).alias("rules"))
+    driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.transform("rules", rule).alias("rules"))
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.transform("found", result).alias("results"))
     log = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
     return per_file.select("repo", "path", F.to_json(log).alias("sarif"))
@@ -161,18 +162,28 @@ def history_json(findings: DataFrame) -> DataFrame:
     )).alias("json"))
 
 
+def _one_file_each(rows: DataFrame) -> DataFrame:
+    """Deal rows to tasks by repository, splitting large ones, so that a task writes few folders."""
+    return rows.hint("rebalance", "repo")
+
+
+def write_advisories(advisories: DataFrame, path: str) -> None:
+    """Project advisories as JSON lines, beside the findings of `write_json`."""
+    write_documents(advisory_json_rows(advisories), "json", path)
+
+
 def write_json(findings: DataFrame, path: str, mask: bool = True) -> None:
-    exported(findings, mask).write.mode("overwrite").partitionBy("repo").json(path)
+    _one_file_each(exported(findings, mask)).write.mode("overwrite").partitionBy("repo").json(path)
 
 
 def write_csv(findings: DataFrame, path: str) -> None:
-    out = exported(findings).drop("pattern")
+    out = _one_file_each(exported(findings).drop("pattern"))
     out.write.mode("overwrite").partitionBy("repo").option("header", "true").option("quoteAll", "true").csv(path)
 
 
 def write_documents(documents: DataFrame, column: str, path: str) -> None:
     """Text documents (SARIF logs, reports, baselines), one per line of partitioned text files."""
-    documents.select("repo", F.col(column).alias("value")).write.mode("overwrite").partitionBy("repo").text(path)
+    _one_file_each(documents.select("repo", F.col(column).alias("value"))).write.mode("overwrite").partitionBy("repo").text(path)
 
 
 def append_table(rows: DataFrame, path: str) -> None:

@@ -11,6 +11,7 @@ from .corpus import duck, lit, sql_table
 from .filters import LEAKS, _LABEL, _SEV
 from .joins import DAYS, DEPENDENCY_PARTS, dependency_parts, stamp
 from .registry import ORACLES, query
+from .sources import SKIPPED
 
 ACTIONS = f"actions AS MATERIALIZED ({duck(inputs.ACTIONS)})"
 SCANS = f"scans AS ({duck(inputs.SCANS)})"
@@ -59,11 +60,10 @@ def fail_gate(spark, sf):
     )
 
 
-@query("agg04_scan_totals", f"""WITH {inputs.FINDINGS}, s AS (SELECT repo, count(*) AS files_scanned FROM files GROUP BY repo)
-SELECT s.repo, files_scanned, (SELECT count(*) FROM findings f WHERE f.repo = s.repo) AS total_findings FROM s""")
+@query("agg04_scan_totals", f"""WITH {inputs.FINDINGS}, {SKIPPED}, k AS (SELECT repo, count(*) AS n FROM skipped WHERE line IS NULL GROUP BY repo), s AS (SELECT repo, count(*) AS files_scanned FROM files GROUP BY repo)
+SELECT s.repo, files_scanned, coalesce(k.n, 0) AS files_skipped, (SELECT count(*) FROM findings f WHERE f.repo = s.repo) AS total_findings FROM s LEFT JOIN k ON k.repo = s.repo""")
 def scan_totals(spark, sf):
-    totals = statistics.scan_totals(corpus.code(spark, sf), inputs.findings(spark, sf))
-    return totals.select("repo", "files_scanned", "total_findings")
+    return statistics.scan_totals(corpus.code(spark, sf), inputs.findings(spark, sf))
 
 
 _SCORES = f"""{inputs.FINDINGS}, {inputs.STATUS_SQL}, open AS (SELECT f.* FROM findings f LEFT JOIN statuses s USING (repo, path, code, line, pattern) WHERE coalesce(s.status, 'pending') NOT IN ('fixed', 'verified', 'ignored')),
@@ -71,13 +71,16 @@ _SCORES = f"""{inputs.FINDINGS}, {inputs.STATUS_SQL}, open AS (SELECT f.* FROM f
   scores AS (SELECT n.repo, files, coalesce(open, 0) AS open, coalesce(penalty, 0.0) AS penalty, greatest(0, floor(100 - coalesce(penalty, 0.0) / files * 5 + 0.5))::INT AS score FROM n LEFT JOIN w USING (repo))"""
 
 
-@query("agg05_security_score", f"WITH {_SCORES} SELECT * FROM scores")
+_GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade"
+
+
+@query("agg05_security_score", f"WITH {_SCORES} SELECT *, {_GRADE} FROM scores")
 def score(spark, sf):
     found = inputs.stored_findings(spark, sf)
-    return statistics.security_score(corpus.code(spark, sf), found, inputs.statuses(spark, sf, found)).drop("grade")
+    return statistics.security_score(corpus.code(spark, sf), found, inputs.statuses(spark, sf, found))
 
 
-@query("agg06_grade", f"WITH {_SCORES} SELECT repo, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM scores")
+@query("agg06_grade", f"WITH {_SCORES} SELECT repo, score, {_GRADE} FROM scores")
 def grade(spark, sf):
     found = inputs.stored_findings(spark, sf)
     return statistics.security_score(corpus.code(spark, sf), found, inputs.statuses(spark, sf, found)).select("repo", "score", "grade")
@@ -334,12 +337,15 @@ def top_hot_zone(spark, sf):
     return insights.top_hot_zone(learning.hot_zones(actions(spark, sf))).withColumn("risk", F.round("risk", 6))
 
 
-@query("win10_insights", f"""WITH {ACTIONS}, {STATS}, {_INSIGHTS}, {_CHAMPIONS}, {SCANS}, {_TREND}, {_ZONES}, said AS (
+@query("win10_insights", f"""WITH {ACTIONS}, {STATS}, {_INSIGHTS}, {_CHAMPIONS}, {SCANS}, {_TREND}, {_ZONES}, {FIX_LOG}, {_SHAPES}, returned AS (WITH {_REGRESSED}, {_REG_SUM} SELECT * FROM regression_summary), said AS (
   SELECT 'trend_' || direction AS type, CASE direction WHEN 'improving' THEN 'celebration' ELSE 'warning' END AS severity, repo || CASE direction WHEN 'improving' THEN ': posture improves' ELSE ': findings increase' END AS title FROM trend WHERE direction <> 'steady'
   UNION ALL SELECT CASE type WHEN 'high_fp_rate' THEN 'rule_noisy' WHEN 'highly_effective' THEN 'rule_effective' WHEN 'never_acted_on' THEN 'stale_issues' ELSE 'ai_fix_effective' END,
     CASE WHEN type IN ('high_fp_rate', 'never_acted_on') THEN 'suggestion' ELSE 'info' END, code || CASE type WHEN 'high_fp_rate' THEN ' is often dismissed' WHEN 'highly_effective' THEN ' is usually acted on' WHEN 'never_acted_on' THEN ' is never acted on' ELSE ' resists automatic fixes' END FROM rule_insights
   UNION ALL SELECT 'category_champion', 'celebration', family || ' is nearly resolved' FROM families WHERE total >= 5 AND resolved >= total * 0.9
-  UNION ALL SELECT 'hot_zone', 'suggestion', 'Hot zone: ' || zone FROM (SELECT * FROM hot ORDER BY risk DESC, zone DESC LIMIT 1) WHERE risk >= 0.5 AND confirmed >= 5)
+  UNION ALL SELECT 'hot_zone', 'suggestion', 'Hot zone: ' || zone FROM (SELECT * FROM hot ORDER BY risk DESC, zone DESC LIMIT 1) WHERE risk >= 0.5 AND confirmed >= 5
+  UNION ALL SELECT 'fix_pattern_available', 'info', n || ' fix patterns learned' FROM (SELECT count(*) AS n FROM patterns) WHERE n >= 5
+  UNION ALL SELECT 'ai_fix_effective', CASE WHEN rate >= 80 THEN 'celebration' ELSE 'info' END, 'Automatic fixes succeed in ' || rate || '%' FROM (SELECT floor(sum(fixed) / sum(fixed + fix_failed)::DOUBLE * 100 + 0.5)::INT AS rate, sum(fixed + fix_failed) AS attempts FROM stats) WHERE attempts >= 5
+  UNION ALL SELECT 'regression_detected', 'warning', repo || ': ' || regressions || ' findings came back' FROM returned)
 SELECT type, severity, title, CASE severity WHEN 'warning' THEN 0 WHEN 'suggestion' THEN 1 WHEN 'celebration' THEN 2 ELSE 3 END AS place FROM said""")
 def all_insights(spark, sf):
     log = actions(spark, sf)
@@ -347,6 +353,8 @@ def all_insights(spark, sf):
     merged = insights.all_insights(
         insights.trend_insights(scans(spark, sf)), insights.rule_statements(learning.rule_insights(stats)),
         insights.champion_statements(learning.category_champions(stats)), insights.hot_zone_statements(learning.hot_zones(log)),
+        insights.fix_statements(fixes.fix_pattern_stats(fix_patterns(spark, sf)), learning.overall_fix_success(stats)),
+        insights.regression_statements(regressed(spark, sf)),
     )
     return merged.select("type", "severity", "title", insights.severity_order(F.col("severity")).alias("place"))
 

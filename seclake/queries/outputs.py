@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import export, history, lifecycle, suppression, tasks
 from ..operators.dependencies import vulnerable_packages
+from ..operators.matching import project_advisories
 from ..plans.workspace import shared_folder, written
+from ..rules import all_rules
 from ..sources import policies
 from ..streaming import jobs
-from . import corpus, inputs
-from .corpus import duck, lit, sql_table
-from .counts import ACTIONS, SCANS, TASKS, _SWEPT, scans
-from .filters import LEAKS, _LABEL, _SEV
+from . import corpus, inputs, oracle
+from .corpus import duck, lines_sql, lit, sql_table
+from .counts import _BUCKETS, ACTIONS, SCANS, TASKS, _SWEPT, scans
+from .filters import _ADVICE, LEAKS, _LABEL, _SEV
 from .joins import VULNERABLE, advisories_of
 from .registry import query
 from .sources import IGNORES
@@ -36,6 +39,16 @@ def json_export_masked(spark, sf):
     return spark.read.schema(_ROWS + ", pattern string").json(folder).select("repo", "file", "line", "code", "pattern")
 
 
+@query("snk01_advisories", f"""WITH {corpus.CODE},{lines_sql()}, hits AS ({oracle.hits(_ADVICE)}), found AS (SELECT DISTINCT repo, code, category FROM hits)
+SELECT repo, 'project-advisory' AS type, code, {_LABEL} AS category FROM found r""")
+def advisory_export(spark, sf):
+    """Project advisories written as JSON and read back."""
+    folder = shared_folder(spark)
+    export.write_advisories(project_advisories(corpus.code(spark, sf), all_rules()), folder)
+    rows = spark.read.schema("value string, repo string").text(folder)
+    return rows.select("repo", F.from_json("value", "type string, code string, category string").alias("a")).select("repo", "a.*")
+
+
 @query("snk02_csv", f"WITH {inputs.FINDINGS}, {_EXPORT} SELECT * EXCLUDE (pattern) FROM export")
 def csv_export(spark, sf):
     folder = shared_folder(spark)
@@ -128,10 +141,12 @@ class _Store:
         self.schema = batch.schema
         batch.write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
 
-    def run(self, writer) -> DataFrame:
+    def run(self, writer, keep_batch: bool = False) -> DataFrame:
         q = writer.trigger(availableNow=True).start()
         q.awaitTermination()
-        return self.spark.read.schema(self.schema).parquet(self.folder).drop("batch")
+        schema = StructType([*self.schema.fields, StructField("batch", LongType())]) if keep_batch else self.schema
+        rows = self.spark.read.schema(schema).parquet(self.folder)
+        return rows if keep_batch else rows.drop("batch")
 
 
 def _versions(spark, sf, edited: bool = False) -> DataFrame:
@@ -161,17 +176,26 @@ _DAY = "SELECT strftime(ts, '%Y-%m-%d') AS day, code, " + ", ".join(
 
 @query("str02_rule_counters", f"WITH {ACTIONS} {_DAY}")
 def rule_counters(spark, sf):
-    """Daily counters over the action stream, in complete mode."""
+    """Daily counters over the action stream. Each batch brings the days that changed; the newest row of a day and rule counts."""
     events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     log = sql_table(spark, sf, inputs.ACTIONS, events=events)
     store = _Store(spark)
 
-    def keep(batch: DataFrame, number: int) -> None:
-        store.schema = batch.schema
-        batch.write.mode("overwrite").parquet(f"{store.folder}/batch=0")
+    writer = jobs.daily_rule_counters(log).writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", shared_folder(spark))
+    rows = store.run(writer, keep_batch=True)
+    values = [c for c in rows.columns if c not in ("day", "code", "batch")]
+    newest = rows.groupBy("day", "code").agg(F.max_by(F.struct(*values), "batch").alias("n")).select("day", "code", "n.*")
+    return newest.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
-    writer = jobs.daily_rule_counters(log).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", shared_folder(spark))
-    return store.run(writer).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+@query("str02_bucket_counters", f"WITH {ACTIONS}, {_BUCKETS} SELECT code, bucket, bucket_detections AS detections, bucket_fps AS fps FROM buckets")
+def bucket_counters(spark, sf):
+    """Running counters per rule and path bucket; there is a fixed number of both."""
+    log = sql_table(spark, sf, inputs.ACTIONS, events=_stream(spark, sf, "events"))
+    store = _Store(spark)
+    writer = jobs.bucket_counters(log).writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", shared_folder(spark))
+    rows = store.run(writer, keep_batch=True)
+    return rows.groupBy("code", "bucket").agg(F.max_by(F.struct("detections", "fps"), "batch").alias("n")).select("code", "bucket", "n.*")
 
 
 _KEY = "repo, path, code, line, pattern"

@@ -10,7 +10,7 @@ from ..functions.paths import normal_path, path_bucket
 from ..functions.versions import advisory_severity, audit_severity, first_fixed, update_type
 from ..operators import dependencies, export, fixes, learning, scope, statistics, taint
 from ..operators.matching import line_findings, pick_reminders
-from ..plans.scan import findings_with_confidence, two_lines_around, with_adaptive_confidence
+from ..plans.scan import editor_scan, findings_with_confidence, two_lines_around, with_adaptive_confidence
 from ..rules import all_rules, family
 from ..rules.taint import FUNCTION_HEAD, SANITISERS, SINKS, SOURCES
 from ..sources import files, reports
@@ -180,6 +180,12 @@ def proposed_fixes(spark, sf):
     return fixes.proposed_fixes(found).select("repo", "path", "line", "code", "title", "new_line", "delete_line")
 
 
+@query("fn04_editor_scan", f"""WITH {oracle.findings(_SURE, corpus.CODE)}, {_CONFIDENCE} SELECT f.repo, f.path, f.line, f.code, f.severity, l.confidence FROM findings f JOIN leveled l USING (repo, path, line, code)""")
+def editor(spark, sf):
+    """The editor's scan without learned state: findings with their confidence."""
+    return editor_scan(corpus.code(spark, sf), _SURE).select("repo", "path", "line", "code", "severity", "confidence")
+
+
 @query("fn15_export_labels", f"WITH {inputs.FINDINGS} SELECT repo, path AS file, line + 1 AS line, col + 1 AS column, {_SEV} AS severity, code, {_LABEL} AS category FROM findings")
 def export_labels(spark, sf):
     return export.exported(inputs.findings(spark, sf)).drop("message", "suggestion", "pattern")

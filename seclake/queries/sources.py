@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.workspace import shared_folder
 from ..sources import changes, files, manifests, policies, reports
 from . import corpus, inputs
 from .corpus import duck, lit, lines_sql, sql_table
@@ -69,6 +70,35 @@ def minified_files(spark, sf):
     return sql_table(spark, sf, inputs.HEADED).select("repo", "path", files.minified(F.col("content")).alias("minified"))
 
 
+SKIPPED = f"""heads AS (SELECT repo, path, content, content[1:1000] AS s FROM files),
+  judged AS (SELECT repo, path, content, CASE WHEN octet_length(encode(content)) > {files.MAX_FILE_SIZE} THEN 'size'
+      WHEN regexp_matches(lower(path), {_GENERATED}) OR regexp_matches(content[1:500], {_MARKS}) THEN 'generated'
+      WHEN CASE WHEN NOT contains(s, chr(10)) THEN length(s) > 500 ELSE length(s) / len(string_split(s, chr(10))) > 300 OR regexp_matches(s, {_SHAPES}) END THEN 'minified' END AS reason FROM heads),
+  cut AS (SELECT repo, path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line FROM judged WHERE reason IS NULL),
+  skipped AS (SELECT repo, path, CAST(NULL AS INT) AS line, reason FROM judged WHERE reason IS NOT NULL UNION ALL SELECT repo, path, line::INT, 'line length' FROM cut WHERE length(text) > 2000)"""
+
+
+@query("src05_skipped", f"WITH {HEADED}, {SKIPPED} SELECT * FROM skipped")
+def skipped(spark, sf):
+    """What the limits of an interactive scan leave out, with the reason."""
+    return files.skipped(sql_table(spark, sf, inputs.HEADED))
+
+
+@query("src05_skipped_documents", f"WITH {corpus.DOCUMENTS}, {SKIPPED} SELECT * FROM skipped")
+def skipped_documents(spark, sf):
+    return files.skipped(corpus.documents(spark, sf))
+
+
+@query("src01_read_files", "SELECT 'docs' AS repo, doc_id, 'txt' AS language, sha256(text || chr(10)) AS content_sha256, octet_length(encode(text)) + 1 AS size FROM documents")
+def read_back(spark, sf):
+    """Documents stored as a file each, then listed, chosen and read again."""
+    folder = shared_folder(spark)
+    corpus.table(spark, sf, "documents").select("text", F.col("doc_id").alias("doc")).write.partitionBy("doc").text(folder)
+    found = files.read_files(spark, folder, "docs", includes=["part-"])
+    doc_id = F.regexp_extract("path", "doc=([0-9]+)/", 1).cast("long")
+    return found.select("repo", doc_id.alias("doc_id"), "language", F.sha2("content", 256).alias("content_sha256"), "size")
+
+
 @query("src07_lines", f"WITH {corpus.DOCUMENTS},{lines_sql()} SELECT repo, path, line, text FROM lines")
 def all_lines(spark, sf):
     return files.lines(corpus.documents(spark, sf)).select("repo", "path", "line", "text")
