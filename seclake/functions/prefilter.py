@@ -49,6 +49,8 @@ def candidate_flag(candidate: Column, flag: int) -> Column:
 
 def line_candidates(content: Column, patterns: list[Pattern], flags: list[int] | None = None) -> Column:
     """array<bigint>: one candidate per line and possible pattern. `flags` gives 0 to 3 per pattern."""
+    if len(patterns) >= 1 << (_LINE - _NUMBER):
+        raise ValueError(f"at most {(1 << (_LINE - _NUMBER)) - 1} patterns")
     words, free = needed_words(patterns)
     marks = [n << _NUMBER | (flags[n] if flags else 0) for n in range(len(patterns))]
     words = {w: [marks[n] for n in numbers] for w, numbers in words.items()}

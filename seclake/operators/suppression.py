@@ -65,9 +65,8 @@ def apply_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
 def learned_suppression(findings: DataFrame, safe_patterns: DataFrame, respect_prefixes: bool = False) -> DataFrame:
     """Drop findings with a trusted helper within three lines.
 
-    `findings` carries `near` (the lines around). Rules are exploded to prefixes, so that the join is an
-    equality on (repo, prefix) with one row per prefix: a finding meets the helpers of its rule as one
-    list instead of as one row each.
+    `findings` carries `near` (the lines around). Helpers are gathered for each (repo, rule) that occurs, by the
+    prefixes of the rule's code and without any text; each finding then meets the list of its rule once.
     """
     trusted = safe_patterns.where((F.col("confidence") >= 0.6) & (F.col("observed") >= 2))
     codes = trusted.select("repo", F.col("function").alias("helper"), F.explode("codes").alias("prefix")).distinct()
@@ -80,13 +79,11 @@ def learned_suppression(findings: DataFrame, safe_patterns: DataFrame, respect_p
             lambda p: F.startswith(F.col("prefix"), p),
         ))
     helpers = codes.groupBy("repo", "prefix").agg(F.collect_set("helper").alias("helpers"))
-    keys = [c for c in findings.columns if c != "near"]
     prefixes = F.transform(F.sequence(F.lit(1), F.length("code")), lambda n: F.substring("code", F.lit(1), n))
-    probe = findings.select(*KEY, "near", F.explode(prefixes).alias("prefix"))
-    hit = probe.join(helpers, ["repo", "prefix"]).where(
-        F.exists("near", lambda l: F.exists("helpers", lambda h: F.contains(l, h)))
-    )
-    return findings.select(*keys).join(hit.select(*KEY).distinct(), KEY, "left_anti")
+    rules = findings.select("repo", "code").distinct().select("repo", "code", F.explode(prefixes).alias("prefix"))
+    lists = rules.join(helpers, ["repo", "prefix"]).groupBy("repo", "code").agg(F.array_distinct(F.flatten(F.collect_list("helpers"))).alias("helpers"))
+    covered = F.coalesce(F.exists("near", lambda l: F.exists("helpers", lambda h: F.contains(l, h))), F.lit(False))
+    return findings.join(lists, ["repo", "code"], "left").where(~covered).select(*[c for c in findings.columns if c != "near"])
 
 
 def at_least(findings: DataFrame, level: str) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _after_first(parts: Column) -> Column:
+    return F.slice(parts, F.lit(2), F.size(parts))
+
+
 def changed_since(files: DataFrame, changes: DataFrame) -> DataFrame:
     """Files named in a change list; deletions do not count."""
     wanted = changes.where(F.col("status") != "D").select("repo", "path").distinct()
@@ -55,7 +59,7 @@ def added_lines(patches: DataFrame) -> DataFrame:
     kept = [c for c in patches.columns if c != "patch"]
     per_file = patches.select(
         *kept,
-        F.explode(F.slice(F.split(F.concat(F.lit("\n"), "patch"), r"\ndiff --git "), 2, 1_000_000_000)).alias("part"),
+        F.explode(_after_first(F.split(F.concat(F.lit("\n"), "patch"), r"\ndiff --git "))).alias("part"),
     )
     per_file = per_file.withColumn("path", _file_of(F.col("part"))).where(F.col("path").isNotNull())
     hunks = per_file.select(
@@ -63,7 +67,7 @@ def added_lines(patches: DataFrame) -> DataFrame:
         F.explode(F.split("part", r"\n(?=@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)")).alias("hunk"),
     )
     start = F.regexp_extract("hunk", r"\A@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1)
-    body = F.slice(F.split("hunk", "\n"), 2, 1_000_000_000)
+    body = _after_first(F.split("hunk", "\n"))
     body = F.filter(body, lambda l: l.startswith(" ") | (l.startswith("+") & ~l.startswith("+++")))
     numbered = hunks.select(
         *kept, "path", F.when(start != "", start.cast("int")).otherwise(0).alias("start"),

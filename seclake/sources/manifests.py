@@ -54,7 +54,7 @@ def go_mod(content: Column) -> Column:
 
 
 def cargo_lock(content: Column) -> Column:
-    blocks = F.slice(F.split(content, r"\[\[package\]\]"), 2, _EVERYTHING)
+    blocks = F.slice(F.split(content, r"\[\[package\]\]"), F.lit(2), F.size(F.split(content, r"\[\[package\]\]")))
     pick = lambda key: rf'(?m)^\s*{key}\s*=\s*"([^"]+)"'
     named = F.filter(blocks, lambda b: b.rlike(pick("name")) & b.rlike(pick("version")))
     return F.transform(
