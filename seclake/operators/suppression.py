@@ -6,10 +6,10 @@ whether a side is small enough to broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import INTERNAL_PATHS, directory, normal_path
+from ..functions.paths import INTERNAL_PATHS, normal_path
 from ..rules.model import WARNING
 
 KEY = ["repo", "path", "code", "line", "pattern"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.context import inside_comment, inside_markup_text, inside_string, line_states
 from ..operators import history, matching, statistics, suppression
 from ..plans.scan import enabled_rules
-from ..rules import CATEGORY_LABELS, SEVERITY_LABELS, Rule, all_rules, family, history_rules, rx
+from ..rules import CATEGORY_LABELS, Rule, all_rules, family, history_rules, rx
 from ..rules.model import ADVISORY, CODE
 from ..sources.files import lines
 from . import corpus, inputs, oracle

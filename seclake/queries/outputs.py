@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators import export, history, lifecycle, suppression, tasks
-from ..operators.dependencies import vulnerable_packages
+from ..operators import export, history, suppression
 from ..operators.matching import project_advisories
 from ..plans.workspace import shared_folder, written
 from ..rules import all_rules
 from ..sources import policies
 from ..streaming import jobs
 from . import corpus, inputs, oracle
-from .corpus import duck, lines_sql, lit, sql_table
-from .counts import _BUCKETS, ACTIONS, SCANS, TASKS, _SWEPT, scans
+from .corpus import duck, lines_sql, sql_table
+from .counts import _BUCKETS, ACTIONS, _SWEPT
 from .filters import _ADVICE, LEAKS, _LABEL, _SEV
 from .joins import VULNERABLE, advisories_of
 from .registry import query

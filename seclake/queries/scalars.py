@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.confidence import static_confidence
 from ..functions.dialect import any_of, java_regex
 from ..functions.paths import normal_path, path_bucket
 from ..functions.versions import advisory_severity, audit_severity, first_fixed, update_type
 from ..operators import dependencies, export, fixes, learning, scope, statistics, taint
 from ..operators.matching import line_findings, pick_reminders
-from ..plans.scan import editor_scan, findings_with_confidence, two_lines_around, with_adaptive_confidence
+from ..plans.scan import editor_scan, findings_with_confidence, with_adaptive_confidence
 from ..rules import all_rules, family
 from ..rules.taint import FUNCTION_HEAD, SANITISERS, SINKS, SOURCES
-from ..sources import files, reports
+from ..sources import files
 from . import corpus, inputs, oracle
 from .corpus import duck, lines_sql, lit, sql_table
 from .counts import _BUCKET, _LANGS, ACTIONS, STATS, actions

@@ -1,6 +1,6 @@
 """Endpoints, limits and error details."""
 
-from .model import ADVISORY, CODE, ERROR, INFO, REMINDER, WARNING, Rule, rx
+from .model import CODE, INFO, REMINDER, WARNING, Rule, rx
 
 # Fixed values from here on: codes, levels, kinds and patterns decide the findings.
 

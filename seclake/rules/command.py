@@ -1,6 +1,6 @@
 """Shell commands built from input."""
 
-from .model import ADVISORY, CODE, ERROR, INFO, REMINDER, WARNING, Rule, rx
+from .model import CODE, ERROR, Rule, rx
 
 # Fixed values from here on: codes, levels, kinds and patterns decide the findings.
 

@@ -1,6 +1,6 @@
 """JSON web token verification."""
 
-from .model import ADVISORY, CODE, ERROR, INFO, REMINDER, WARNING, Rule, rx
+from .model import CODE, ERROR, INFO, WARNING, Rule, rx
 
 # Fixed values from here on: codes, levels, kinds and patterns decide the findings.
 

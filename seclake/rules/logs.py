@@ -1,6 +1,6 @@
 """Secrets in logs and audit reminders."""
 
-from .model import ADVISORY, CODE, ERROR, INFO, REMINDER, WARNING, Rule, rx
+from .model import ADVISORY, CODE, ERROR, INFO, REMINDER, Rule, rx
 
 # Fixed values from here on: codes, levels, kinds and patterns decide the findings.
 

@@ -1,6 +1,5 @@
 """The catalogue: shape, coverage, prefilter and dialect."""
 
-import re
 import time
 
 import pytest
@@ -10,7 +9,7 @@ from seclake.functions.dialect import any_of, java_regex
 from seclake.functions.literals import required
 from seclake.operators.matching import scan_rules
 from seclake.queries.snippets import SNIPPETS
-from seclake.rules import CATEGORY_LABELS, FAMILIES, all_rules, family, history_rules, rule, rules_in, rx
+from seclake.rules import CATEGORY_LABELS, all_rules, family, history_rules, rule, rules_in, rx
 from seclake.rules.model import ADVISORY, CODE, REMINDER
 
 # Inputs that make careless patterns slow.

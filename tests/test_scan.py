@@ -6,10 +6,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from seclake.functions.context import BLOCK, DEPTH, QUOTED, TEMPLATE, walk
-from seclake.operators.matching import pattern_table, project_advisories, scan_rules
+from seclake.functions.context import BLOCK, QUOTED, TEMPLATE, walk
+from seclake.operators.matching import project_advisories, scan_rules
 from seclake.operators.taint import taint_findings, taint_hits
-from seclake.plans.scan import editor_scan, findings_with_confidence, scan
+from seclake.plans.scan import editor_scan, scan
 from seclake.queries import ORACLES, corpus, oracle
 from seclake.queries.snippets import SNIPPETS
 from seclake.rules import Rule, all_rules, rule, rx
