@@ -3,15 +3,18 @@
 A window is `length` consecutive words. A window that also starts in a document with a smaller identifier loses its
 words. The work is cut into shards by content, so that equal windows meet and nothing is compared across shards:
 
-1. A window's route is the smallest hash of its three-word runs. Consecutive windows of one route form a stretch of
+1. Every task tells which word pairs it has seen in one document and which in several; pairs stand for hashed positions of a bit
+   map of at most 2^`pair_bits` bits, whose size does not depend on the input. A window that holds a pair of one document only
+   cannot repeat and is set aside. The map can only let too many through.
+2. A window's route is the smallest hash of its three-word runs. Consecutive windows of one route form a stretch of
    words, which goes to the shard of the route. Before that, each task drops stretches that it has also seen
    whole in a smaller document: their windows are covered already, and a passage that a third of all documents hold
    sends one stretch from each task.
-2. Each shard builds an FM-index (wavelet tree over the sorted rotations) of its stretches and streams them through it: backward search
+3. Each shard builds an FM-index (wavelet tree over the sorted rotations) of its stretches and streams them through it: backward search
    gives the range of suffixes that match each window to the threshold length, and the range's smallest
    document decides. A hash of the whole window sets aside windows that no second document has before anything is
    indexed; it can only let too many through.
-3. Spans of covered words go back to their documents, and words outside all spans stay.
+4. Spans of covered words go back to their documents, and words outside all spans stay.
 
 Words are compared by 64-bit hashes, 13 of them at a time by default. The number of shards follows the size of
 the texts, so that each holds about `shard_words` words.
@@ -109,11 +112,81 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _pairs(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The position in the bit map of each word and the one after it."""
+    with np.errstate(over="ignore"):
+        return (_mixed(hashes[:-1] * np.uint64(_STEP) + hashes[1:]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _parts(texts: list[bytes], size: int = 4_000_000) -> list[np.ndarray]:
+    """Rows of consecutive texts of about so many bytes."""
+    bounds = np.cumsum([len(t) for t in texts]) // size
+    return [x for x in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(bounds)) + 1) if len(x)]
+
+
+def shared_pairs(docs: DataFrame, bits: int, range_bits: int = 20) -> np.ndarray:
+    """Bytes of the bit map of word pairs that more than one document has; 2^bits / 8 of them."""
+    range_bits = min(range_bits, bits)
+
+    def found(batches):
+        import pyarrow as pa
+
+        codes = Codes()
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
+            rows = []
+            for part in _parts(texts):
+                if len(codes) > 600_000:
+                    codes = Codes()
+                coded = [codes.of(texts[i].split()) for i in part]
+                table = codes.table()
+                at = [_pairs(table[c], bits) for c in coded if len(c) > 1]
+                if not at:
+                    continue
+                _, owner = np.unique([NO_ID if ids[i] is None else ids[i] for i, c in zip(part, coded, strict=True) if len(c) > 1], return_inverse=True)
+                key = np.sort((np.concatenate(at) << 24) + np.repeat(owner, [len(a) for a in at]))
+                place = key >> 24
+                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                several = key[first] != key[np.append(first[1:], len(key)) - 1]
+                place = place[first]
+                for cut in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place >> range_bits)) + 1):
+                    inside = place[cut] & ((1 << range_bits) - 1)
+                    rows.append((int(place[cut[0]] >> range_bits), _pack(np.diff(inside, prepend=0).astype("u4"), np.packbits(several[cut]))))
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["range", "blob"])
+
+    def merged(batches):
+        import pyarrow as pa
+
+        def row(number, seen):
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(seen > 1, bitorder="little").tobytes()], pa.binary())], names=["range", "bits"])
+
+        open_range, seen = None, None
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if number != open_range:
+                    if seen is not None:
+                        yield row(open_range, seen)
+                    open_range, seen = number, np.zeros(1 << range_bits, np.uint8)
+                steps, several = _unpack(blob)
+                place = np.cumsum(steps, dtype=np.int64)
+                seen[place] = np.minimum(seen[place] + 1 + np.unpackbits(several, count=len(place)), 2)
+        if seen is not None:
+            yield row(open_range, seen)
+
+    dealt = docs.select("doc_id", "text").mapInArrow(found, "range int, blob binary").repartition("range").sortWithinPartitions("range")
+    out = np.zeros(1 << max(0, bits - 3), np.uint8)
+    size = max(1, (1 << range_bits) >> 3)
+    for r in dealt.mapInArrow(merged, "range int, bits binary").collect():  # the whole map is 2^bits / 8 bytes
+        out[r["range"] * size : (r["range"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 class _Stretches:
     """Stretches of a task's documents, sent off when enough words have come together."""
 
-    def __init__(self, shards: int, length: int) -> None:
-        self.shards, self.length, self.codes = shards, length, Codes()
+    def __init__(self, shards: int, length: int, shared: np.ndarray) -> None:
+        self.shards, self.length, self.codes, self.shared = shards, length, Codes(), shared
+        self.bits = int(len(shared) * 8).bit_length() - 1
         self.clear()
 
     def clear(self) -> None:
@@ -135,8 +208,14 @@ class _Stretches:
         ends = np.cumsum(sizes)
         at = _gather(ends - sizes, np.maximum(sizes - self.length + 1, 0))  # first words of windows
         doc = np.repeat(np.arange(len(texts)), np.maximum(sizes - self.length + 1, 0))
+        pair = _pairs(hashes, self.bits)
+        alone = np.concatenate([[0], np.cumsum((self.shared[pair >> 3] >> (pair & 7).astype(np.uint8) & 1) == 0)])
+        can_repeat = alone[at + self.length - 1] == alone[at]
+        at, doc = at[can_repeat], doc[can_repeat]
+        if not len(at):
+            return
         route = routes[at]
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (route[1:] != route[:-1])])
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (route[1:] != route[:-1]) | (np.diff(at) != 1)])
         first = np.flatnonzero(new)
         windows = np.diff(np.append(first, len(at)))
         with np.errstate(over="ignore"):
@@ -146,7 +225,7 @@ class _Stretches:
         start = at[first] - (ends - sizes)[owner]
         taken = _gather(at[first], windows + self.length - 1)
         self.parts.append((ids[owner], copies[owner], start, windows, (route[first] % np.uint64(self.shards)).astype(np.int64), same, words[taken]))
-        self.words += n
+        self.words += len(taken) // 3
 
     def flush(self):
         """(shard, blob) rows: spans that are settled here, and each shard's stretches."""
@@ -251,13 +330,14 @@ def _spans(blobs: list[list[np.ndarray]], length: int):
     return ids[stretch[first]], copies[stretch[first]], position[first].astype("i4"), (position[last] + length).astype("i4")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_words: int = 2_000_000, task_words: int = 3_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_words: int = 2_000_000, task_words: int = 1_500_000, pair_bits: int = 28) -> DataFrame:
     """(doc_id, copy, begin, end): words of (doc_id long, copy long, text string) that repeat a smaller document's; spans may overlap."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(4 * partitions, size // 2 // shard_words)  # stretches overlap: about half a word for each byte
     partitions = max(partitions, shards // 4)
+    shared = spark.sparkContext.broadcast(shared_pairs(docs, min(pair_bits, max(16, int(size).bit_length()))))  # 2^pair_bits bits at most
 
     def stretches(batches):
         import pyarrow as pa
@@ -266,14 +346,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_words: int = 2_0
             found = list(made)
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["shard", "blob"])
 
-        state = _Stretches(shards, length)
+        state = _Stretches(shards, length, shared.value)
         for batch in batches:
             ids = np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], np.int64)
             copies, texts = batch.column(1).to_numpy(), text_bytes(batch.column(2))
-            bounds = np.cumsum([len(t) for t in texts]) // 4_000_000
-            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(bounds)) + 1):
-                if len(part):
-                    state.add(ids[part], copies[part], texts[part[0] : part[-1] + 1])
+            for part in _parts(texts):
+                state.add(ids[part], copies[part], texts[part[0] : part[-1] + 1])
                 if state.words >= task_words:
                     yield rows(state.flush())
         yield rows(state.flush())
