@@ -36,12 +36,12 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", heavy: DataFrame | None = None, share: int = 1000) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", heavy: DataFrame | None = None, share: int = 1000, stored: bool = False) -> DataFrame:
     """Join rows with a table that has one row a key, where a few keys may hold most of the rows.
 
     Keys with more than one row in `share` are at most `share` many, so that their side of `right` can be
     broadcast however large the tables are. All other keys are joined by a shuffle, in which none can
-    load one task. `heavy` names the hot keys where the caller has counted them already. Both tables are
+    load one task. `heavy` names the hot keys where the caller has counted them already; `stored` says that it is a small stored table. Both tables are
     read twice: pass stored ones. Keys must not be null.
     """
     keys = list(keys)
@@ -49,7 +49,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         total = left.count()
         heavy = counts.where(F.col("_rows") > max(1, total // share)).select(*keys)
-    heavy = written(heavy.select(*keys)).withColumn("_hot", F.lit(True))
+    heavy = (heavy if stored else written(heavy.select(*keys))).select(*keys).withColumn("_hot", F.lit(True))
     flagged = left.join(F.broadcast(heavy), keys, "left")
     hot_right = right.join(F.broadcast(heavy.select(*keys)), keys, "left_semi")
     hot = flagged.where(F.col("_hot")).drop("_hot").join(F.broadcast(hot_right), keys, how)

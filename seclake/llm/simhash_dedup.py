@@ -162,9 +162,11 @@ def components(edges: DataFrame) -> DataFrame:
     Ends when a round changes nothing.
     """
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degrees = both.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    hubs = written(degrees.where(F.col("n") > max(1, both.count() // 1000)).select("b"))
     labels = written(both.groupBy(F.col("a").alias("mark")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
-        seen = skew_join(both, labels.withColumnRenamed("mark", "b"), ["b"], "inner")
+        seen = skew_join(both, labels.withColumnRenamed("mark", "b"), ["b"], "inner", hubs, stored=True)
         lower = seen.groupBy(F.col("a").alias("mark")).agg(F.min("root").alias("near"))
         hooked = written(labels.join(lower, "mark").select("mark", F.col("root").alias("old"), F.least("root", "near").alias("root")))
         jump = hooked.select(F.col("mark").alias("root"), F.col("root").alias("up"))
