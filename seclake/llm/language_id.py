@@ -57,25 +57,25 @@ class LanguageModel:
                     c.update(grams(w, n))
                 seen.append(c if n == 1 else Counter({g: k for g, k in c.items() if k >= min_count}))
             self.tables[n] = self._logs(seen, smooth)
-        self.other = np.zeros(len(self.languages), np.float32)
+        self.other = (0.0,) * len(self.languages)
 
     @staticmethod
-    def _logs(counts: list[Counter], smooth: float) -> dict[str, np.ndarray]:
+    def _logs(counts: list[Counter], smooth: float) -> dict[str, tuple[float, ...]]:
         entries = sorted(set().union(*counts)) if counts else []
         if not entries:
             return {}
         table = np.array([[c[e] for c in counts] for e in entries], np.float64) + smooth
-        table = np.log(table / table.sum(axis=0)).astype(np.float32)
-        return dict(zip(entries, table, strict=True))
+        return dict(zip(entries, map(tuple, np.log(table / table.sum(axis=0)).tolist()), strict=True))
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> tuple[float, ...]:
         found = self.words.get(word)
         if found is not None:
             return found
         for n in range(min(self.longest, len(word) + 2), 0, -1):
-            known = [self.tables[n][g] for g in grams(word, n) if g in self.tables[n]]
+            table = self.tables[n]
+            known = [table[g] for g in grams(word, n) if g in table]
             if known:
-                return np.mean(known, axis=0)
+                return tuple([sum(column) / len(known) for column in zip(*known, strict=True)])
         return self.other
 
 
@@ -84,19 +84,25 @@ class _Scores(dict):
 
     def __init__(self, model: LanguageModel) -> None:
         super().__init__()
-        self.model, self.new = model, []
+        self.model, self.new, self.by_word = model, [], {}
         self.matrix, self.used = np.zeros((1024, len(model.languages) + 2), np.float32), 0
 
     def __missing__(self, stretch: bytes) -> int:
         text = stretch.decode("utf-8", "replace")
-        row = np.zeros(self.matrix.shape[1], np.float32)
-        for w in (found := words(text)):
-            row[:-2] += self.model.word(w)
-        row[-2:] = len(found), any(map(str.isalpha, text))
-        self.new.append(row)
+        found = words(text)
+        scores = [self.score(w) for w in found]
+        total = scores[0] if len(scores) == 1 else [sum(column) for column in zip(*scores, strict=True)] or self.model.other
+        letters = any(w.isalpha() for w in found) or any(map(str.isalpha, text))
+        self.new.append((*total, len(found), letters))
         number = self[stretch] = len(self)
         return number
 
+    def score(self, word: str) -> tuple[float, ...]:
+        found = self.by_word.get(word)
+        if found is None:
+            found = self.by_word[word] = self.model.word(word)
+        return found
+
     def total(self, stretches: list[bytes]) -> np.ndarray:
         numbers = np.fromiter(map(self.__getitem__, stretches), np.int64, len(stretches))
         if self.new:
