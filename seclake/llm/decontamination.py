@@ -1,8 +1,8 @@
 """Benchmark decontamination with SimHash fingerprints of item-sized windows.
 
-1. Shingles of every document meet the shingles of the benchmark. A window that is similar enough to an item
-   shares shingles with it, so windows are placed where a shared shingle lies as it does in an item (and `slack`
-   words to either side); no other window can pass step 4.
+1. Shingles of every document meet the shingles of the benchmark. Of two lists of a and b shingles whose similarity is s,
+   s / (1 + s) * (a + b) are shared, so every window with so many places that hold a shingle of an item of its size is
+   a candidate, wherever they lie in the item; no other window can pass step 4.
 2. Each window has the item's number of words and gets a SimHash fingerprint of its shingles.
 3. Fingerprints are cut into `radius + 1` blocks. Two that differ in at most `radius` bits agree on a block, so a
    join on (item size, block, value) finds them all; the distance is then counted.
@@ -62,7 +62,7 @@ def weighted_similarity(a: Column, b: Column) -> Column:
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-            shingle: int = 5, similarity: float = 0.8, radius: int = 20, slack: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:
+            shingle: int = 5, similarity: float = 0.8, radius: int = 20, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The best window of every (document, item) pair of enough similarity: doc_id, item_id, start, n_words, distance, similarity.
 
     `start` counts words from 0. A radius of 20 bits is over three standard deviations above the distance that is
@@ -75,24 +75,30 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     own = written(own.select("item_id", "n_words", "k", of_size.alias("item_shingles")))
     small = own.agg(F.sum(F.size("item_shingles"))).first()[0] or 0
     hint = F.broadcast if small <= broadcast_rows else (lambda table: table)
-    placed = own.select("k", "n_words", F.posexplode("item_shingles").alias("at", "h"))
+    placed = own.select("k", "n_words", F.explode("item_shingles").alias("h"))
 
     texts = id_text(docs, id_col, text_col)
     listed = texts.select("doc_id", F.xxhash64("text").alias("copy"), words(F.col("text")).alias("w"))
     every = reduce(DataFrame.unionByName, [listed.select("doc_id", "copy", F.size("w").alias("n"), F.lit(k).alias("k"), F.posexplode(shingles(F.col("w"), k)).alias("pos", "h")) for k in sizes or [shingle]])
-    # Windows by size, as items of one size share them; each where a shared shingle lies as it does in an item.
+    # Windows by size, as items of one size share them. A window of enough similarity s has at least s / (1 + s) of its own and
+    # its item's shingles in common with the item, so at least so many of its places hold a shingle of an item, whatever lies between.
     hits = every.join(hint(placed.distinct()), ["k", "h"])
-    starts = F.explode(F.sequence(F.col("pos") - F.col("at") - slack, F.col("pos") - F.col("at") + slack)).alias("start")
-    clipped = F.greatest(F.lit(0), F.least(F.col("start"), F.col("n") - F.col("n_words")))
-    windows = hits.select("doc_id", "copy", "k", "n_words", "n", starts).groupBy("doc_id", "copy", "k", "n_words", clipped.alias("start")).agg(F.count(F.lit(1)).alias("hits"))
-    # A window shares at least `similarity` of its item's shingles. One insertion or deletion between them leaves half of these in one place.
-    windows = windows.where(F.col("hits") >= similarity / 2 * (F.col("n_words") - F.col("k") + 1) - 1e-9)
-    wanted = windows.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("k", "n_words", "start")).alias("wanted")).withColumnRenamed("doc_id", "_id").withColumnRenamed("copy", "_copy")
+    of_item, of_window = F.col("n_words") - F.col("k") + 1, F.least("n", "n_words") - F.col("k") + 1
+    need = F.greatest(F.lit(1), F.ceil(similarity / (1 + similarity) * (of_item + of_window) - 1e-9).cast("int"))
+    places = hits.groupBy("doc_id", "copy", "k", "n_words", "n").agg(F.sort_array(F.collect_set("pos")).alias("at")).withColumn("need", need).where(F.size("at") >= F.col("need"))
+    # Starts of the windows that hold places i to i + need - 1 but not place i - 1; a document shorter than the item has the start 0 only.
+    last = F.greatest(F.lit(0), F.col("n") - F.col("n_words"))
+    new = lambda i: F.struct(F.greatest(F.lit(0), F.get("at", i + F.col("need") - 1) - of_item + 1, F.coalesce(F.when(i > 0, F.get("at", i - 1)), F.lit(-1)) + 1).alias("first"), F.least(F.get("at", i), last).alias("last"))
+    ranges = F.filter(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), new), lambda x: x["first"] <= x["last"])
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last")))
+    windows = places.select("doc_id", "copy", "k", "n_words", F.inline(F.when(F.col("n") < F.col("n_words"), whole).otherwise(ranges)))
+    wanted = windows.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("k", "n_words", "first", "last")).alias("wanted")).withColumnRenamed("doc_id", "_id").withColumnRenamed("copy", "_copy")
     chosen = texts.withColumn("copy", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).select("doc_id", "copy", words(F.col("text")).alias("w"), "wanted").withColumn("row", F.monotonically_increasing_id())
-    by_size = chosen.withColumn("s", F.array(*[shingles(F.col("w"), k) for k in sizes or [shingle]]))
+    by_size = chosen.select("doc_id", "row", "wanted", F.array(*[shingles(F.col("w"), k) for k in sizes or [shingle]]).alias("s"))
     which = F.create_map(*[F.lit(x) for i, k in enumerate(sizes or [shingle]) for x in (k, i)])
-    cut = F.transform("wanted", lambda x: F.struct(x["k"].alias("k"), x["n_words"].alias("n_words"), x["start"].alias("start"), F.slice(F.get("s", which[x["k"]]), x["start"] + 1, x["n_words"] - x["k"] + 1).alias("window")))
-    candidates = written(by_size.select("doc_id", "row", F.inline(cut)))
+    started = by_size.select("doc_id", "row", "s", F.inline("wanted")).select("doc_id", "row", "s", "k", "n_words", F.explode(F.sequence("first", "last")).alias("start"))
+    cut = F.slice(F.get("s", which[F.col("k")]), F.col("start") + 1, of_item)
+    candidates = written(started.select("doc_id", "row", "k", "n_words", "start", cut.alias("window")))
 
     bits = candidates.select("row", "k", "n_words", "start", F.explode("window").alias("h")).groupBy("row", "k", "n_words", "start").agg(fingerprint("h").alias("mark"))
     item_bits = own.select("item_id", "n_words", "k", F.explode("item_shingles").alias("h")).groupBy("item_id", "n_words", "k").agg(fingerprint("h").alias("item_mark"))

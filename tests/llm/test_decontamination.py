@@ -66,6 +66,26 @@ def test_equals_brute_force_on_planted_windows(docs, items):
     assert all(abs(best[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_spread_edits_of_long_items(docs, items):
+    dice = random.Random(5)
+    word = lambda: "".join(dice.choices("abcdefghij", k=dice.randint(3, 7)))
+    sizes = (200, 200, 350, 600, 1000)
+    benchmark = [(n, " ".join(word() for _ in range(size))) for n, size in enumerate(sizes)]
+    texts = []
+    for n, (_, text) in enumerate(benchmark):
+        for edits, length, cut in ((2, 5, 0), (3, 3, 0), (4, 0, 3), (5, 2, 2), (8, 4, 0)):
+            item = text.split()
+            for at in sorted((len(item) * (e + 1) // (edits + 1) for e in range(edits)), reverse=True):
+                item[at : at + cut] = [word() for _ in range(length)]
+            filler = [word() for _ in range(dice.choice([0, 40]))]
+            texts.append((10 * n + edits, " ".join([*filler, *item, *filler])))
+    # Two 5-word insertions at the thirds of a 200-word item: similarity 0.832, and no alignment keeps 0.4 of the shingles.
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(docs(*texts), items(*benchmark)).collect()}
+    want = brute(texts, benchmark)
+    assert {(2, 0), (12, 1)} <= got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_empty_tables(docs, items):
     some, none = docs((1, "a b c d e f")), docs((1, "x")).where("doc_id < 0")
     assert decontamination.matches(some, items((1, "x")).where("item_id < 0")).collect() == []
