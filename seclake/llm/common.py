@@ -26,6 +26,30 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return named(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
 
 
+def text_key(text: Column) -> Column:
+    """What tells rows of one identifier apart: a hash of the text, null texts as empty ones."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose (doc_id, copy), the copy being the text's key, is not among `dropped`; all their columns.
+
+    Of the rows that share a (doc_id, copy) of `repeated` one is left, by the hash of all its columns. Both tables
+    hold a key once; null identifiers are equal.
+    """
+    own_id, own_copy = F.col(f"`{id_col}`"), text_key(F.col(f"`{text_col}`"))
+    among = lambda keys: own_id.eqNullSafe(keys["_id"]) & (own_copy == keys["_copy"])
+    as_keys = lambda keys: keys.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
+    gone = as_keys(dropped)
+    left = docs.join(gone, among(gone), "left_anti")
+    if repeated is None or repeated.limit(1).count() == 0:
+        return left
+    many = as_keys(repeated)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = left.join(many, among(many), "left_semi").groupBy(own_id.alias("_id"), own_copy.alias("_copy")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
+    return left.join(many, among(many), "left_anti").unionByName(one.select("_row.*"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.workspace import written
-from .common import BLANKS, id_text
+from .common import BLANKS, id_text, text_key, without_rows
 
 BITS = 64
 
@@ -61,11 +61,19 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-            shingle: int = 5, similarity: float = 0.8, radius: int = 20, broadcast_rows: int = 1_000_000) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The best window of every (document, item) pair of enough similarity: doc_id, item_id, start, n_words, distance, similarity.
 
-    `start` counts words from 0. A radius of 20 bits is over three standard deviations above the distance that is
+    `start` counts words from 0. Options are those of `keyed_matches`.
+    """
+    return keyed_matches(docs, items, id_col, text_col, **options).drop("copy")
+
+
+def keyed_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+                  shingle: int = 5, similarity: float = 0.8, radius: int = 20, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The matches with the copy (the text's key), by which rows of one identifier differ.
+
+    A radius of 20 bits is over three standard deviations above the distance that is
     expected at a similarity of 0.8.
     """
     own = id_text(items, item_id_col, item_text_col).select(F.col("doc_id").alias("item_id"), words(F.col("text")).alias("w"))
@@ -78,7 +86,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     placed = own.select("k", "n_words", F.explode("item_shingles").alias("h"))
 
     texts = id_text(docs, id_col, text_col)
-    listed = texts.select("doc_id", F.xxhash64("text").alias("copy"), words(F.col("text")).alias("w"))
+    listed = texts.select("doc_id", text_key(F.col("text")).alias("copy"), words(F.col("text")).alias("w"))
     every = reduce(DataFrame.unionByName, [listed.select("doc_id", "copy", F.size("w").alias("n"), F.lit(k).alias("k"), F.posexplode(shingles(F.col("w"), k)).alias("pos", "h")) for k in sizes or [shingle]])
     # Windows by size, as items of one size share them. A window of enough similarity s has at least s / (1 + s) of its own and
     # its item's shingles in common with the item, so at least so many of its places hold a shingle of an item, whatever lies between.
@@ -93,12 +101,12 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     whole = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last")))
     windows = places.select("doc_id", "copy", "k", "n_words", F.inline(F.when(F.col("n") < F.col("n_words"), whole).otherwise(ranges)))
     wanted = windows.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("k", "n_words", "first", "last")).alias("wanted")).withColumnRenamed("doc_id", "_id").withColumnRenamed("copy", "_copy")
-    chosen = texts.withColumn("copy", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).select("doc_id", "copy", words(F.col("text")).alias("w"), "wanted").withColumn("row", F.monotonically_increasing_id())
-    by_size = chosen.select("doc_id", "row", "wanted", F.array(*[shingles(F.col("w"), k) for k in sizes or [shingle]]).alias("s"))
+    chosen = texts.withColumn("copy", text_key(F.col("text"))).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).select("doc_id", "copy", words(F.col("text")).alias("w"), "wanted").withColumn("row", F.monotonically_increasing_id())
+    by_size = chosen.select("doc_id", "copy", "row", "wanted", F.array(*[shingles(F.col("w"), k) for k in sizes or [shingle]]).alias("s"))
     which = F.create_map(*[F.lit(x) for i, k in enumerate(sizes or [shingle]) for x in (k, i)])
-    started = by_size.select("doc_id", "row", "s", F.inline("wanted")).select("doc_id", "row", "s", "k", "n_words", F.explode(F.sequence("first", "last")).alias("start"))
+    started = by_size.select("doc_id", "copy", "row", "s", F.inline("wanted")).select("doc_id", "copy", "row", "s", "k", "n_words", F.explode(F.sequence("first", "last")).alias("start"))
     cut = F.slice(F.get("s", which[F.col("k")]), F.col("start") + 1, of_item)
-    candidates = written(started.select("doc_id", "row", "k", "n_words", "start", cut.alias("window")))
+    candidates = written(started.select("doc_id", "copy", "row", "k", "n_words", "start", cut.alias("window")))
 
     bits = candidates.select("row", "k", "n_words", "start", F.explode("window").alias("h")).groupBy("row", "k", "n_words", "start").agg(fingerprint("h").alias("mark"))
     item_bits = own.select("item_id", "n_words", "k", F.explode("item_shingles").alias("h")).groupBy("item_id", "n_words", "k").agg(fingerprint("h").alias("item_mark"))
@@ -109,11 +117,11 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     full = near.join(candidates, ["row", "k", "n_words", "start"]).join(hint(own.select("item_id", "item_shingles")), "item_id")
     full = full.withColumn("similarity", weighted_similarity(F.col("window"), F.col("item_shingles"))).where(F.col("similarity") >= similarity - 1e-12)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words", "distance")).alias("best")
-    found = full.groupBy("row", "doc_id", "item_id").agg(best)
-    return found.select("doc_id", "item_id", (-F.col("best.back")).alias("start"), F.col("best.n_words").alias("n_words"), F.col("best.distance").alias("distance"), F.col("best.similarity").alias("similarity"))
+    found = full.groupBy("row", "doc_id", "copy", "item_id").agg(best)
+    return found.select("doc_id", "copy", "item_id", (-F.col("best.back")).alias("start"), F.col("best.n_words").alias("n_words"), F.col("best.distance").alias("distance"), F.col("best.similarity").alias("similarity"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    leaked = matches(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col(f"`{id_col}`").eqNullSafe(F.col("_leaked")), "left_anti")
+    leaked = keyed_matches(docs, items, id_col, text_col, **options).select("doc_id", "copy").distinct()
+    return without_rows(docs, leaked, id_col=id_col, text_col=text_col)

@@ -11,7 +11,8 @@ by rounds of hooking to the smallest neighbour, each stored in the shared folder
 
 Defined results: null and empty texts have fingerprint zero, which is linked like any other; texts with fewer words than
 a shingle have one shingle of them all; repeated rows repeat their result; a null identifier belongs to its
-component but does not name it unless it has no other; an empty table gives no rows; other columns are ignored.
+component but does not name it unless it has no other; an empty table gives no rows; other columns are ignored. Of the rows
+that `one_of_each` is given, one is left of each component, also where rows repeat the identifier that names it or have none.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.workspace import written
-from .common import id_text, skew_join, text_bytes
+from .common import id_text, skew_join, text_bytes, text_key, without_rows
 
 BITS, SEED = 64, 42
 
@@ -49,8 +50,8 @@ def simhash(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, mark), the mark as a signed 64-bit number."""
-    table = id_text(docs, id_col, text_col)
+    """(doc_id, copy, mark): the text's key, and the mark as a signed 64-bit number."""
+    table = id_text(docs, id_col, text_col).withColumn("copy", text_key(F.col("text")))
     kind = table.schema["doc_id"].dataType.simpleString()
 
     def marks(batches):
@@ -58,9 +59,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for batch in batches:
             found = np.array([simhash(t, shingle) for t in text_bytes(batch.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "mark"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found)], names=["doc_id", "copy", "mark"])
 
-    return table.mapInArrow(marks, f"doc_id {kind}, mark long")
+    return table.mapInArrow(marks, f"doc_id {kind}, copy long, mark long")
 
 
 def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -177,21 +178,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, group_rows: int = 20_000, agree: int | None = None) -> DataFrame:
-    """One row a document: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable)."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, radius: int = 4, group_rows: int = 20_000, agree: int | None = None) -> DataFrame:
+    """doc_id, copy, mark, root (the component's smallest mark) and component_id of all rows."""
     rows = written(fingerprints(docs, id_col, text_col, shingle))
     marks = written(rows.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     found = written(links(marks.select("mark"), radius, group_rows, agree))
     roots = components(found)
     rooted = marks.join(roots, "mark", "left").select("mark", "first", "n", F.coalesce("root", "mark").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(skew_join(written(rooted), written(smallest), ["root"], "inner").select("mark", "component_id", "n"))
+    named = written(skew_join(written(rooted), written(smallest), ["root"], "inner").select("mark", "root", "component_id", "n"))
     heavy = named.where(F.col("n") > F.greatest(F.lit(1), F.lit(rows.count() / 1000)))
-    joined = skew_join(rows, named.drop("n"), ["mark"], "inner", heavy)
+    return skew_join(rows, named.drop("n"), ["mark"], "inner", heavy)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, group_rows: int = 20_000, agree: int | None = None) -> DataFrame:
+    """One row a document: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable)."""
+    joined = _placed(docs, id_col, text_col, shingle, radius, group_rows, agree)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document that names each component, with all its columns."""
-    dropped = near_duplicates(docs, id_col, text_col, **options).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(f"`{id_col}`").eqNullSafe(F.col("_dropped")), "left_anti")
+    """The document that names each component, one row of each, with all its columns."""
+    placed = _placed(docs, id_col, text_col, **options).withColumn("names", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keys = written(placed.groupBy("doc_id", "copy", "root", "names").agg(F.count(F.lit(1)).alias("n")))
+    # Of a component's rows with the identifier that names it, the one with the least copy.
+    first = keys.where("names").groupBy("root").agg(F.min("copy").alias("first"), F.count(F.lit(1)).alias("copies"))
+    more = written(first.where(F.col("copies") > 1))
+    others = keys.where("names").join(more, "root").where(F.col("copy") != F.col("first"))
+    dropped = keys.where(~F.col("names")).select("doc_id", "copy").unionByName(others.select("doc_id", "copy"))
+    repeated = keys.where(F.col("names") & (F.col("n") > 1)).select("doc_id", "copy")
+    return without_rows(docs, dropped, repeated, id_col, text_col)

@@ -98,6 +98,13 @@ def test_without_leaks_keeps_columns_and_clean_rows(docs, items):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {2, None}
 
 
+def test_without_leaks_drops_rows_not_identifiers(docs, items):
+    leak = "w0 w1 w2 w3 w4 w5 w6 w7 w8"
+    table = docs((None, leak), (None, "clean"), (None, None), (4, leak), (4, "clean too"), (5, leak), (5, leak))
+    kept = decontamination.without_leaks(table, items((1, "w1 w2 w3 w4 w5 w6 w7"))).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "clean"), (4, "clean too")]
+
+
 def test_query_finds_what_brute_force_finds(spark):
     read = lambda name, *c: [tuple(r) for r in spark.read.parquet(f"{SF}/{name}.parquet").select(*c).collect()]
     want = brute(read("documents", "doc_id", "text"), read("benchmark", "item_id", "text"))

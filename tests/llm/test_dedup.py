@@ -41,6 +41,13 @@ def test_without_copies_keeps_all_columns(docs):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {3, 4, 5, 6, 7, 8, 9}
 
 
+def test_without_copies_drops_rows_not_identifiers(docs):
+    rows = [(None, "A"), (None, "B"), (7, "B"), (8, "C"), (8, "D"), (9, "d"), (5, "E"), (5, "E"), (5, "e"), (None, "F"), (None, "F"), (None, None), (None, "")]
+    for keep, d_id in (("max", 9), ("min", 8)):
+        kept = sorted((lowered(r.text), r.doc_id) for r in exact_dedup.without_copies(docs(*rows), keep=keep).collect())
+        assert kept == [("", None), ("a", None), ("b", 7), ("c", 8), ("d", d_id), ("e", 5), ("f", None)]
+
+
 def expected_lines(rows, minimum, threshold):
     key = lambda line: lowered(line.strip(" \t\n\x0b\f\r"))
     seen = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")})

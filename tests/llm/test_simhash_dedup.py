@@ -95,3 +95,10 @@ def test_one_of_each_keeps_columns(docs):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert got(queries.QUERIES["op8_simhash_dedup"](spark, SF)) == brute(rows)
+
+
+def test_one_of_each_drops_rows_not_identifiers(docs):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (7, b), (8, c), (8, d), (9, d.upper()), (8, a.upper()), (3, c), (3, c), (3, c.upper()), (None, ""), (None, None)]
+    kept = sorted(((r.text or "").lower()[:1], r.doc_id or 0) for r in simhash_dedup.one_of_each(docs(*rows)).collect())
+    assert kept == [("", 0), ("a", 8), ("b", 7), ("c", 3), ("d", 8)]
