@@ -72,13 +72,17 @@ _SAFE = """SELECT source AS repo, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'sess
   CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'AUTH' WHEN 1 THEN 'K8S001' WHEN 2 THEN 'CORS00' ELSE 'BIZ' END AS prefix, COUNT(*) AS observed FROM {documents} GROUP BY 1, 2, 3"""
 
 
+def learned_helpers(spark, sf):
+    return sql_table(spark, sf, _SAFE).select(
+        "repo", F.col("helper").alias("function"), F.array("prefix").alias("codes"), "observed", F.lit(0.6).alias("confidence")
+    )
+
+
 @query("jn05_learned_suppression", f"""WITH {inputs.FINDINGS}, safe AS ({duck(_SAFE)})
 SELECT {_KEY} FROM findings f WHERE NOT EXISTS (SELECT 1 FROM safe s JOIN lines n ON n.repo = s.repo WHERE s.observed >= 2 AND s.repo = f.repo AND starts_with(f.code, s.prefix)
   AND n.path = f.path AND n.line BETWEEN f.line - 3 AND f.line + 3 AND contains(n.text, s.helper))""")
 def learned_suppression(spark, sf):
-    safe = sql_table(spark, sf, _SAFE).select(
-        "repo", F.col("helper").alias("function"), F.array("prefix").alias("codes"), "observed", F.lit(0.6).alias("confidence")
-    )
+    safe = learned_helpers(spark, sf)
     found = pick_reminders(line_findings(corpus.code(spark, sf), inputs.RULES, keep_near=True)).select(*KEY, "near")
     return suppression.learned_suppression(found, safe)
 

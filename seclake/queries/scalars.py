@@ -8,16 +8,16 @@ from ..functions.dialect import any_of, java_regex
 from ..functions.paths import normal_path, path_bucket
 from ..functions.versions import advisory_severity, audit_severity, first_fixed, update_type
 from ..operators import dependencies, export, fixes, learning, scope, statistics, taint
-from ..operators.matching import line_findings, pick_reminders
+from ..operators.matching import line_findings, pick_reminders, scan_rules
 from ..plans.scan import editor_scan, findings_with_confidence, with_adaptive_confidence
 from ..rules import all_rules, family
 from ..rules.taint import FUNCTION_HEAD, SANITISERS, SINKS, SOURCES
-from ..sources import files
+from ..sources import files, policies
 from . import corpus, inputs, oracle
 from .corpus import duck, lines_sql, lit, sql_table
 from .counts import _BUCKET, _LANGS, ACTIONS, STATS, actions
 from .filters import _LABEL, _SEV
-from .joins import advisories_of
+from .joins import advisories_of, learned_helpers
 from .registry import ORACLES, query
 from .sources import update_type_sql
 
@@ -185,6 +185,41 @@ def editor(spark, sf):
     return editor_scan(corpus.code(spark, sf), _SURE).select("repo", "path", "line", "code", "severity", "confidence")
 
 
+# The same steps over the whole catalogue, of which the oracle's dialect cannot state every rule. Findings of rules without a confidence have none.
+def all_sure_findings(spark, sf):
+    return findings_with_confidence(corpus.code(spark, sf), markup=False)
+
+
+@query("fn03_static_confidence_all_rules")
+def confidence_all(spark, sf):
+    return all_sure_findings(spark, sf).select("repo", "path", "line", "code", "confidence")
+
+
+@query("fn04_adaptive_confidence_all_rules")
+def adaptive_all(spark, sf):
+    return with_adaptive_confidence(all_sure_findings(spark, sf).drop("text", "near"), actions(spark, sf)).select("repo", "path", "line", "code", "confidence")
+
+
+@query("fn20_display_text_all_rules")
+def display_all(spark, sf):
+    shown = statistics.display_text(F.col("code"), F.col("category"), F.col("message"), F.col("confidence"))
+    return all_sure_findings(spark, sf).select("repo", "path", "line", "code", shown.alias("shown"))
+
+
+@query("fn04_editor_scan_all_rules")
+def editor_all(spark, sf):
+    """The editor's scan of the edited files with every rule, all learned state and both severity toggles.
+
+    Dismissals were made on the first version of the files, by every rule whose finding is no error.
+    """
+    before, now = corpus.code(spark, sf), inputs.new_files(spark, sf)
+    hashes = lambda t: t.select("repo", "path", files.content_hash(F.col("content")).alias("content_hash"))
+    dismissed = scan_rules(before, all_rules()).where(F.col("severity") != 2).select("repo", "path", "code", "line", "pattern").join(hashes(before), ["repo", "path"])
+    ignores = policies.ignore_entries(sql_table(spark, sf, inputs.IGNORE_FILES))
+    found = editor_scan(now, ignores=ignores, dismissals=dismissed, hashes=hashes(now), safe=learned_helpers(spark, sf), actions=actions(spark, sf), show_info=False, reduce_internal=True)
+    return found.select("repo", "path", "line", "code", "severity", "confidence")
+
+
 @query("fn15_export_labels", f"WITH {inputs.FINDINGS} SELECT repo, path AS file, line + 1 AS line, col + 1 AS column, {_SEV} AS severity, code, {_LABEL} AS category FROM findings")
 def export_labels(spark, sf):
     return export.exported(inputs.findings(spark, sf)).drop("message", "suggestion", "pattern")
