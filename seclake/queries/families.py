@@ -63,3 +63,13 @@ def scan_code(spark, sf):
 @query("scan_documents_all_rules")
 def scan_documents_all(spark, sf):
     return scan(corpus.documents(spark, sf)).select(*COLUMNS)
+
+
+@query("scan_pages_all_rules")
+def scan_pages_all(spark, sf):
+    return scan(corpus.pages(spark, sf)).select(*COLUMNS)
+
+
+@query("scan_conversations_all_rules")
+def scan_conversations_all(spark, sf):
+    return scan(corpus.conversations(spark, sf)).select(*COLUMNS)

@@ -48,6 +48,16 @@ def rule_listing(spark, sf):
     )
 
 
+@query("flt01_rule_listing_all_rules")
+def whole_rule_listing(spark, sf):
+    """The same listing with what every rule found, also those that the oracle cannot state."""
+    rules = matching.rule_table(spark, all_rules()).where(F.lower("category_label").contains("auth"))
+    counts = matching.scan_rules(corpus.code(spark, sf), all_rules()).groupBy("code").agg(F.count("*").alias("found"))
+    return rules.join(counts, "code", "left").select(
+        "code", "category_label", "severity", "rule_type", "message", F.coalesce("found", F.lit(0)).alias("found")
+    )
+
+
 _LITERALS = [custom("LIT001", "TOKEN"), custom("LIT002", "license", "Password"), custom("LIT003", "app.use(")]
 
 
@@ -179,6 +189,14 @@ def history_rule_set(spark, sf):
     return rules.join(found, "code", "left").select("code", F.coalesce("found", F.lit(0)).alias("found"))
 
 
+@query("flt19_history_rules_all_rules")
+def whole_history_rule_set(spark, sf):
+    """The same with every rule that runs over history."""
+    rules = matching.rule_table(spark, history_rules()).select("code")
+    found = matching.scan_rules(corpus.code(spark, sf), history_rules()).groupBy("code").agg(F.count("*").alias("found"))
+    return rules.join(found, "code", "left").select("code", F.coalesce("found", F.lit(0)).alias("found"))
+
+
 _IGNORE_LISTS = "SELECT source AS repo, lang || '/' AS folder, text || chr(10) || '.env*' || chr(10) || '# credentials.json' || CASE WHEN lang = 'en' THEN chr(10) || '**/credentials.json' ELSE '' END AS content FROM {documents}"
 
 

@@ -179,6 +179,13 @@ def proposed_fixes(spark, sf):
     return fixes.proposed_fixes(found).select("repo", "path", "line", "code", "title", "new_line", "delete_line")
 
 
+@query("fn14_proposed_fixes_all_rules")
+def proposed_fixes_all(spark, sf):
+    """Fixes for the findings of every rule that has one."""
+    found = pick_reminders(line_findings(corpus.code(spark, sf), [r for r in all_rules() if r.code in fixes.REWRITES]))
+    return fixes.proposed_fixes(found).select("repo", "path", "line", "code", "title", "new_line", "delete_line")
+
+
 @query("fn04_editor_scan", f"""WITH {oracle.findings(_SURE, corpus.CODE)}, {_CONFIDENCE} SELECT f.repo, f.path, f.line, f.code, f.severity, l.confidence FROM findings f JOIN leveled l USING (repo, path, line, code)""")
 def editor(spark, sf):
     """The editor's scan without learned state: findings with their confidence."""

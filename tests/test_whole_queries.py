@@ -31,3 +31,17 @@ def test_editor_scan_takes_every_rule_and_learned_state(spark, tables):
     # The ignore file of its repository lists AUTH002 in this file.
     assert "AUTH002" in codes(spark, "fn03_static_confidence_all_rules", tables, "src_auth")
     assert not [r for r in got if r.repo == "src_auth" and r.code == "AUTH002"]
+
+
+def test_listing_counts_rules_with_look_ahead(spark, tables):
+    found = {r.code: r.found for r in QUERIES["flt01_rule_listing_all_rules"](spark, tables).collect()}
+    # The oauth snippet holds response_type=code without state= and grant_type=authorization_code.
+    assert found["OAUTH002"] > 0 and found["OAUTH003"] > 0
+
+
+def test_conversations_and_pages_meet_every_rule(spark, tables):
+    text = next(t for n, _, t in SNIPPETS if n == "oauth")
+    spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn int, role string, text string").write.parquet(f"{tables}/conversations.parquet")
+    spark.createDataFrame([(1, "http://a.test/x", text)], "page_id long, url string, html string").write.parquet(f"{tables}/pages.parquet")
+    for key in ("scan_conversations_all_rules", "scan_pages_all_rules"):
+        assert {"OAUTH002", "OAUTH003"} <= {r.code for r in QUERIES[key](spark, tables).collect()}
