@@ -51,7 +51,7 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN c ON k.key = c.key GROUP BY doc_id""")
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    kept = line_dedup.kept_lines(table(spark, sf, "documents"))
+    kept = line_dedup.kept_lines(table(spark, sf, "documents"), by_id=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from seclake.llm import exact_dedup, line_dedup
+from seclake.llm import exact_dedup, line_dedup, queries
 
 TEXTS = ["Same Text", "same text", None, "", "É x", "é x", "SAME TEXT", "long " * 20_000, "x\n", "x"]
 
@@ -67,3 +67,11 @@ def test_kept_lines(docs):
     got = line_dedup.kept_lines(docs(*rows), min_length=5, min_documents=2)
     assert Counter(map(tuple, got.collect())) == expected_lines(rows, 5, 2)
     assert line_dedup.kept_lines(docs(*rows).where(F.lit(False))).collect() == []
+
+
+def test_kept_lines_by_id(spark, docs, tmp_path):
+    rows = [(1, "tenfold\nmixed")] * 10 + [(2, f"own {i}\nversions") for i in range(10)] + [(i, "spread") for i in range(10, 20)] + [(None, f"lost {i}\nnowhere\nspread") for i in range(10)]
+    docs(*rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op9_line_dedup"](spark, str(tmp_path))
+    dropped = Counter((r.doc_id, r.n_dropped) for r in got.collect())
+    assert dropped == Counter([(1, 0)] * 10 + [(2, 0)] * 10 + [(i, 1) for i in range(10, 20)] + [(None, 1)] * 10)
