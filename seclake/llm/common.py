@@ -81,6 +81,24 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return hot.unionByName(cold)
 
 
+def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with their place `_at`, from 0, in the order of their group, and `n`, the group's number of rows.
+
+    Rows are sorted by ranges, so that a group of any size is spread; a row's place is its place in its partition and the
+    count of the group's rows in partitions before. Equal rows stay in the order in which they are stored. Pass a stored table;
+    groups must not be null.
+    """
+    group, order = list(group), list(order)
+    keys = [*group, *order, "_row"]
+    ranged = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_row")
+    ranged = written(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()))
+    counts = ranged.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    whole = Window.partitionBy(*group)
+    before = F.sum("_n").over(whole.orderBy("_part")) - F.col("_n")
+    starts = counts.select("_part", *group, (before - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("n"))
+    return ranged.join(starts, ["_part", *group]).withColumn("_at", F.col("_place") + F.col("_shift")).drop("_part", "_place", "_shift")
+
+
 def bounded_sample(rows: DataFrame, class_col: str, most_rows: int, most_bytes: int) -> DataFrame:
     """Of the (class, text) rows at most `most_rows` different texts a class and `most_bytes` bytes of text in all.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, line_dedup, packing, simhash_dedup, substring_dedup, token_counts, toxicity, url_filters
+from . import decontamination, exact_dedup, language_id, line_dedup, merkle_manifest, packing, simhash_dedup, substring_dedup, token_counts, toxicity, url_filters
 from ..plans.workspace import shared_folder
 from .common import held_out
 
@@ -115,3 +115,38 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
         store.commit(3, token_counts.changes(low, "revise"))
     store.compact()
     return store.totals()
+
+
+@query("op13_merkle_manifest", """
+WITH RECURSIVE docs AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda d, z: xor(d >> 1, 3988292384 * (d & 1))))) % 7 = 0 AS bad,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents),
+leaves AS (
+  SELECT doc_id, leaf, changed, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n
+  FROM (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN bad THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS changed FROM docs)),
+up AS (
+  SELECT tree, 0 AS lvl, idx, n, leaf AS h FROM leaves
+  UNION ALL SELECT tree, lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY tree, lvl, idx // 2, n),
+subroots AS (SELECT tree, lvl AS height, h, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, idx, n, h FROM subroots
+  UNION ALL SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY lvl, idx // 2, n),
+root AS (SELECT lvl AS height, h FROM top WHERE n = 1),
+low AS (
+  SELECT tree, idx, 0 AS lvl, coalesce(changed, leaf) AS d, '' AS proof FROM leaves
+  UNION ALL SELECT f.tree, f.idx, f.lvl + 1, sha256(CASE WHEN (f.idx >> f.lvl) & 1 = 1 THEN s.h || f.d ELSE f.d || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+  FROM low f JOIN subroots t ON t.tree = f.tree AND f.lvl < t.height LEFT JOIN up s ON s.tree = f.tree AND s.lvl = f.lvl AND s.idx = xor(f.idx >> f.lvl, 1)),
+high AS (
+  SELECT f.tree, f.idx, t.idx AS at, 0 AS lvl, f.d, f.proof FROM low f JOIN subroots t ON t.tree = f.tree AND f.lvl = t.height
+  UNION ALL SELECT f.tree, f.idx, f.at, f.lvl + 1, sha256(CASE WHEN (f.at >> f.lvl) & 1 = 1 THEN s.h || f.d ELSE f.d || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+  FROM high f JOIN root r ON f.lvl < r.height LEFT JOIN top s ON s.lvl = f.lvl AND s.idx = xor(f.at >> f.lvl, 1))
+SELECT l.doc_id, l.leaf, t.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.d AS folded_root, f.d = r.h AS verified
+FROM leaves l JOIN subroots t ON t.tree = l.tree JOIN root r ON true JOIN high f ON f.tree = l.tree AND f.idx = l.idx AND f.lvl = r.height""")
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest of all documents, a tree for each language; proofs of tampered rows must not verify."""
+    bad = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle_manifest.manifest(table(spark, sf, "documents"), tampered={"n_chars": F.col("n_chars") + 1}, tampered_where=bad)
