@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import xxhash
@@ -141,6 +141,17 @@ class Codes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
 
+def text_parts(batch, column: int, most_bytes: int = 8 << 20) -> Iterator:
+    """An Arrow batch in consecutive slices of about so many bytes of text."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // most_bytes)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def text_bytes(column) -> list[bytes]:
     """The texts of an Arrow column as UTF-8 bytes."""
     import pyarrow as pa

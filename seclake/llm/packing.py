@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.workspace import written
-from .common import id_text, text_bytes
+from .common import id_text, text_bytes, text_parts
 from .tokens import encoder
 
 CAPACITY, END_ID = 4096, 1
@@ -44,7 +44,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeniz
         import pyarrow as pa
 
         encode, end = encoder(tokenizer).encode, int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_parts(whole, 1)):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(text_bytes(batch.column(1))):
                 data = encode(text) + end

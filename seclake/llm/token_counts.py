@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, text_bytes
+from .common import named, text_bytes, text_parts
 from .tokens import encoder
 
 KEYS = ["source", "lang", "version"]
@@ -40,7 +40,7 @@ def token_counts(docs: DataFrame, tokenizers: dict[str, str], id_col: str = "doc
     def counted(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_parts(whole, 1)):
             texts = text_bytes(batch.column(1))
             for version, name in versions:
                 if name == "words":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Hashable
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +12,10 @@ import numpy as np
 #: Letters whose lower case is one letter of the same normal form, so that a word of them needs no normaliser.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+#: What an entry of a cache takes beside its bytes.
+ENTRY_BYTES = 200
+#: Texts that tell whether a vocabulary allows the shortcuts.
+PROBES = ("a", "The", "Straße", "ÉCOLE,", "word).", "don't", "one two", " two  Blanks\n\n\tand a line ", "Ends with blanks \n", "a1 b-2 <|x|> \u00a0\u200b x", "it's (A) \"b\"...", "日本語 テスト", "x" * 30)
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,47 +36,71 @@ def _byte_letters() -> dict[int, str]:
     return table
 
 
-class Encoder(dict):
-    """Ids of a blank-free stretch as little-endian unsigned 32-bit numbers.
+class Cache(dict):
+    """Byte strings by key in two generations of at most `limit` bytes: what the old one holds moves to the new one when it is asked for."""
 
-    The vocabulary drops white space and never joins across it, so a text's ids are those of its
-    stretches in order. A stretch of plain letters and trailing marks goes straight to the merge model;
-    everything else goes through the whole tokenizer. The cache is emptied when `limit` entries are
-    reached; stretches over 64 bytes are not kept.
+    def __init__(self, make: Callable[[Hashable], bytes], limit: int) -> None:
+        super().__init__()
+        self.make, self.limit, self.size = make, limit, 0
+        self.old: dict[Hashable, bytes] = {}
+
+    def __missing__(self, key) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        size = len(key) + len(found) + ENTRY_BYTES
+        if size > ENTRY_BYTES + 512:  # long stretches seldom occur again
+            return found
+        if self.size + size > self.limit:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self.size += size
+        self[key] = found
+        return found
+
+
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit numbers.
+
+    If the vocabulary drops white space and never joins across it, a text's ids are those of its blank-free stretches in order,
+    and if it lower-cases too, a stretch of plain letters and trailing marks goes straight to the merge model. Both are
+    probed once; where they do not hold, texts are encoded whole. What the two caches hold is bounded in bytes.
     """
 
-    def __init__(self, name: str, limit: int = 400_000) -> None:
+    def __init__(self, name: str, cache_bytes: int = 32 << 20) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
-        self.model, self.limit, self.letters = self.tokenizer.model, limit, _byte_letters()
-        self.parts: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.stretches, self.marks = Cache(self._stretch, cache_bytes), Cache(self._part, cache_bytes >> 4)
+        self.plain = True
+        self.plain = all(self._whole(t) == self._stretch(t.encode()) for t in PROBES if _PLAIN.fullmatch(t))
+        self.stretches.clear()
+        self.split = all(self._whole(t) == self._joined(t.encode()) for t in PROBES)
 
-    def __missing__(self, stretch: bytes) -> bytes:
-        text = stretch.decode("utf-8", "replace")
-        plain = _PLAIN.fullmatch(text)
-        if plain and len(stretch) <= 64:
-            ids = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(stretch) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[stretch] = ids
-        return ids
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _part(self, word: str) -> bytes:
-        ids = self.parts.get(word)
-        if ids is None:
-            if len(self.parts) >= self.limit:
-                self.parts.clear()
-            shown = word.encode().decode("latin1").translate(self.letters)
-            ids = self.parts[word] = b"".join(x.id.to_bytes(4, "little") for x in self.model.tokenize(shown))
-        return ids
+        shown = word.encode().decode("latin1").translate(self.letters)
+        return b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(shown)])
+
+    def _stretch(self, stretch: bytes) -> bytes:
+        text = stretch.decode("utf-8", "replace")
+        plain = _PLAIN.fullmatch(text) if self.plain and len(stretch) <= 64 else None
+        if plain is None:
+            return self._whole(text)
+        word, marks = plain.groups()
+        low = word.lower()
+        if marks or low != word:
+            return self.stretches[low.encode()] + (self.marks[marks] if marks else b"")
+        return self._part(word)
+
+    def _joined(self, text: bytes) -> bytes:
+        return b"".join(map(self.stretches.__getitem__, text.split()))
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return self._joined(text) if self.split else self._whole(text.decode("utf-8", "replace"))
 
 
 @lru_cache(maxsize=4)

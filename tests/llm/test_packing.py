@@ -4,7 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
-from seclake.llm import packing, queries
+from seclake.llm import packing, queries, tokens
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +38,22 @@ def test_odd_texts(docs):
     check(packing.packed(docs(*texts)).collect(), texts)
 
 
+def test_any_vocabulary(docs):
+    """One that keeps white space and capitals takes no shortcut."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.cut(docs(*enumerate(ODD)), tokenizer="byte_bpe_50k.json", capacity=100_000).collect()
+    want = {i: [*t.encode(text or "", add_special_tokens=False).ids, 1] for i, text in enumerate(ODD)}
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {i: (len(w), zlib.crc32(struct.pack(f"<{len(w)}I", *w))) for i, w in want.items()}
+
+
+def test_caches_are_bounded():
+    small, large = tokens.Encoder("word_bpe_49k.json", 20_000), tokens.Encoder("word_bpe_49k.json")
+    dice = random.Random(3)
+    texts = [" ".join("".join(dice.choices("abcdeÉx.!", k=6)) for _ in range(400)).encode() for _ in range(20)]
+    assert [small.encode(t) for t in texts] == [large.encode(t) for t in texts]
+    assert small.stretches.size <= 20_000 and len(small.stretches) + len(small.stretches.old) < 200
+
+
 def test_empty_table(docs, spark):
     assert packing.packed(docs((1, "x")).where("doc_id < 0")).collect() == []
 
