@@ -1,11 +1,15 @@
 """Scans of random files against SQL, line context by tables of expectations, taint, partitioning."""
 
 import random
+import re
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seclake.functions.braces import closing_lines, ranges_between
 from seclake.functions.context import BLOCK, QUOTED, TEMPLATE, walk
 from seclake.operators.matching import project_advisories, scan_rules
 from seclake.operators.taint import taint_findings, taint_hits
@@ -137,6 +141,53 @@ def test_taint(files):
     assert got == want and len(want) > 200
 
 
+def test_functions_close_where_the_depth_returns():
+    """Random braces against a count from each head; the work grows with the text."""
+    r = random.Random(9)
+    for _ in range(300):
+        lines = ["".join(r.choice("{}{}ab") for _ in range(r.choice([0, 1, 3, 9]))) for _ in range(r.randint(1, 40))]
+        heads = sorted(r.sample(range(len(lines)), r.randint(1, len(lines))))
+        want = []
+        for h in heads:
+            depth, started, stop = 0, False, -1
+            for i in range(h, len(lines)):
+                for ch in lines[i]:
+                    depth += {"{": 1, "}": -1}.get(ch, 0)
+                    started |= ch == "{"
+                    if started and ch == "}" and depth == 0 and stop < 0:
+                        stop = i
+            want.append(stop)
+        marks = re.sub(r"[^{}\n]", "", "\n".join(lines))
+        assert closing_lines(marks, np.array(heads)).tolist() == want
+        facts = np.array(sorted(r.sample(range(len(lines)), r.randint(0, len(lines)))), np.int64)
+        calls = facts[::2]
+        got = ranges_between(marks, np.array(heads), facts, calls, 10)
+        kept = [(h, s) for h, s in zip(heads, want) if s >= 0 and s - h < 10 and any(h <= c <= s for c in calls)]
+        assert [g[:2] for g in got] == kept
+        assert all([f for f in facts if a <= f <= b] == facts[c : c + n].tolist() for a, b, c, n in got)
+
+    def seconds(n):
+        marks = "{\n{}\n}\n" * n
+        heads = np.arange(0, 3 * n, 3)
+        start = time.perf_counter()
+        assert (closing_lines(marks, heads) == heads + 2).all()
+        return time.perf_counter() - start
+
+    seconds(12_800)
+    assert min(seconds(128_000) for _ in range(3)) < 40 * min(seconds(12_800) for _ in range(3)) + 0.1
+
+
+def test_taint_time_follows_the_number_of_functions(files):
+    def seconds(n):
+        text = "".join(f"function f{i}(req) {{\n  const a = req.body.a;\n  if (a) {{ b() }}\n  exec(a);\n}}\n" for i in range(n))
+        start = time.perf_counter()
+        assert taint_hits(files(("a.js", text))).count() == n
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(12_800) < 16 * 3 * max(seconds(800), 0.3)
+
+
 def test_taint_limits(files):
     """Without limits long functions and old variables count; with them the oldest are dropped."""
     wrapped = "function f() {\n" + "\n".join([f"  const n{i} = req.body;" for i in range(55)] + [f"  exec(n{i});" for i in range(55)]) + "\n}"
