@@ -1,18 +1,18 @@
 """Is a position inside a comment or inside a string?
 
-`line_states` walks a text once and notes how each line begins; the two predicates then look at the
-part of the line before the match. The walk is a character automaton with a stack, which no built-in
-expression can state, so it is an Arrow function; it runs only on files with a candidate that asks.
+`line_states` notes how each line of a text begins. Only marks (quotes, slashes, stars, braces, dollar signs and backslashes)
+can change that, so a text is cut at its marks and the automaton takes one step a mark; lines that cannot change the
+state they begin in are passed over whole. The counters of open template expressions and their braces have no bound, so
+the steps of one file run in order, inside its row; files are independent of each other. Everything is a
+built-in expression.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .binding import let
 
 QUOTED, TEMPLATE, BLOCK, DEPTH = 1, 2, 4, 8
 
@@ -20,65 +20,99 @@ QUOTED, TEMPLATE, BLOCK, DEPTH = 1, 2, 4, 8
 _OPENERS = "(,=:[{;&|!?+-*<>~^%"
 _WORDS = ("return", "typeof", "instanceof", "in", "of", "new", "delete", "void", "yield", "await", "throw")
 
-_REGEX_LITERAL = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\])*\]|[^/\[\\])*/[gimuysd]*")
-_STOPS = {
-    "code": re.compile(r"""[/'"`{}]"""),
-    "'": re.compile(r"[\\']"),
-    '"': re.compile(r'[\\"]'),
-    "`": re.compile(r"[\\`$]"),
-    "/*": re.compile(r"\*/"),
-}
-
-
-def _opens_regex(line: str, at: int) -> bool:
-    before = line[:at].rstrip(" \t")
-    if not before or before[-1] in _OPENERS:
-        return True
-    word = re.search(r"[a-zA-Z0-9_]+$", before)
-    return bool(word) and "a" <= before[-1] <= "z" and word.group() in _WORDS
-
-
-def walk(text: str) -> list[int]:
-    """One number per line: QUOTED, TEMPLATE or BLOCK, plus DEPTH per open template expression."""
-    mode, open_templates, braces, out = "code", 0, 0, [0]
-    for line in text.split("\n"):
-        i = 0
-        while stop := _STOPS[mode].search(line, i):
-            i, token = stop.end(), stop.group()
-            if mode == "/*" or token == mode:
-                mode = "code"
-            elif token == "\\":
-                i += 1
-            elif token == "$":
-                if line[i : i + 1] == "{":
-                    mode, open_templates, braces, i = "code", open_templates + 1, 0, i + 1
-            elif token in "'\"`":
-                mode = token
-            elif token == "/":
-                follow = line[i : i + 1]
-                if follow == "/":
-                    break
-                if follow == "*":
-                    mode, i = "/*", i + 1
-                elif _opens_regex(line, i - 1) and (m := _REGEX_LITERAL.match(line, i - 1)):
-                    i = m.end()
-            elif open_templates:
-                if token == "{":
-                    braces += 1
-                elif braces:
-                    braces -= 1
-                else:
-                    mode, open_templates = "`", open_templates - 1
-        if mode in "'\"" and not line.endswith("\\"):
-            mode = "code"
-        begins = {"'": QUOTED, '"': QUOTED, "`": TEMPLATE, "/*": BLOCK}.get(mode, 0)
-        out.append(begins + DEPTH * open_templates)
-    return out[:-1]
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def line_states(content: pd.Series) -> pd.Series:
-    return content.map(lambda t: None if t is None else walk(t))
+_MARKS = r"""\\/*'"`{}$"""
+#: Text up to and with the next mark.
+_PIECE = f"[^{_MARKS}]*+[{_MARKS}]"
+_AFTER_OPENER = r"(?:[(,=:\[;&|!?+\-<>~^%]|(?<![a-zA-Z0-9_])(?:" + "|".join(_WORDS) + r"))[ \t]*+/\z"
+#: A regular expression and its closing slash; no part of it recurses with its length.
+_REGEX_LITERAL = r"(?s)\A/(?:[^/\[\\]++|\\.|\[(?:[^\]\\]++|\\.)*+\])*+/"
+
+_CODE, _SINGLE, _DOUBLE, _TICK, _STAR = range(5)
+#: Lines are folded so many at a time, so that the list of their states is short while it grows.
+_TOGETHER = 256
+_END = (1 << 31) - 1
+
+
+def _tokens(line: Column) -> Column:
+    """array<struct(size, mark, next, opens)>: the pieces of a line, the mark that follows directly, and whether a slash may open a regular expression."""
+
+    def token(pieces: Column, piece: Column, i: Column) -> Column:
+        follows = F.get(pieces, i + 1)
+        before = F.when(i > 0, F.right(F.get(pieces, i - 1), F.lit(1)))
+        opens = F.when(F.length(F.btrim(piece, F.lit(" \t"))) == 1, before.isNull() | before.isin("{", "*")).otherwise(F.rlike(piece, F.lit(_AFTER_OPENER)))
+        mark = F.right(piece, F.lit(1))
+        return F.struct(
+            F.length(piece).alias("size"), mark.alias("mark"), F.when(F.length(follows) == 1, follows).otherwise("").alias("next"),
+            F.when(mark == "/", opens).otherwise(False).alias("opens"),
+        )
+
+    return let(F.regexp_extract_all(line, F.lit(_PIECE), F.lit(0)), lambda pieces: F.transform(pieces, lambda x, i: token(pieces, x, i)))
+
+
+def _walked(line: Column, start: Column) -> Column:
+    """struct(mode, open, braces): the state after a line that begins in the state `start`."""
+
+    def step(a: Column, t: Column) -> Column:
+        mode, opened, braces, mark = a["mode"], a["open"], a["braces"], t["mark"]
+        at = a["at"] + t["size"] - 1
+        code, tick, quoted = mode == _CODE, mode == _TICK, mode.isin(_SINGLE, _DOUBLE)
+        slash = code & (mark == "/")
+        comment, block = slash & (t["next"] == "/"), slash & (t["next"] == "*")
+        literal = F.when(slash & ~comment & ~block & t["opens"], F.length(F.regexp_extract(F.substring(line, at + 1, F.length(line)), _REGEX_LITERAL, 0))).otherwise(0)
+        enters = tick & (mark == "$") & (t["next"] == "{")
+        leaves = code & (opened > 0) & (braces == 0) & (mark == "}")
+        closes = (mode == _STAR) & (mark == "*") & (t["next"] == "/")
+        escapes = (quoted | tick) & (mark == "\\")
+        new_mode = (
+            F.when(code, F.when(block, _STAR).when(mark == "'", _SINGLE).when(mark == '"', _DOUBLE).when((mark == "`") | leaves, _TICK).otherwise(_CODE))
+            .when((mode == _SINGLE) & (mark == "'") | (mode == _DOUBLE) & (mark == '"') | tick & (mark == "`") | enters | closes, _CODE)
+            .otherwise(mode)
+        )
+        counted = F.when(code & (opened > 0), F.when(mark == "{", 1).when((mark == "}") & ~leaves, -1).otherwise(0)).otherwise(0)
+        skip = F.when(comment, _END).when(block | enters | closes | escapes, at + 2).when(literal > 0, at + literal).otherwise(a["skip"])
+        moved = F.struct(
+            new_mode.alias("mode"), (opened + F.when(enters, 1).when(leaves, -1).otherwise(0)).alias("open"),
+            F.when(enters, 0).otherwise(braces + counted).alias("braces"), (at + 1).alias("at"), skip.alias("skip"),
+        )
+        passed = F.struct(mode.alias("mode"), opened.alias("open"), braces.alias("braces"), (at + 1).alias("at"), a["skip"].alias("skip"))
+        return F.when(at < a["skip"], passed).otherwise(moved)
+
+    first = F.struct(start["mode"].alias("mode"), start["open"].alias("open"), start["braces"].alias("braces"), F.lit(0).alias("at"), F.lit(0).alias("skip"))
+    # A quoted string ends with its line, unless a backslash stands there.
+    mode = lambda a: F.when(a["mode"].isin(_SINGLE, _DOUBLE) & ~F.endswith(line, F.lit("\\")), _CODE).otherwise(a["mode"])
+    return F.aggregate(_tokens(line), first, step, lambda a: F.struct(mode(a).alias("mode"), a["open"].alias("open"), a["braces"].alias("braces")))
+
+
+def _may_change(line: Column, state: Column) -> Column:
+    """Can the line end in another state than it begins in?"""
+    in_code = F.rlike(line, F.lit("['\"`]|/\\*")) | ((state["open"] > 0) & F.rlike(line, F.lit("[{}]")))
+    return (
+        F.when(state["mode"] == _CODE, in_code).when(state["mode"] == _TICK, F.contains(line, F.lit("`")) | F.contains(line, F.lit("${")))
+        .when(state["mode"] == _STAR, F.contains(line, F.lit("*/"))).otherwise(True)
+    )
+
+
+def line_states(content: Column) -> Column:
+    """array<int>, one number per line: QUOTED, TEMPLATE or BLOCK, plus DEPTH per open template expression."""
+    names = ("mode", "open", "braces")
+    kept = lambda a: [a[n].alias(n) for n in names]
+    clean = F.struct(*[F.lit(0).alias(n) for n in names])
+    number = lambda a: F.when(a["mode"] == _CODE, 0).when(a["mode"] == _TICK, TEMPLATE).when(a["mode"] == _STAR, BLOCK).otherwise(QUOTED) + a["open"] * DEPTH
+
+    def line_step(a: Column, line: Column) -> Column:
+        after = F.when(_may_change(line, a["state"]), _walked(line, a["state"])).otherwise(a["state"])
+        return F.struct(after.alias("state"), F.concat(a["out"], F.array(number(a["state"]))).alias("out"))
+
+    def part_step(a: Column, part: Column) -> Column:
+        begin = F.struct(F.struct(*kept(a["state"])).alias("state"), F.array().cast("array<int>").alias("out"))
+        return let(F.aggregate(part, begin, line_step), lambda r: F.struct(F.struct(*kept(r["state"])).alias("state"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    def walked(lines: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / _TOGETHER)), lambda i: F.slice(lines, (i * _TOGETHER + 1).cast("int"), F.lit(_TOGETHER)))
+        begin = F.struct(clean.alias("state"), F.array().cast("array<array<int>>").alias("out"))
+        return F.flatten(F.aggregate(parts, begin, part_step, lambda a: a["out"]))
+
+    return F.when(content.isNotNull(), let(F.split(content, "\n"), walked))
 
 
 def _quotes(text: Column, mark: str) -> Column:
@@ -102,39 +136,25 @@ def inside_comment(text: Column, col: Column, state: Column) -> Column:
 
 
 def inside_string(text: Column, col: Column, state: Column) -> Column:
-    """Fold over the characters before the match, starting from the state of the line."""
+    """Fold over the marks before the match that no backslash precedes, starting from the state of the line."""
     # One mark stands for a dollar sign that opens a template expression.
     head = F.replace(F.substring(text, F.lit(1), col + 1), F.lit("${"), F.lit("\u0001{"))
-    chars = F.split(F.substring(head, F.lit(1), col), "")
+    marks = F.regexp_extract_all(F.substring(head, F.lit(1), col), F.lit("(?<!\\\\)['\"`}\u0001]"), F.lit(0))
 
-    def step(a: Column, ch: Column) -> Column:
-        escaped = a["prev"] == "\\"
+    def step(a: Column, mark: Column) -> Column:
         s, d, t, n = a["s"], a["d"], a["t"], a["n"]
-        single = ~d & ~t & (ch == "'")
-        double = ~s & ~t & (ch == '"') & ~single
-        tick = ~s & ~d & (ch == "`") & ~single & ~double
-        opens = t & (ch == "\u0001") & ~single & ~double & ~tick
-        closes = t & (n > 0) & (ch == "}") & ~single & ~double & ~tick & ~opens
-        live = ~escaped
-        return F.struct(
-            F.when(live & single, ~s).otherwise(s).alias("s"),
-            F.when(live & double, ~d).otherwise(d).alias("d"),
-            F.when(live & tick, ~t).otherwise(t).alias("t"),
-            F.when(live & opens, n + 1).when(live & closes, n - 1).otherwise(n).alias("n"),
-            ch.alias("prev"),
-        )
+        single, double, tick = ~d & ~t & (mark == "'"), ~s & ~t & (mark == '"'), ~s & ~d & (mark == "`")
+        opens, closes = t & (mark == "\u0001"), t & (n > 0) & (mark == "}")
+        return F.struct(F.when(single, ~s).otherwise(s).alias("s"), F.when(double, ~d).otherwise(d).alias("d"), F.when(tick, ~t).otherwise(t).alias("t"),
+                        F.when(opens, n + 1).when(closes, n - 1).otherwise(n).alias("n"))
 
     start = F.struct(
         (state.bitwiseAND(QUOTED) != 0).alias("s"),
         F.lit(False).alias("d"),
         (state.bitwiseAND(TEMPLATE) != 0).alias("t"),
         F.floor(state / DEPTH).cast("int").alias("n"),
-        F.lit("").alias("prev"),
-    )
-    return F.aggregate(
-        F.when(col > 0, chars).otherwise(F.array().cast("array<string>")),
-        start, step, lambda a: a["s"] | a["d"] | (a["t"] & (a["n"] == 0)),
     )
+    return F.aggregate(marks, start, step, lambda a: a["s"] | a["d"] | (a["t"] & (a["n"] == 0)))
 
 
 def inside_markup_text(text: Column, col: Column) -> Column:

@@ -134,10 +134,8 @@ def by_pattern(pairs: DataFrame) -> DataFrame:
     return pairs.sortWithinPartitions("number").where(F.monotonically_increasing_id() >= 0)
 
 
-def pattern_hits(
-    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, markup: bool = False, line_limit: int | None = None
-) -> DataFrame:
-    """Every (line, pattern) that matches and passes the conditions of its rule."""
+def raw_hits(files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, line_limit: int | None = None) -> DataFrame:
+    """Every (line, pattern) that matches and passes the conditions of its rule, whatever stands around the match."""
     rules = [r for r in rules if r.kind != ADVISORY]
     table = pattern_table(files.sparkSession, rules)
     pairs = by_pattern(possible_pairs(files, rules, keep_near, line_limit)).join(F.broadcast(table), "number")
@@ -150,15 +148,21 @@ def pattern_hits(
     hit = pairs.where(F.rlike(text, F.col("regex")) & ~_present(F.rlike(text, F.col("unless"))))
     safe_near = F.exists("near", lambda l: F.rlike(l, F.col("unless_near")))
     hit = hit.where(F.col("unless_near").isNull() | ~_present(safe_near))
-    hit = hit.withColumn("col", F.regexp_instr(text, F.col("regex")) - 1).withColumn(
+    return hit.withColumn("col", F.regexp_instr(text, F.col("regex")) - 1).withColumn(
         "pattern", F.coalesce("literal", F.regexp_substr(text, F.col("regex")))
     )
+
+
+def pattern_hits(
+    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, markup: bool = False, line_limit: int | None = None
+) -> DataFrame:
+    """The hits that count: not those of code-only rules inside comments, strings or (if asked for) the text of markup."""
+    hit = raw_hits(files, rules, keep_near, line_limit)
     if any(r.code_only for r in rules):
-        masked = inside_comment(text, F.col("col"), F.col("state")) | inside_string(
-            text, F.col("col"), F.col("state")
-        )
+        place = F.col("text"), F.col("col")
+        masked = inside_comment(*place, F.col("state")) | inside_string(*place, F.col("state"))
         if markup:
-            masked = masked | inside_markup_text(text, F.col("col"))
+            masked = masked | inside_markup_text(*place)
         hit = hit.where(~F.when(F.col("code_only"), masked).otherwise(F.lit(False)))
     lowered = _present(F.rlike("path", F.col("info_paths")))
     return hit.withColumn("severity", F.when(lowered, F.lit(0)).otherwise(F.col("severity")))

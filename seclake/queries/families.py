@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from ..operators.matching import scan_rules
 from ..plans.scan import scan
-from ..rules import all_rules, family
+from ..rules import Rule, all_rules, family
 from . import corpus, oracle
 from .registry import query
 
@@ -19,34 +19,30 @@ COLUMNS = ["repo", "path", "line", "col", "code", "severity", "category", "patte
 
 def _register(number: int, name: str) -> None:
     rules = family(name)
-    plain = [r for r in rules if oracle.expressible(r)]
-    rest = [r for r in rules if not oracle.expressible(r)]
     key = f"fam{number:02d}_{name}"
 
-    if plain:
-        sql = f"WITH {oracle.findings(plain, corpus.CODE)}\nSELECT {', '.join(COLUMNS)} FROM findings"
-
-        @query(key, sql)
+    def register(key: str, chosen: list[Rule]) -> None:
+        @query(key, f"WITH {oracle.findings(chosen, corpus.CODE)}\nSELECT {', '.join(COLUMNS)} FROM findings")
         def matched(spark, sf):
-            return scan_rules(corpus.code(spark, sf), plain).select(*COLUMNS)
+            return scan_rules(corpus.code(spark, sf), chosen).select(*COLUMNS)
 
+    # Rules that look at more than the line and the path have a query of their own.
+    plain = [r for r in rules if not oracle.needs_context(r)]
+    rest = [r for r in rules if oracle.needs_context(r)]
+    if plain:
+        register(key, plain)
     if rest:
-        # Look-ahead and comment state are beyond the oracle's dialect; the tests check these rules.
-        @query(key + "_in_context" if plain else key)
-        def in_context(spark, sf):
-            return scan_rules(corpus.code(spark, sf), rest).select(*COLUMNS)
+        register(key + "_in_context" if plain else key, rest)
 
 
 for _i, _name in enumerate(_NAMES, 1):
     _register(_i, _name)
 
-_PLAIN = [r for r in all_rules() if oracle.expressible(r)]
-
 
 def _whole(key: str, read, files_sql: str) -> None:
-    @query(key, f"WITH {oracle.findings(_PLAIN, files_sql)}\nSELECT {', '.join(COLUMNS)} FROM findings")
+    @query(key, f"WITH {oracle.findings(all_rules(), files_sql)}\nSELECT {', '.join(COLUMNS)} FROM findings")
     def whole(spark, sf):
-        return scan_rules(read(spark, sf), _PLAIN).select(*COLUMNS)
+        return scan_rules(read(spark, sf), all_rules()).select(*COLUMNS)
 
 
 _whole("scan_documents", corpus.documents, corpus.DOCUMENTS)

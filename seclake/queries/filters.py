@@ -35,10 +35,14 @@ _SEV = "CASE severity WHEN 2 THEN 'Error' WHEN 1 THEN 'Warning' ELSE 'Info' END"
 _RULES = ", ".join(f"({lit(r.code)}, {lit(r.category)}, {r.severity}, {lit(r.kind)}, {lit(r.message)})" for r in all_rules())
 
 
-@query("flt01_rule_listing", f"""WITH {inputs.FINDINGS}, rules(code, category, severity, rule_type, message) AS (VALUES {_RULES}),
+_LISTING = f"""WITH {inputs.FINDINGS}, rules(code, category, severity, rule_type, message) AS (VALUES {_RULES}),
   counts AS (SELECT code, count(*) AS n FROM findings GROUP BY code)
 SELECT r.code, {_LABEL} AS category_label, severity, rule_type, message, coalesce(n, 0) AS found
-FROM rules r LEFT JOIN counts c ON c.code = r.code WHERE contains(lower({_LABEL}), 'auth')""")
+FROM rules r LEFT JOIN counts c ON c.code = r.code WHERE contains(lower({_LABEL}), 'auth')"""
+
+
+@query("flt01_rule_listing", _LISTING)
+@query("flt01_rule_listing_all_rules", _LISTING)
 def rule_listing(spark, sf):
     """The catalogue filtered by label, with what each rule found."""
     rules = matching.rule_table(spark, all_rules()).where(F.lower("category_label").contains("auth"))
@@ -48,16 +52,6 @@ def rule_listing(spark, sf):
     )
 
 
-@query("flt01_rule_listing_all_rules")
-def whole_rule_listing(spark, sf):
-    """The same listing with what every rule found, also those that the oracle cannot state."""
-    rules = matching.rule_table(spark, all_rules()).where(F.lower("category_label").contains("auth"))
-    counts = matching.scan_rules(corpus.code(spark, sf), all_rules()).groupBy("code").agg(F.count("*").alias("found"))
-    return rules.join(counts, "code", "left").select(
-        "code", "category_label", "severity", "rule_type", "message", F.coalesce("found", F.lit(0)).alias("found")
-    )
-
-
 _LITERALS = [custom("LIT001", "TOKEN"), custom("LIT002", "license", "Password"), custom("LIT003", "app.use(")]
 
 
@@ -78,36 +72,33 @@ _matching("flt07_unless_on_line", [custom("UL001", rx(r"const\s+\w+"), unless=[r
 _matching("flt08_unless_nearby", [custom("UN001", rx(r"const\s+\w+"), unless_near=[rx(r"validate|session", "i")]),
                                   custom("UN002", rx(r"let\s+\w+"), unless_near=[rx(r"jwt\.decode")])])
 
-@query("flt09_line_states")
+@query("flt09_line_states", f"WITH {corpus.CODE},{lines_sql()}, {oracle.states()} SELECT repo, path, line, state FROM states WHERE state <> 0")
 def states(spark, sf):
-    """How each line begins, for files with a candidate of a rule that asks."""
+    """How each line of every file begins, where that is not in plain code."""
     files = corpus.code(spark, sf)
     s = files.select("repo", "path", F.posexplode(line_states(F.col("content"))).alias("line", "state"))
     return s.where(F.col("state") != 0)
 
 
-def _positions(spark, sf, word: str):
-    """Lines that hold a word, with the state at their start."""
-    files = corpus.code(spark, sf)
-    pair = F.explode(F.filter(
-        F.transform(F.arrays_zip(F.split("content", "\n").alias("text"), line_states(F.col("content")).alias("state")),
-                    lambda z, i: F.struct(i.alias("line"), z["text"].alias("text"), z["state"].alias("state"))),
-        lambda z: z["text"].contains(word),
-    ))
-    rows = files.select("repo", "path", pair.alias("z")).select("repo", "path", "z.*")
-    return rows.withColumn("col", F.regexp_instr("text", F.lit(word)) - 1)
+# What the context is asked about: every match of every rule that must not fire in comments and strings.
+_CODE_ONLY = [r for r in all_rules() if r.code_only]
+_ASKED = f"""WITH {corpus.CODE},{lines_sql()}, {oracle.states()}, hits AS ({oracle.hits(_CODE_ONLY)}),
+  asked AS (SELECT h.repo, h.path, h.line, h.col, h.code, h.number, h.text, s.state FROM hits h JOIN states s ON s.repo = h.repo AND s.path = h.path AND s.line = h.line)"""
+
 
+def _asked(spark, sf, inside):
+    hits = matching.raw_hits(corpus.code(spark, sf), _CODE_ONLY)
+    return hits.select("repo", "path", "line", "col", "code", "number", inside(F.col("text"), F.col("col"), F.col("state")).alias("inside"))
 
-@query("flt10_inside_comment")
+
+@query("flt10_inside_comment", f"{_ASKED} SELECT repo, path, line, col, code, number, {oracle.INSIDE_COMMENT} AS inside FROM asked")
 def in_comment(spark, sf):
-    rows = _positions(spark, sf, "panel")
-    return rows.select("repo", "path", "line", "col", inside_comment(F.col("text"), F.col("col"), F.col("state")).alias("inside"))
+    return _asked(spark, sf, inside_comment)
 
 
-@query("flt11_inside_string")
+@query("flt11_inside_string", f"{_ASKED} SELECT repo, path, line, col, code, number, {oracle.INSIDE_STRING} AS inside FROM asked")
 def in_string(spark, sf):
-    rows = _positions(spark, sf, "panel")
-    return rows.select("repo", "path", "line", "col", inside_string(F.col("text"), F.col("col"), F.col("state")).alias("inside"))
+    return _asked(spark, sf, inside_string)
 
 
 @query("flt12_inside_markup_text", f"""WITH {corpus.PAGES},{lines_sql()}, m AS (SELECT repo, path, line, length(regexp_extract(text, '^((?s:.*?))(?:class|the)', 1))::INT AS col, text FROM lines WHERE regexp_matches(text, 'class|the')),
@@ -134,7 +125,6 @@ def no_info(spark, sf):
 
 _INTERNAL = "regexp_matches(path, '(?i)[/\\\\](?:scripts?|admin|internal|tools?|seed|migrations?|fixtures?)[/\\\\]')"
 _XXE = family("xxe") + family("ldap")
-_XXE = [r for r in _XXE if oracle.expressible(r)]
 
 
 @query("flt15_internal_paths", f"""WITH {oracle.findings(_XXE, corpus.CODE)} SELECT repo, path, line, col, code,
@@ -177,22 +167,15 @@ def advisories(spark, sf):
     return found.select("repo", "code", "category", "triggered_by")
 
 
-_HISTORY = [r for r in history_rules() if oracle.expressible(r)]
+_HISTORY_SQL = f"""WITH {oracle.findings(history_rules(), corpus.CODE)}, r(code) AS (VALUES {", ".join(f"({lit(r.code)})" for r in history_rules())})
+SELECT r.code, count(f.code) AS found FROM r LEFT JOIN findings f ON f.code = r.code GROUP BY r.code"""
 
 
-@query("flt19_history_rules", f"""WITH {oracle.findings(_HISTORY, corpus.CODE)}, r(code) AS (VALUES {", ".join(f"({lit(r.code)})" for r in history_rules())})
-SELECT r.code, count(f.code) AS found FROM r LEFT JOIN findings f ON f.code = r.code AND f.code <> 'CRED001' GROUP BY r.code""")
+@query("flt19_history_rules", _HISTORY_SQL)
+@query("flt19_history_rules_all_rules", _HISTORY_SQL)
 def history_rule_set(spark, sf):
     """The rules that run over history, with what they find in current files."""
     rules = matching.rule_table(spark, history_rules()).select("code")
-    found = matching.scan_rules(corpus.code(spark, sf), _HISTORY).groupBy("code").agg(F.count("*").alias("found"))
-    return rules.join(found, "code", "left").select("code", F.coalesce("found", F.lit(0)).alias("found"))
-
-
-@query("flt19_history_rules_all_rules")
-def whole_history_rule_set(spark, sf):
-    """The same with every rule that runs over history."""
-    rules = matching.rule_table(spark, history_rules()).select("code")
     found = matching.scan_rules(corpus.code(spark, sf), history_rules()).groupBy("code").agg(F.count("*").alias("found"))
     return rules.join(found, "code", "left").select("code", F.coalesce("found", F.lit(0)).alias("found"))
 

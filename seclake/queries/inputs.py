@@ -1,7 +1,7 @@
 """Derived input tables, each written once in SQL that Spark and DuckDB both read.
 
 All of them cover whole test tables. `RULES`, used where a query is about what happens to findings rather than
-about matching, is the whole catalogue but for the rules that the oracle's dialect cannot state.
+about matching, is the whole catalogue.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from ..rules import all_rules
 from . import corpus, oracle
 from .corpus import duck, sql_table
 
-RULES = [r for r in all_rules() if oracle.expressible(r)]
+RULES = all_rules()
 
 # Paths of many shapes, one per document.
 PLACES = """

@@ -10,7 +10,7 @@ from ..functions.versions import advisory_severity, audit_severity, first_fixed,
 from ..operators import dependencies, export, fixes, learning, scope, statistics, taint
 from ..operators.matching import line_findings, pick_reminders, scan_rules
 from ..plans.scan import editor_scan, findings_with_confidence, with_adaptive_confidence
-from ..rules import all_rules, family
+from ..rules import all_rules
 from ..rules.taint import FUNCTION_HEAD, SANITISERS, SINKS, SOURCES
 from ..sources import files, policies
 from . import corpus, inputs, oracle
@@ -35,8 +35,6 @@ def path_buckets(spark, sf):
     return sql_table(spark, sf, inputs.PLACES).select("repo", "path", path_bucket(F.col("path")).alias("bucket"))
 
 
-# Rules whose findings have a confidence, as far as the oracle can state them.
-_SURE = [r for r in all_rules() if oracle.expressible(r) and (r.code.startswith(("CRED", "AUTH001", "DB001", "DB002")))] + family("cors")[:2]
 _Q = "['\"`]"
 _JOINED = lit(rf"{_Q}\s*\+|\+\s*{_Q}|\$\{{")
 _CONFIDENCE = f"""leveled AS (SELECT repo, path, language, line, code, CASE
@@ -49,10 +47,15 @@ _CONFIDENCE = f"""leveled AS (SELECT repo, path, language, line, code, CASE
 
 
 def sure_findings(spark, sf):
-    return findings_with_confidence(corpus.code(spark, sf), _SURE, markup=False)
+    """Findings of every rule; those without a confidence have none."""
+    return findings_with_confidence(corpus.code(spark, sf), markup=False)
+
+
+_LEVELS = f"WITH {oracle.findings(all_rules(), corpus.CODE)}, {_CONFIDENCE} SELECT repo, path, line, code, confidence FROM leveled"
 
 
-@query("fn03_static_confidence", f"WITH {oracle.findings(_SURE, corpus.CODE)}, {_CONFIDENCE} SELECT repo, path, line, code, confidence FROM leveled")
+@query("fn03_static_confidence", _LEVELS)
+@query("fn03_static_confidence_all_rules", _LEVELS)
 def confidence(spark, sf):
     return sure_findings(spark, sf).select("repo", "path", "line", "code", "confidence")
 
@@ -61,13 +64,17 @@ _DOWN = lambda c: f"CASE {c} WHEN 'critical' THEN 'verify-needed' WHEN 'verify-n
 _UP = lambda c: f"CASE WHEN {c} IS NULL OR {c} = 'safe' THEN 'verify-needed' WHEN {c} = 'verify-needed' THEN 'critical' ELSE {c} END"
 
 
-@query("fn04_adaptive_confidence", f"""WITH {oracle.findings(_SURE, corpus.CODE)}, {_CONFIDENCE}, {ACTIONS}, {STATS}, {_LANGS},
+_ADAPTED = f"""WITH {oracle.findings(all_rules(), corpus.CODE)}, {_CONFIDENCE}, {ACTIONS}, {STATS}, {_LANGS},
   j AS (SELECT f.repo, f.path, f.line, f.code, f.confidence, fps + fixed + verified + ignored AS acted, fps::DOUBLE / nullif(fps + fixed + verified, 0) AS fp, (fixed + verified)::DOUBLE / nullif(fps + fixed + verified + ignored, 0) AS fix,
       lang_fixed, lang_fps FROM leveled f LEFT JOIN stats s ON s.code = f.code LEFT JOIN langs l ON l.code = f.code AND l.language = f.language),
   s1 AS (SELECT *, CASE WHEN fp >= 0.7 THEN {_DOWN('confidence')} ELSE confidence END AS c1 FROM j), s2 AS (SELECT *, CASE WHEN fix >= 0.8 THEN {_UP('c1')} ELSE c1 END AS c2 FROM s1),
   s3 AS (SELECT *, CASE WHEN regexp_matches(path, '(?i)test|spec|__tests__|__mocks__') THEN {_DOWN('c2')} ELSE c2 END AS c3 FROM s2),
   s4 AS (SELECT *, CASE WHEN regexp_matches(path, '(?i)[/\\\\](src|lib|app|components?)[/\\\\]') AND lang_fixed + lang_fps >= 3 AND lang_fixed::DOUBLE / (lang_fixed + lang_fps) >= 0.8 THEN {_UP('c3')} ELSE c3 END AS c4 FROM s3)
-SELECT repo, path, line, code, CASE WHEN coalesce(acted, 0) >= 5 THEN c4 ELSE confidence END AS confidence FROM s4""")
+SELECT repo, path, line, code, CASE WHEN coalesce(acted, 0) >= 5 THEN c4 ELSE confidence END AS confidence FROM s4"""
+
+
+@query("fn04_adaptive_confidence", _ADAPTED)
+@query("fn04_adaptive_confidence_all_rules", _ADAPTED)
 def adaptive(spark, sf):
     return with_adaptive_confidence(sure_findings(spark, sf).drop("text", "near"), actions(spark, sf)).select("repo", "path", "line", "code", "confidence")
 
@@ -145,7 +152,7 @@ def parameter_lists(spark, sf):
     return rows.select("repo", "path", "line", F.array_join(scope.parameters(F.col("text")), " ").alias("names"))
 
 
-_FIXABLE = [r for r in all_rules() if r.code in fixes.REWRITES and oracle.expressible(r)]
+_FIXABLE = [r for r in all_rules() if r.code in fixes.REWRITES]
 
 
 def _replace(code: str, pattern: str, new: str, title: str) -> str:
@@ -157,60 +164,38 @@ def _delete(code: str, pattern: str, title: str) -> str:
 
 
 _FIXES = "CASE " + " ".join([
-    _replace("K8S001", r"privileged:\s*true", "privileged: false", "Set privileged: false"), _delete("K8S002", "", "Remove hostNetwork: true"),
-    _delete("K8S003", r"hostPID:\s*true", "Remove hostPID: true"), _delete("K8S003", r"hostIPC:\s*true", "Remove hostIPC: true"),
+    _replace("K8S001", r"privileged:\s*true", "privileged: false", "Set privileged: false"), _delete("K8S002", "", "Take the host's network away"),
+    _delete("K8S003", r"hostPID:\s*true", "Take the host's processes away"), _delete("K8S003", r"hostIPC:\s*true", "Take the host's memory segments away"),
     _replace("K8S004", r"runAsUser:\s*0\b", "runAsUser: 1000", "Set runAsUser: 1000"),
     _replace("K8S004", r"allowPrivilegeEscalation:\s*true", "allowPrivilegeEscalation: false", "Set allowPrivilegeEscalation: false"),
     _replace("TF002", r'acl\s*=\s*"(?:public-read|public-read-write|authenticated-read)"', 'acl = "private"', "Make the bucket private"),
     _replace("TF004", r"publicly_accessible\s*=\s*true", "publicly_accessible = false", "Set publicly_accessible = false"),
     f"WHEN code = 'JWT002' AND NOT regexp_matches(text, 'algorithms?\\s*:\\s*\\[') AND regexp_matches(text, '\\bjwt\\.verify\\s*\\(\\s*[\\w.]+\\s*,\\s*[\\w.]+\\s*\\)') THEN {{'title': 'Name the algorithm for jwt.verify', 'new_line': regexp_replace(text, '(\\bjwt\\.verify\\s*\\(\\s*[\\w.]+\\s*,\\s*[\\w.]+)(\\s*\\))', '\\1, {{ algorithms: [''RS256''] }}\\2'), 'delete_line': FALSE}}",
-    _replace("JWT006", r"\s*,?\s*ignoreExpiration\s*:\s*true\s*,?", "", "Remove ignoreExpiration: true"), _replace("JWT006", r"verify_exp\s*=\s*False", "verify_exp=True", "Set verify_exp=True"),
+    _replace("JWT006", r"\s*,?\s*ignoreExpiration\s*:\s*true\s*,?", "", "Let expired tokens fail"), _replace("JWT006", r"verify_exp\s*=\s*False", "verify_exp=True", "Set verify_exp=True"),
     _replace("DESER003", r"\byaml\.unsafe_load\b", "yaml.safe_load", "Use yaml.safe_load"),
+    "WHEN code = 'DESER004' AND NOT regexp_matches(text, 'Loader\\s*=\\s*(?:yaml\\.)?(?:SafeLoader|BaseLoader)') AND regexp_matches(text, '\\byaml\\.load\\s*\\(') THEN {'title': 'Use yaml.safe_load', 'new_line': regexp_replace(text, '\\byaml\\.load\\s*\\(', 'yaml.safe_load('), 'delete_line': FALSE}",
     _replace("ENC004", r"rejectUnauthorized\s*:\s*false", "rejectUnauthorized: true", "Set rejectUnauthorized: true"),
-    "WHEN code = 'DOCKER008' AND regexp_matches(text, '(?i)^\\s*HEALTHCHECK\\s+NONE\\b') THEN {'title': 'Comment out HEALTHCHECK NONE', 'new_line': regexp_replace(text, '^(\\s*)', '\\1# '), 'delete_line': FALSE}",
+    "WHEN code = 'DOCKER008' AND regexp_matches(text, '(?i)^\\s*HEALTHCHECK\\s+NONE\\b') THEN {'title': 'Turn the missing health check into a comment', 'new_line': regexp_replace(text, '^(\\s*)', '\\1# '), 'delete_line': FALSE}",
     _replace("CORS001", r"""origin\s*:\s*['"]\*['"]""", "origin: false", "Refuse all origins until a list is set"),
 ]) + " END"
 
 
-@query("fn14_proposed_fixes", f"""WITH {oracle.findings(_FIXABLE, corpus.CODE)}, x AS (SELECT *, {_FIXES} AS fix FROM findings)
-SELECT repo, path, line, code, fix.title AS title, fix.new_line AS new_line, fix.delete_line AS delete_line FROM x WHERE fix IS NOT NULL""")
-def proposed_fixes(spark, sf):
-    found = pick_reminders(line_findings(corpus.code(spark, sf), _FIXABLE))
-    return fixes.proposed_fixes(found).select("repo", "path", "line", "code", "title", "new_line", "delete_line")
+_FIXED = f"""WITH {oracle.findings(_FIXABLE, corpus.CODE)}, x AS (SELECT *, {_FIXES} AS fix FROM findings)
+SELECT repo, path, line, code, fix.title AS title, fix.new_line AS new_line, fix.delete_line AS delete_line FROM x WHERE fix IS NOT NULL"""
 
 
-@query("fn14_proposed_fixes_all_rules")
-def proposed_fixes_all(spark, sf):
+@query("fn14_proposed_fixes", _FIXED)
+@query("fn14_proposed_fixes_all_rules", _FIXED)
+def proposed_fixes(spark, sf):
     """Fixes for the findings of every rule that has one."""
-    found = pick_reminders(line_findings(corpus.code(spark, sf), [r for r in all_rules() if r.code in fixes.REWRITES]))
+    found = pick_reminders(line_findings(corpus.code(spark, sf), _FIXABLE))
     return fixes.proposed_fixes(found).select("repo", "path", "line", "code", "title", "new_line", "delete_line")
 
 
-@query("fn04_editor_scan", f"""WITH {oracle.findings(_SURE, corpus.CODE)}, {_CONFIDENCE} SELECT f.repo, f.path, f.line, f.code, f.severity, l.confidence FROM findings f JOIN leveled l USING (repo, path, line, code)""")
+@query("fn04_editor_scan", f"""WITH {oracle.findings(all_rules(), corpus.CODE, markup=True)}, {_CONFIDENCE} SELECT f.repo, f.path, f.line, f.code, f.severity, l.confidence FROM findings f JOIN leveled l USING (repo, path, line, code)""")
 def editor(spark, sf):
     """The editor's scan without learned state: findings with their confidence."""
-    return editor_scan(corpus.code(spark, sf), _SURE).select("repo", "path", "line", "code", "severity", "confidence")
-
-
-# The same steps over the whole catalogue, of which the oracle's dialect cannot state every rule. Findings of rules without a confidence have none.
-def all_sure_findings(spark, sf):
-    return findings_with_confidence(corpus.code(spark, sf), markup=False)
-
-
-@query("fn03_static_confidence_all_rules")
-def confidence_all(spark, sf):
-    return all_sure_findings(spark, sf).select("repo", "path", "line", "code", "confidence")
-
-
-@query("fn04_adaptive_confidence_all_rules")
-def adaptive_all(spark, sf):
-    return with_adaptive_confidence(all_sure_findings(spark, sf).drop("text", "near"), actions(spark, sf)).select("repo", "path", "line", "code", "confidence")
-
-
-@query("fn20_display_text_all_rules")
-def display_all(spark, sf):
-    shown = statistics.display_text(F.col("code"), F.col("category"), F.col("message"), F.col("confidence"))
-    return all_sure_findings(spark, sf).select("repo", "path", "line", "code", shown.alias("shown"))
+    return editor_scan(corpus.code(spark, sf)).select("repo", "path", "line", "code", "severity", "confidence")
 
 
 @query("fn04_editor_scan_all_rules")
@@ -255,8 +240,12 @@ def stack_drift(spark, sf):
     return dependencies.stack_drift(sql_table(spark, sf, _STACK).drop("c_custkey"), sql_table(spark, sf, _LATEST))
 
 
-@query("fn20_display_text", f"""WITH {oracle.findings(_SURE, corpus.CODE)}, {_CONFIDENCE} SELECT f.repo, f.path, f.line, f.code, CASE confidence WHEN 'critical' THEN '[Critical] ' WHEN 'safe' THEN '[Safe] ' WHEN 'verify-needed' THEN '[Verify Needed] ' ELSE '' END
-  || '[' || {_LABEL} || '] ' || f.code || ': ' || message AS shown FROM findings f JOIN leveled l ON l.repo = f.repo AND l.path = f.path AND l.line = f.line AND l.code = f.code""")
+_SHOWN = f"""WITH {oracle.findings(all_rules(), corpus.CODE)}, {_CONFIDENCE} SELECT f.repo, f.path, f.line, f.code, CASE confidence WHEN 'critical' THEN '[Critical] ' WHEN 'safe' THEN '[Safe] ' WHEN 'verify-needed' THEN '[Verify Needed] ' ELSE '' END
+  || '[' || {_LABEL} || '] ' || f.code || ': ' || message AS shown FROM findings f JOIN leveled l ON l.repo = f.repo AND l.path = f.path AND l.line = f.line AND l.code = f.code"""
+
+
+@query("fn20_display_text", _SHOWN)
+@query("fn20_display_text_all_rules", _SHOWN)
 def display(spark, sf):
     shown = statistics.display_text(F.col("code"), F.col("category"), F.col("message"), F.col("confidence"))
     return sure_findings(spark, sf).select("repo", "path", "line", "code", shown.alias("shown"))
@@ -338,10 +327,13 @@ TAINT = f"""assigned AS ({ORACLES["tnt03_tainting_assignments"]}), ranges AS ({O
       FROM visits v LEFT JOIN eldest e ON e.repo = v.repo AND e.path = v.path AND e.start = v.start AND e.line = v.line AND e.sink = v.sink WHERE v.direct IS NOT NULL OR e.name IS NOT NULL),
   tainted AS (SELECT DISTINCT repo, path, line, sink, name, source_line, label FROM (SELECT * FROM reached QUALIFY row_number() OVER (PARTITION BY repo, path, start, line ORDER BY sink) = 1)),
   sinks(sink, code, category, what, call) AS (VALUES {", ".join(f"({i}, {lit(k.code)}, {lit(k.category)}, {lit(k.message)}, {lit(k.call.text)})" for i, k in enumerate(SINKS))}),
-  taint_findings AS (SELECT repo, path, line, code, 2 AS severity, CASE WHEN name IS NULL THEN what || ': the argument itself is ' || label
+  taint_findings AS (SELECT repo, path, line, code, category, 2 AS severity, CASE WHEN name IS NULL THEN what || ': the argument itself is ' || label
       ELSE what || ': `' || name || '` holds ' || label || ' since line ' || (source_line + 1) END AS message, call AS pattern FROM tainted JOIN sinks USING (sink))"""
 _TAINT = f"{corpus.CODE},{lines_sql()}, {TAINT}"
 ORACLES["jn14_taint_as_of"] = f"WITH {_TAINT} SELECT repo, path, line, sink, name, source_line, label FROM tainted WHERE name IS NOT NULL"
+for _name, _files in (("code", corpus.CODE), ("documents", corpus.DOCUMENTS), ("pages", corpus.PAGES), ("conversations", corpus.CONVERSATIONS)):
+    ORACLES[f"scan_{_name}_all_rules"] = f"""WITH {oracle.findings(all_rules(), _files)}, {TAINT} SELECT repo, path, line, col, code, severity, category, pattern FROM findings
+UNION ALL SELECT repo, path, line, 0 AS col, code, severity, category, pattern FROM taint_findings"""
 ORACLES["set01_all_findings"] = f"""WITH {inputs.FINDINGS}, {TAINT} SELECT repo, path, line, code, severity, pattern FROM findings
 UNION ALL SELECT repo, path, line, code, severity, pattern FROM taint_findings"""
 

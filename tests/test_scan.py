@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seclake.functions.braces import closing_lines, ranges_between
-from seclake.functions.context import BLOCK, QUOTED, TEMPLATE, walk
+from seclake.functions.context import BLOCK, QUOTED, TEMPLATE, line_states
 from seclake.operators.matching import project_advisories, scan_rules
 from seclake.operators.taint import taint_findings, taint_hits
 from seclake.plans.scan import editor_scan, scan
@@ -48,7 +48,7 @@ def test_random_files(files):
     paths = ["src/a.js", "app/Dockerfile", "x/b.tf", "deploy/c.yaml", "m/d.kt", "components/e.tsx", ".github/f.yml"]
     pairs = [(p.replace(".", f"{i}.", 1) if p.count(".") == 1 and not p.startswith(".") else f"{i}/{p}", random_text(r, r.randint(1, 60)))
              for i in range(12) for p in paths]
-    plain = [x for x in all_rules() if oracle.expressible(x)]
+    plain = all_rules()
     want = set(asked(f"WITH {oracle.findings(plain, corpus.CODE)} SELECT path, line, col, code, severity, pattern FROM findings", pairs))
     table = files(*pairs)
     got = found(scan_rules(table.repartition(5), plain))
@@ -92,9 +92,21 @@ STATES = [
 ]
 
 
-@pytest.mark.parametrize("text, states", STATES)
-def test_line_states(text, states):
-    assert walk(text) == states
+def test_line_states(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(STATES)] + [(-1, None)], "i int, t string").select("i", line_states(F.col("t")).alias("s"))
+    assert {r.i: r.s for r in df.collect()} == {i: s for i, (_, s) in enumerate(STATES)} | {-1: None}
+
+
+def test_line_states_of_random_texts(files):
+    """Against the recursive SQL, on lines of code and on marks in any order."""
+    r = random.Random(11)
+    marks = [*"ab \t/*'\"`{}$\\\n\n[]=(", "//", "/*", "*/", "${", "}", "return /", "in /", "\\'"]
+    pairs = [(f"{i}.js", random_text(r, r.randint(1, 60))) for i in range(60)]
+    pairs += [(f"m{i}.js", "".join(r.choice(marks) for _ in range(r.randint(0, 60)))) for i in range(1500)]
+    pairs += [("long.js", "\n".join("".join(r.choice(marks) for _ in range(r.randint(0, 6))) for _ in range(700)))]
+    want = {(path, line, state) for path, line, state in asked(f"WITH {corpus.CODE},{corpus.lines_sql()}, {oracle.states()} SELECT path, line, state FROM states", pairs)}
+    got = files(*pairs).select("path", F.posexplode(line_states(F.col("content"))).alias("line", "state"))
+    assert {tuple(x) for x in got.collect()} == want and len({s for _, _, s in want}) > 6
 
 
 # Line, column, state at its start: inside a comment, inside a string.
