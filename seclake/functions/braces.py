@@ -8,11 +8,14 @@ work grows with the file, not with its functions times its length.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_OTHER = re.compile(r"[^{}\n]+")
 RANGES = "array<struct<start:int,stop:int,first:int,count:int>>"
 
 
@@ -60,25 +63,31 @@ def ranges_between(marks: str, heads: np.ndarray, lines: np.ndarray | None, need
     return list(zip(start.tolist(), stop.tolist(), first.tolist(), (np.searchsorted(inside, stop, "right") - first).tolist(), strict=True))
 
 
+def plain_braces(text: str) -> str:
+    """A text without anything but braces and line feeds."""
+    return _OTHER.sub("", text)
+
+
+def may_open(line: str) -> bool:
+    """Can the line open a function? Every form of a head has a brace and a bracket or arrow, or the word and a bracket."""
+    return ("{" in line and ("(" in line or "=>" in line)) or ("function" in line and "(" in line)
+
+
 def brace_marks(content: Column) -> Column:
     """A text without anything but braces and line feeds."""
     return F.regexp_replace(content, r"[^{}\n]+", "")
 
 
-def brace_ranges(marks: Column, heads: Column, lines: Column | None = None, needed: Column | None = None, most_lines: int | None = None) -> Column:
-    """array<struct(start, stop, first, count)>: see `ranges_between`. All arrays are ascending line numbers."""
-    none = F.lit(None).cast("array<int>")
-    has_lines, has_needed = lines is not None, needed is not None
+def brace_ranges(marks: Column, heads: Column) -> Column:
+    """array<struct(start, stop)>: from each of the ascending head lines to the line where its function closes, if it does."""
 
-    @F.pandas_udf(RANGES)
-    def ranges(marks: pd.Series, heads: pd.Series, lines: pd.Series, needed: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<start:int,stop:int>>")
+    def ranges(marks: pd.Series, heads: pd.Series) -> pd.Series:
         made = []
-        for m, h, l, n in zip(marks, heads, lines, needed, strict=True):
-            if m is None or h is None or not len(h):
-                made.append([])
-                continue
-            own = ranges_between(m, np.asarray(h, np.int64), np.asarray(l, np.int64) if has_lines else None, np.asarray(n, np.int64) if has_needed else None, most_lines)
-            made.append([{"start": a, "stop": b, "first": c, "count": d} for a, b, c, d in own])
+        for text, lines in zip(marks, heads, strict=True):
+            start = np.asarray(lines if lines is not None else [], np.int64)
+            stop = closing_lines(text, start) if len(start) else start
+            made.append([{"start": a, "stop": b} for a, b in zip(start.tolist(), stop.tolist(), strict=True) if b >= 0])
         return pd.Series(made)
 
-    return ranges(marks, heads, lines if has_lines else none, needed if has_needed else none)
+    return ranges(marks, heads)

@@ -8,13 +8,16 @@ alone leaves the JVM; the patterns themselves run as native expressions on what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules.model import Pattern
+from .braces import RANGES, may_open, plain_braces, ranges_between
 from .literals import required
 
 
@@ -47,43 +50,90 @@ def candidate_flag(candidate: Column, flag: int) -> Column:
     return candidate.bitwiseAND(flag) != 0
 
 
-def line_candidates(content: Column, patterns: list[Pattern], flags: list[int] | None = None) -> Column:
-    """array<bigint>: one candidate per line and possible pattern. `flags` gives 0 to 3 per pattern."""
+def _marked(patterns: list[Pattern], flags: list[int] | None) -> tuple[dict[str, list[int]], list[int]]:
+    """Words and the numbers to note where they occur, and numbers to note on every line."""
     if len(patterns) >= 1 << (_LINE - _NUMBER):
         raise ValueError(f"at most {(1 << (_LINE - _NUMBER)) - 1} patterns")
     words, free = needed_words(patterns)
     marks = [n << _NUMBER | (flags[n] if flags else 0) for n in range(len(patterns))]
-    words = {w: [marks[n] for n in numbers] for w, numbers in words.items()}
-    free = [marks[n] for n in free]
-    line_bits = _LINE
+    return {w: [marks[n] for n in numbers] for w, numbers in words.items()}, [marks[n] for n in free]
 
-    @F.pandas_udf("array<bigint>")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        for w, numbers in words.items():
-            automaton.add_word(w, numbers)
+def _searcher(words: dict[str, list[int]], free: list[int]) -> Callable[[str], list[int]]:
+    """The candidates of a text, ascending."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for w, numbers in words.items():
+        automaton.add_word(w, numbers)
+    if words:
+        automaton.make_automaton()
+
+    def search(text: str) -> list[int]:
+        low = text.lower()
+        found, line, seen = set(), 0, 0
         if words:
-            automaton.make_automaton()
-
-        def one(text: str | None) -> list[int] | None:
-            if text is None:
-                return None
-            low = text.lower()
-            found, line, seen = set(), 0, 0
-            if words:
-                for end, numbers in automaton.iter(low):
-                    line += low.count("\n", seen, end)
-                    seen = end
-                    found.update([line << line_bits | n for n in numbers])
-            if free:
-                for i in range(low.count("\n") + 1):
-                    found.update([i << line_bits | n for n in free])
-            return sorted(found)
+            for end, numbers in automaton.iter(low):
+                line += low.count("\n", seen, end)
+                seen = end
+                found.update([line << _LINE | n for n in numbers])
+        if free:
+            for i in range(low.count("\n") + 1):
+                found.update([i << _LINE | n for n in free])
+        return sorted(found)
+
+    return search
 
+
+def line_candidates(content: Column, patterns: list[Pattern], flags: list[int] | None = None) -> Column:
+    """array<bigint>: one candidate per line and possible pattern. `flags` gives 0 to 3 per pattern."""
+    words, free = _marked(patterns, flags)
+
+    @F.pandas_udf("array<bigint>")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        search = _searcher(words, free)
         for batch in batches:
-            yield batch.map(one)
+            yield batch.map(lambda text: None if text is None else search(text))
 
     # Declared non-deterministic so that a filter on the result cannot make the scan run twice.
     return scan.asNondeterministic()(content)
+
+
+@dataclass(frozen=True)
+class FlowPatterns:
+    """Which of the patterns are about the flow of input: those from number `first` on, flagged SINK, SOURCE or neither."""
+
+    first: int
+    most_lines: int | None = None
+
+    SINK = 1
+    SOURCE = 2
+
+
+def candidates_and_functions(content: Column, patterns: list[Pattern], flags: list[int], flow: FlowPatterns) -> Column:
+    """struct(marks, functions): the candidates of several consumers, and the functions worth a look, in one pass over the text.
+
+    Functions are told for texts that may hold both a source and a sink: struct(start, stop, first, count) for each line that may
+    open a function with a sink inside, `first` and `count` being the place of its lines among all lines that the flow patterns name.
+    """
+    words, free = _marked(patterns, flags)
+    beyond, number_bits = flow.first << _NUMBER, (1 << _LINE) - 1
+
+    def functions(text: str, marks: list[int]) -> list[dict[str, int]]:
+        own = [m for m in marks if m & number_bits >= beyond]
+        calls = sorted({m >> _LINE for m in own if m & FlowPatterns.SINK})
+        if not calls or not any(m & FlowPatterns.SOURCE for m in own):
+            return []
+        heads = [i for i, line in enumerate(text.split("\n")) if may_open(line)]
+        telling = sorted({m >> _LINE for m in own})
+        ranges = ranges_between(plain_braces(text), np.array(heads, np.int64), np.array(telling, np.int64), np.array(calls, np.int64), flow.most_lines)
+        return [{"start": a, "stop": b, "first": c, "count": d} for a, b, c, d in ranges]
+
+    @F.pandas_udf(f"marks array<bigint>, functions {RANGES}")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        search = _searcher(words, free)
+        for batch in batches:
+            marks = [[] if text is None else search(text) for text in batch]
+            yield pd.DataFrame({"marks": marks, "functions": [functions(text, m) if m else [] for text, m in zip(batch, marks, strict=True)]})
+
+    return scan.asNondeterministic()(content)

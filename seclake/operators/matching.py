@@ -1,7 +1,7 @@
 """Rule matching: texts in, findings out.
 
 A rule fires at most once per line, at the first of its patterns that survives every condition.
-The plan never crosses lines with rules: a one-pass prefilter names the (line, pattern) pairs that are
+The plan never crosses lines with rules: a one-pass prefilter, shared with the flow analysis where a scan runs both, names the (line, pattern) pairs that are
 possible, those few are joined with the (fixed-size) pattern table, and each pattern runs as a column
 expression. Sorting the pairs by pattern inside each partition keeps one compiled expression in use
 at a time. Neighbouring lines come from the text itself, so the match needs no shuffle; the only
@@ -10,7 +10,8 @@ exchange moves surviving hits, not text.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,9 +19,9 @@ from pyspark.sql import types as T
 
 from ..functions.context import inside_comment, inside_markup_text, inside_string, line_states
 from ..functions.dialect import any_of, java_regex
-from ..functions.prefilter import candidate_flag, candidate_line, candidate_number, line_candidates
+from ..functions.prefilter import FlowPatterns, candidate_flag, candidate_line, candidate_number, candidates_and_functions, line_candidates
 from ..rules import CATEGORY_LABELS, Rule
-from ..rules.model import ADVISORY, REMINDER
+from ..rules.model import ADVISORY, CODE, REMINDER, Pattern
 
 REACH = 3
 
@@ -56,8 +57,24 @@ _PATTERN_TABLE = T.StructType([
 ])
 
 
-def pattern_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    """One row per pattern; `number` orders patterns by rule, then by place within the rule."""
+@dataclass(frozen=True)
+class Companion:
+    """Another analysis that shares a scan's pass over the texts.
+
+    `hits` makes array<struct(line, which, told)> of a file's lines, its candidates of the companion's patterns and its functions.
+    `rows` say by `which` what a hit is: (code, severity, category, what, suggestion, pattern). `message` puts `what` and `told` in words.
+    """
+
+    patterns: list[Pattern]
+    flags: list[int]
+    most_lines: int | None
+    rows: list[tuple[str, int, str, str, str, str]]
+    hits: Callable[[Column, Column, Column], Column]
+    message: Callable[[Column, Column], Column]
+
+
+def pattern_table(spark: SparkSession, rules: Sequence[Rule], companion: Companion | None = None) -> DataFrame:
+    """One row per pattern; `number` orders patterns by rule, then by place within the rule. What a companion finds has no regex."""
     rows = []
     for place, r in enumerate(rules):
         for p in r.match:
@@ -67,6 +84,8 @@ def pattern_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
                 any_of(r.unless_near), any_of(r.only_paths), any_of(r.skip_paths),
                 any_of(r.info_paths), r.code_only,
             ))
+    for which, (code, severity, category, what, suggestion, pattern) in enumerate(companion.rows if companion else ()):
+        rows.append((len(rows), len(rules) + which, code, severity, category, CODE, what, suggestion, pattern, *[None] * 6, False))
     return spark.createDataFrame(rows, _PATTERN_TABLE)
 
 
@@ -95,20 +114,30 @@ _NEEDS_NEAR, _NEEDS_STATE = 1, 2
 
 
 def possible_pairs(
-    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, line_limit: int | None = None
+    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, line_limit: int | None = None, companion: Companion | None = None
 ) -> DataFrame:
-    """(file, line, pattern number) pairs worth a look, with the line and what its rule needs around it."""
+    """(file, line, pattern number) pairs worth a look, with the line and what its rule needs around it.
+
+    A companion's hits come as pairs, too, with the numbers after the rules' patterns.
+    """
     owner = [r for r in rules for _ in r.match]
     flags = [(_NEEDS_NEAR if keep_near or r.unless_near else 0) + (_NEEDS_STATE if r.code_only else 0) for r in owner]
     patterns = [p for r in rules for p in r.match]
+    count = len(patterns)
     keys = [c for c in files.columns if c != "content"]
-    found = files.withColumn("pairs", line_candidates(F.col("content"), patterns, flags)).where(F.size("pairs") > 0)
+    if companion:
+        flow = FlowPatterns(count, companion.most_lines)
+        found = files.withColumn("found", candidates_and_functions(F.col("content"), patterns + companion.patterns, flags + companion.flags, flow))
+        found = found.where(F.size("found.marks") > 0).withColumn("pairs", F.filter("found.marks", lambda m: candidate_number(m) < count))
+    else:
+        found = files.withColumn("pairs", line_candidates(F.col("content"), patterns, flags)).where(F.size("pairs") > 0)
     if any(f & _NEEDS_STATE for f in flags):
         asks = F.exists("pairs", lambda p: candidate_flag(p, _NEEDS_STATE))
         found = found.withColumn("states", line_states(F.when(asks, F.col("content"))))
     else:
         found = found.withColumn("states", F.lit(None).cast("array<int>"))
     found = found.withColumn("lines", split_lines(F.col("content")))
+    told = "struct<name:string,source_line:int,label:string>"
 
     def expand(p: Column) -> Column:
         line = candidate_line(p)
@@ -118,11 +147,25 @@ def possible_pairs(
         return F.struct(
             line.alias("line"), candidate_number(p).alias("number"), F.get("lines", line).alias("text"),
             F.when(candidate_flag(p, _NEEDS_NEAR), around).alias("near"), F.get("states", line).alias("state"),
+            *[F.lit(None).cast(told).alias("told")] * bool(companion),
+        )
+
+    def met(h: Column) -> Column:
+        return F.struct(
+            h["line"].alias("line"), (h["which"] + count).alias("number"), F.get("lines", h["line"]).alias("text"),
+            F.lit(None).cast("array<string>").alias("near"), F.lit(None).cast("int").alias("state"), h["told"].cast(told).alias("told"),
         )
 
-    pairs = found.select(*keys, F.explode(F.transform("pairs", expand)).alias("pair"))
-    pairs = pairs.select(*keys, "pair.*")
-    return pairs.where(F.length("text") <= line_limit) if line_limit else pairs
+    pairs = F.transform("pairs", expand)
+    if companion:
+        own = F.filter("found.marks", lambda m: candidate_number(m) >= count)
+        hits = F.when(F.size("found.functions") > 0, F.transform(companion.hits(F.col("lines"), own, F.col("found.functions")), met))
+        found = found.withColumn("hits", hits)
+        pairs = F.when(F.size("hits") > 0, F.concat(pairs, F.col("hits"))).otherwise(pairs)
+    pairs = found.select(*keys, F.explode(pairs).alias("pair")).select(*keys, "pair.*")
+    if not line_limit:
+        return pairs
+    return pairs.where((F.length("text") <= line_limit) | (F.col("number") >= count))
 
 
 def by_pattern(pairs: DataFrame) -> DataFrame:
@@ -134,30 +177,35 @@ def by_pattern(pairs: DataFrame) -> DataFrame:
     return pairs.sortWithinPartitions("number").where(F.monotonically_increasing_id() >= 0)
 
 
-def raw_hits(files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, line_limit: int | None = None) -> DataFrame:
+def raw_hits(
+    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, line_limit: int | None = None, companion: Companion | None = None
+) -> DataFrame:
     """Every (line, pattern) that matches and passes the conditions of its rule, whatever stands around the match."""
     rules = [r for r in rules if r.kind != ADVISORY]
-    table = pattern_table(files.sparkSession, rules)
-    pairs = by_pattern(possible_pairs(files, rules, keep_near, line_limit)).join(F.broadcast(table), "number")
+    table = pattern_table(files.sparkSession, rules, companion)
+    pairs = by_pattern(possible_pairs(files, rules, keep_near, line_limit, companion)).join(F.broadcast(table), "number")
     pairs = pairs.where(
         (F.col("only_paths").isNull() | _present(F.rlike("path", F.col("only_paths"))))
         & ~_present(F.rlike("path", F.col("skip_paths")))
     )
 
-    text = F.col("text")
-    hit = pairs.where(F.rlike(text, F.col("regex")) & ~_present(F.rlike(text, F.col("unless"))))
+    text, met = F.col("text"), F.col("regex").isNull()
+    hit = pairs.where((met | F.rlike(text, F.col("regex"))) & ~_present(F.rlike(text, F.col("unless"))))
     safe_near = F.exists("near", lambda l: F.rlike(l, F.col("unless_near")))
     hit = hit.where(F.col("unless_near").isNull() | ~_present(safe_near))
-    return hit.withColumn("col", F.regexp_instr(text, F.col("regex")) - 1).withColumn(
+    if companion:
+        hit = hit.withColumn("message", F.when(met, companion.message(F.col("message"), F.col("told"))).otherwise(F.col("message")))
+    return hit.withColumn("col", F.when(met, 0).otherwise(F.regexp_instr(text, F.col("regex")) - 1)).withColumn(
         "pattern", F.coalesce("literal", F.regexp_substr(text, F.col("regex")))
     )
 
 
 def pattern_hits(
-    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, markup: bool = False, line_limit: int | None = None
+    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, markup: bool = False, line_limit: int | None = None,
+    companion: Companion | None = None,
 ) -> DataFrame:
     """The hits that count: not those of code-only rules inside comments, strings or (if asked for) the text of markup."""
-    hit = raw_hits(files, rules, keep_near, line_limit)
+    hit = raw_hits(files, rules, keep_near, line_limit, companion)
     if any(r.code_only for r in rules):
         place = F.col("text"), F.col("col")
         masked = inside_comment(*place, F.col("state")) | inside_string(*place, F.col("state"))
@@ -169,15 +217,17 @@ def pattern_hits(
 
 
 def line_findings(
-    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, markup: bool = False, line_limit: int | None = None
+    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, markup: bool = False, line_limit: int | None = None,
+    companion: Companion | None = None,
 ) -> DataFrame:
-    """One row per (rule, line): the first surviving pattern."""
-    hits = pattern_hits(files, rules, keep_near, markup, line_limit)
+    """One row per (rule, line): the first surviving pattern. Each hit of a companion is a row."""
+    hits = pattern_hits(files, rules, keep_near, markup, line_limit, companion)
     payload = ["number", "col", "severity", "pattern", "category", "message", "suggestion", "kind", "rule", "text"]
     if keep_near:
         payload.append("near")
     # One exchange serves this grouping and the choice of reminders after it.
-    first = hits.repartition("repo", "path", "code").groupBy(*FILE, "line", "code").agg(F.min(F.struct(*payload)).alias("h"))
+    apart = ["told"] if companion else []
+    first = hits.repartition("repo", "path", "code").groupBy(*FILE, "line", "code", *apart).agg(F.min(F.struct(*payload)).alias("h"))
     return first.select(*FILE, "line", "code", "h.*").drop("number")
 
 

@@ -11,7 +11,7 @@ from ..functions.confidence import adaptive_confidence, static_confidence
 from ..operators.learning import language_stats, rule_stats
 from ..operators.matching import FILE, FINDING, line_findings, pick_reminders, scan_rules
 from ..operators.suppression import internal_paths, learned_suppression, without_dismissed, without_ignored, without_info
-from ..operators.taint import taint_findings
+from ..operators.taint import flow_analysis
 from ..rules import Rule, all_rules
 from ..sources.files import NO_LIMITS, Limits, scannable
 
@@ -47,8 +47,7 @@ def scan(
         kept = kept.where(F.col("path").rlike(paths))
     if limits.file_bytes or limits.skip_generated or limits.skip_minified:
         kept = kept.where(scannable(F.col("path"), F.col("content"), limits))
-    found = scan_rules(kept, chosen, limits.reminder_lines, line_limit=limits.line_chars)
-    return found.unionByName(taint_findings(kept, limits=limits)) if taint else found
+    return scan_rules(kept, chosen, limits.reminder_lines, line_limit=limits.line_chars, companion=flow_analysis(limits) if taint else None)
 
 
 def two_lines_around(near: Column, line: Column) -> Column:

@@ -1,7 +1,6 @@
 """Scans of random files against SQL, line context by tables of expectations, taint, partitioning."""
 
 import random
-import re
 import time
 
 import duckdb
@@ -9,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seclake.functions.braces import closing_lines, ranges_between
+from seclake.functions.braces import closing_lines, plain_braces, ranges_between
 from seclake.functions.context import BLOCK, QUOTED, TEMPLATE, line_states
 from seclake.operators.matching import project_advisories, scan_rules
 from seclake.operators.taint import taint_findings, taint_hits
@@ -169,7 +168,7 @@ def test_functions_close_where_the_depth_returns():
                     if started and ch == "}" and depth == 0 and stop < 0:
                         stop = i
             want.append(stop)
-        marks = re.sub(r"[^{}\n]", "", "\n".join(lines))
+        marks = plain_braces("\n".join(lines))
         assert closing_lines(marks, np.array(heads)).tolist() == want
         facts = np.array(sorted(r.sample(range(len(lines)), r.randint(0, len(lines)))), np.int64)
         calls = facts[::2]
