@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -81,28 +82,38 @@ def eligible(path: Column, excludes: Sequence[str] = (), includes: Sequence[str]
     return wanted & ~F.arrays_overlap(folders, skipped)
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)"
+
+
+def listed_path(root: str) -> Column:
+    """The path of a file below a folder, from the listing alone."""
+    # The listing has URLs, where a plus sign stands for itself.
+    whole = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), _SCHEME, "")
+    base = re.sub(_SCHEME, "", root).rstrip("/")
+    start = F.lit(len(base) + 2) if base.startswith("/") or not base else F.instr(whole, f"/{base}/") + len(base) + 2
+    return F.substring(whole, start, F.length(whole))
+
+
 def read_files(
     spark: SparkSession, root: str, repo: str, excludes: Sequence[str] = (), includes: Sequence[str] = (), max_size: int | None = None,
     path_glob: str | None = None,
 ) -> DataFrame:
     """Files below a folder, one row each. Paths are relative to the folder.
 
-    Path and size come with the listing, so the choice of files is made before contents are decoded; `path_glob`
-    and `max_size` (bytes, none by default) are tested by the reader before a file is opened. Bytes that are not UTF-8 become
-    replacement characters.
+    Which files to read is decided on the listing: path, language and size come from it, and tests on them, those here and
+    the caller's own on top, prune files before any task is made, so that a refused file is never opened. Bytes that are not
+    UTF-8 become replacement characters.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     raw = (reader.option("pathGlobFilter", path_glob) if path_glob else reader).load(root)
+    path, size = listed_path(root), F.col("_metadata.file_size")
+    raw = raw.where(eligible(path, excludes, includes))
     if max_size:
-        raw = raw.where(F.col("length") <= max_size)
-    base = root.rstrip("/").split("://")[-1].split(":", 1)[-1]
-    path = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*(?=/)", "")
-    raw = raw.withColumn("path", F.substring(path, F.lit(len(base) + 2), F.length(path)))
-    raw = raw.where(eligible(F.col("path"), excludes, includes))
+        raw = raw.where(size <= max_size)
     return raw.select(
-        F.lit(repo).alias("repo"), "path", language(F.col("path")).alias("language"),
+        F.lit(repo).alias("repo"), path.alias("path"), language(path).alias("language"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-        F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
+        size.alias("size"), F.col("_metadata.file_modification_time").alias("mtime"),
     )
 
 

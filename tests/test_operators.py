@@ -24,6 +24,27 @@ def findings(spark, *rows):
     return spark.createDataFrame(full, FINDING)
 
 
+def test_refused_files_are_never_opened(spark, tmp_path):
+    """Contents above a limit of the reader end the query, unless the listing leaves their files out."""
+    names = ["src/a b+c%20é.js", "deep/er/z.ts", "k.py", "src/big.js", "node_modules/x/y.js", "docs/big.md"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x" * (5000 if "big" in name or "node_modules" in name else 10))
+    small = set(names[:3])
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        paths = lambda df: {r.path for r in df.collect()}
+        assert paths(read_files(spark, str(tmp_path), "r", max_size=1000)) == small
+        assert paths(read_files(spark, f"file://{tmp_path}/", "r").where("path NOT LIKE '%big%'")) == small
+        assert paths(read_files(spark, str(tmp_path), "r").where("language = 'python'")) == {"k.py"}
+        assert paths(read_files(spark, str(tmp_path), "r").where("size < 1000")) == small
+        assert read_files(spark, str(tmp_path), "r").select("path", "language", "size", "mtime").count() == 4
+        with pytest.raises(Exception, match="big.js"):
+            read_files(spark, str(tmp_path), "r").collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_read_files(spark, tmp_path):
     for name, text in {"src/a.js": "x", "node_modules/b.js": "y", "Dockerfile": "FROM a", "docs/c.md": "z", "keep/notes.md": "n", "e.min.bin": "q"}.items():
         p = tmp_path / name
