@@ -73,8 +73,11 @@ class Companion:
     message: Callable[[Column, Column], Column]
 
 
-def pattern_table(spark: SparkSession, rules: Sequence[Rule], companion: Companion | None = None) -> DataFrame:
-    """One row per pattern; `number` orders patterns by rule, then by place within the rule. What a companion finds has no regex."""
+def pattern_table(spark: SparkSession, rules: Sequence[Rule], companion: Companion | None = None, markers: bool = False) -> DataFrame:
+    """One row per pattern; `number` orders patterns by rule, then by place within the rule. What a companion finds has no regex.
+
+    With `markers` there is a row without a code, too, which each file meets once.
+    """
     rows = []
     for place, r in enumerate(rules):
         for p in r.match:
@@ -86,6 +89,8 @@ def pattern_table(spark: SparkSession, rules: Sequence[Rule], companion: Compani
             ))
     for which, (code, severity, category, what, suggestion, pattern) in enumerate(companion.rows if companion else ()):
         rows.append((len(rows), len(rules) + which, code, severity, category, CODE, what, suggestion, pattern, *[None] * 6, False))
+    if markers:
+        rows.append((_MARKER, _MARKER, *[None] * 13, False))
     return spark.createDataFrame(rows, _PATTERN_TABLE)
 
 
@@ -111,14 +116,18 @@ def _present(test: Column) -> Column:
 
 
 _NEEDS_NEAR, _NEEDS_STATE = 1, 2
+#: The number of the pair that stands for a file itself.
+_MARKER = -1
 
 
 def possible_pairs(
-    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, line_limit: int | None = None, companion: Companion | None = None
+    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, line_limit: int | None = None, companion: Companion | None = None,
+    markers: bool = False,
 ) -> DataFrame:
     """(file, line, pattern number) pairs worth a look, with the line and what its rule needs around it.
 
-    A companion's hits come as pairs, too, with the numbers after the rules' patterns.
+    A companion's hits come as pairs, too, with the numbers after the rules' patterns. With `markers` each file has a pair
+    without a line, whether anything is found in it or not.
     """
     owner = [r for r in rules for _ in r.match]
     flags = [(_NEEDS_NEAR if keep_near or r.unless_near else 0) + (_NEEDS_STATE if r.code_only else 0) for r in owner]
@@ -128,9 +137,9 @@ def possible_pairs(
     if companion:
         flow = FlowPatterns(count, companion.most_lines)
         found = files.withColumn("found", candidates_and_functions(F.col("content"), patterns + companion.patterns, flags + companion.flags, flow))
-        found = found.where(F.size("found.marks") > 0).withColumn("pairs", F.filter("found.marks", lambda m: candidate_number(m) < count))
+        found = found.where(F.lit(True) if markers else F.size("found.marks") > 0).withColumn("pairs", F.filter("found.marks", lambda m: candidate_number(m) < count))
     else:
-        found = files.withColumn("pairs", line_candidates(F.col("content"), patterns, flags)).where(F.size("pairs") > 0)
+        found = files.withColumn("pairs", line_candidates(F.col("content"), patterns, flags)).where(F.lit(True) if markers else F.size("pairs") > 0)
     if any(f & _NEEDS_STATE for f in flags):
         asks = F.exists("pairs", lambda p: candidate_flag(p, _NEEDS_STATE))
         found = found.withColumn("states", line_states(F.when(asks, F.col("content"))))
@@ -162,28 +171,34 @@ def possible_pairs(
         hits = F.when(F.size("found.functions") > 0, F.transform(companion.hits(F.col("lines"), own, F.col("found.functions")), met))
         found = found.withColumn("hits", hits)
         pairs = F.when(F.size("hits") > 0, F.concat(pairs, F.col("hits"))).otherwise(pairs)
+    if markers:
+        kinds = {"line": "int", "number": "int", "text": "string", "near": "array<string>", "state": "int"} | ({"told": told} if companion else {})
+        pairs = F.concat(F.array(F.struct(*[F.lit(_MARKER if k == "number" else None).cast(t).alias(k) for k, t in kinds.items()])), pairs)
     pairs = found.select(*keys, F.explode(pairs).alias("pair")).select(*keys, "pair.*")
     if not line_limit:
         return pairs
-    return pairs.where((F.length("text") <= line_limit) | (F.col("number") >= count))
+    return pairs.where((F.length("text") <= line_limit) | (F.col("number") >= count) | (F.col("number") == _MARKER))
 
 
 def by_pattern(pairs: DataFrame) -> DataFrame:
     """Order the pairs of each partition by pattern, so that a pattern is compiled once per task.
 
     The optimizer drops a local sort below an aggregate and moves filters under it. The (always true)
-    row-number test is a fence: neither happens across a non-deterministic filter.
+    row-number test is a fence: neither happens across a non-deterministic filter. Streams cannot be sorted.
     """
+    if pairs.isStreaming:
+        return pairs
     return pairs.sortWithinPartitions("number").where(F.monotonically_increasing_id() >= 0)
 
 
 def raw_hits(
-    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, line_limit: int | None = None, companion: Companion | None = None
+    files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, line_limit: int | None = None, companion: Companion | None = None,
+    markers: bool = False,
 ) -> DataFrame:
     """Every (line, pattern) that matches and passes the conditions of its rule, whatever stands around the match."""
     rules = [r for r in rules if r.kind != ADVISORY]
-    table = pattern_table(files.sparkSession, rules, companion)
-    pairs = by_pattern(possible_pairs(files, rules, keep_near, line_limit, companion)).join(F.broadcast(table), "number")
+    table = pattern_table(files.sparkSession, rules, companion, markers)
+    pairs = by_pattern(possible_pairs(files, rules, keep_near, line_limit, companion, markers)).join(F.broadcast(table), "number")
     pairs = pairs.where(
         (F.col("only_paths").isNull() | _present(F.rlike("path", F.col("only_paths"))))
         & ~_present(F.rlike("path", F.col("skip_paths")))
@@ -202,10 +217,10 @@ def raw_hits(
 
 def pattern_hits(
     files: DataFrame, rules: Sequence[Rule], keep_near: bool = False, markup: bool = False, line_limit: int | None = None,
-    companion: Companion | None = None,
+    companion: Companion | None = None, markers: bool = False,
 ) -> DataFrame:
     """The hits that count: not those of code-only rules inside comments, strings or (if asked for) the text of markup."""
-    hit = raw_hits(files, rules, keep_near, line_limit, companion)
+    hit = raw_hits(files, rules, keep_near, line_limit, companion, markers)
     if any(r.code_only for r in rules):
         place = F.col("text"), F.col("col")
         masked = inside_comment(*place, F.col("state")) | inside_string(*place, F.col("state"))

@@ -8,6 +8,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import export, history, suppression
 from ..operators.matching import project_advisories
+from ..plans.scan import scan
 from ..plans.workspace import shared_folder, written
 from ..rules import all_rules
 from ..sources import policies
@@ -17,7 +18,8 @@ from .corpus import duck, lines_sql, sql_table
 from .counts import _BUCKETS, ACTIONS, _SWEPT
 from .filters import _ADVICE, LEAKS, _LABEL, _SEV
 from .joins import VULNERABLE, advisories_of
-from .registry import query
+from .registry import ORACLES, query
+from .scalars import TAINT
 from .sources import IGNORES
 
 _EXPORT = f"export AS (SELECT repo, path AS file, line + 1 AS line, col + 1 AS \"column\", {_SEV} AS severity, code, {_LABEL} AS category, message, suggestion, pattern FROM findings)"
@@ -160,10 +162,10 @@ def _versions(spark, sf, edited: bool = False) -> DataFrame:
     return final.select("repo", "path", "language", F.explode(both).alias("v")).select("repo", "path", "language", "v.*")
 
 
-@query("str01_scan_stream", f"WITH {inputs.FINDINGS} SELECT repo, path, line, code, severity, pattern FROM findings")
+@query("str01_scan_stream", ORACLES["set01_all_findings"])
 def scan_stream(spark, sf):
     store = _Store(spark)
-    writer = jobs.scan_stream(_versions(spark, sf), store, shared_folder(spark), inputs.RULES, taint=False)
+    writer = jobs.scan_stream(_versions(spark, sf), store, shared_folder(spark))
     return store.run(writer).select("repo", "path", "line", "code", "severity", "pattern")
 
 
@@ -200,13 +202,19 @@ def bucket_counters(spark, sf):
 _KEY = "repo, path, code, line, pattern"
 
 
-@query("str03_verify_stream", f"""WITH {inputs.NEW_FINDINGS_ALL}, {inputs.STATUS_SQL}, gone AS (SELECT {_KEY} FROM findings EXCEPT SELECT {_KEY} FROM new_findings)
-SELECT {_KEY} FROM gone g WHERE (g.line = 0 OR NOT EXISTS (SELECT 1 FROM new_findings n WHERE n.repo = g.repo AND n.path = g.path AND n.code = g.code AND n.pattern = g.pattern))
+_NEW_FLOWS = f"(WITH {corpus.CODE},{lines_sql()}, {TAINT} SELECT {_KEY} FROM taint_findings)".replace(corpus.CODE, "\n  files AS (SELECT * FROM new_files)")
+
+
+@query("str03_verify_stream", f"""WITH {inputs.NEW_FINDINGS_ALL}, {inputs.STATUS_SQL}, {TAINT},
+  old_all AS (SELECT {_KEY} FROM findings UNION SELECT {_KEY} FROM taint_findings), new_all AS (SELECT {_KEY} FROM new_findings UNION SELECT {_KEY} FROM {_NEW_FLOWS}),
+  gone AS (SELECT {_KEY} FROM old_all EXCEPT SELECT {_KEY} FROM new_all)
+SELECT {_KEY} FROM gone g WHERE (g.line = 0 OR NOT EXISTS (SELECT 1 FROM new_all n WHERE n.repo = g.repo AND n.path = g.path AND n.code = g.code AND n.pattern = g.pattern))
   AND NOT EXISTS (SELECT 1 FROM statuses s WHERE s.status IN ('verified', 'ignored') AND s.repo = g.repo AND s.path = g.path AND s.code = g.code AND s.line = g.line AND s.pattern = g.pattern)""")
 def verify_stream(spark, sf):
-    old, known = written(inputs.findings(spark, sf)), written(inputs.statuses(spark, sf))
+    """Resolved findings of rules and flows."""
+    old, known = written(scan(corpus.code(spark, sf))), written(inputs.statuses(spark, sf))
     store = _Store(spark)
-    writer = jobs.verify_stream(_versions(spark, sf, edited=True), lambda: old, lambda: known, store, shared_folder(spark), inputs.RULES, taint=False)
+    writer = jobs.verify_stream(_versions(spark, sf, edited=True), lambda: old, lambda: known, store, shared_folder(spark))
     return store.run(writer)
 
 

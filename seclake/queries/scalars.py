@@ -332,8 +332,8 @@ TAINT = f"""assigned AS ({ORACLES["tnt03_tainting_assignments"]}), ranges AS ({O
 _TAINT = f"{corpus.CODE},{lines_sql()}, {TAINT}"
 ORACLES["jn14_taint_as_of"] = f"WITH {_TAINT} SELECT repo, path, line, sink, name, source_line, label FROM tainted WHERE name IS NOT NULL"
 for _name, _files in (("code", corpus.CODE), ("documents", corpus.DOCUMENTS), ("pages", corpus.PAGES), ("conversations", corpus.CONVERSATIONS)):
-    ORACLES[f"scan_{_name}_all_rules"] = f"""WITH {oracle.findings(all_rules(), _files)}, {TAINT} SELECT repo, path, line, col, code, severity, category, pattern FROM findings
-UNION ALL SELECT repo, path, line, 0 AS col, code, severity, category, pattern FROM taint_findings"""
+    ORACLES[f"scan_{_name}_all_rules"] = f"""WITH {oracle.findings(all_rules(), corpus.CODE)}, {TAINT} SELECT repo, path, line, col, code, severity, category, pattern FROM findings
+UNION ALL SELECT repo, path, line, 0 AS col, code, severity, category, pattern FROM taint_findings""".replace(corpus.CODE, _files)
 ORACLES["set01_all_findings"] = f"""WITH {inputs.FINDINGS}, {TAINT} SELECT repo, path, line, code, severity, pattern FROM findings
 UNION ALL SELECT repo, path, line, code, severity, pattern FROM taint_findings"""
 
