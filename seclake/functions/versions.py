@@ -26,34 +26,31 @@ def update_type(current: Column, latest: Column) -> Column:
     )
 
 
-_PARTS = "array<decimal(38,0)>"
+def _number(digits: Column) -> Column:
+    """Digits so that text order is the order of the numbers: how many there are, then themselves, without leading zeros."""
+    plain = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.concat(F.lpad(F.length(plain).cast("string"), 4, "0"), plain)
 
 
 def version_key(version: Column) -> Column:
-    """A struct that orders versions: all numeric parts, then development and pre-releases before the release and
-    post-releases after it, each by its words and numbers. Build metadata after `+` does not count."""
+    """A text whose byte order is the order of versions, parsed once: all numeric parts, then development and pre-releases before
+    the release and post-releases after it, each by its words and numbers. Build metadata after `+` does not count. Null
+    if there is no number in front."""
     clean = F.lower(F.regexp_replace(F.regexp_replace(version, r"^[v=\s]+", ""), r"\+.*$", ""))
     core = F.regexp_extract(clean, r"^([0-9]+(?:\.[0-9]+)*)", 1)
     trimmed = F.regexp_replace(core, r"(?:\.0+)+$", "")  # 1.2 and 1.2.0 are equal
-    parts = F.transform(F.split(trimmed, r"\."), lambda p: F.coalesce(p.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))).cast(_PARTS)
+    parts = F.transform(F.split(trimmed, r"\."), _number)
     rest = F.substring(clean, F.length(core) + 1, F.length(clean))
     words = F.regexp_extract_all(rest, F.lit("[0-9]+|[a-z]+"), F.lit(0))
-    order = F.transform(
-        words,
-        # Numbers come before words, and by value.
-        lambda w: F.struct(
-            F.when(w.rlike("^[0-9]"), 0).otherwise(1).alias("kind"),
-            F.coalesce(w.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("number"),
-            F.when(w.rlike("^[0-9]"), "").otherwise(w).alias("word"),
-        ),
-    )
+    # Numbers come before words, and by value; what ends a word sorts before its letters.
+    order = F.transform(words, lambda w: F.when(w.rlike("^[0-9]"), F.concat(F.lit("0"), _number(w))).otherwise(F.concat(F.lit("1"), w, F.lit("!"))))
     first = F.get(words, F.lit(0))
     stage = (
-        F.when(F.size(words) == 0, 2).when(first.isin("post", "rev", "r", "sp", "patch"), 3).when(first == "dev", 0)
-        .when(first.isin("final", "ga", "release"), 2).otherwise(1)
+        F.when(F.size(words) == 0, "2").when(first.isin("post", "rev", "r", "sp", "patch"), "3").when(first == "dev", "0")
+        .when(first.isin("final", "ga", "release"), "2").otherwise("1")
     )
-    empty = F.array().cast("array<struct<kind:int,number:decimal(38,0),word:string>>")
-    return F.when(core != "", F.struct(parts.alias("parts"), stage.alias("stage"), F.when(stage == 2, empty).otherwise(order).alias("order")))
+    # Fewer parts sort first: what ends them sorts before any digit.
+    return F.when(core != "", F.concat(F.array_join(parts, ""), F.lit("!"), stage, F.when(stage == "2", "").otherwise(F.array_join(order, ""))))
 
 
 def in_range(version: Column, introduced: Column, fixed: Column, last_affected: Column | None = None) -> Column:

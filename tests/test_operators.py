@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.errors import PySparkException
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seclake.functions.versions import in_range, version_key
 from seclake.operators import export, fixes, lifecycle, scope, suppression
-from seclake.operators.dependencies import vulnerable_packages
+from seclake.operators.dependencies import versions_hit, vulnerable_packages
 from seclake.operators.learning import safe_helpers
 from seclake.operators.statistics import security_score
 from seclake.sources import changes, manifests, policies, reports
@@ -250,3 +251,37 @@ def test_language(spark):
     names = {"a/Dockerfile": "dockerfile", "x.TSX": "typescriptreact", "b.unknown": "unknown", ".bashrc": "", "noext": ""}
     df = spark.createDataFrame([(k,) for k in names], "p string")
     assert {r.p: r.l for r in df.select("p", language(F.col("p")).alias("l")).collect()} == names
+
+
+def test_versions_in_spans_equal_a_comparison_of_all(spark):
+    r = random.Random(4)
+    text = lambda: ".".join(str(r.choice([0, 1, 2, 3, 10])) for _ in range(r.randint(1, 3))) + r.choice(["", "", "", "-rc1", ".post2"])
+    used = sorted({(f"p{r.randrange(3)}", r.choice([text(), text(), text(), "main", "x1"])) for _ in range(120)})
+    spans = [(f"p{r.randrange(4)}", f"A{i}", r.choice([None, text()]), *r.choice([(None, None), (text(), None), (None, text())])) for i in range(80)]
+    lists = [(*r.choice(used), f"A{r.randrange(90)}") for _ in range(60)] + [("p0", "9.9", "A1")]
+    points = spark.createDataFrame(used, "known_as string, version string").select(F.lit("e").alias("ecosystem"), "known_as", "version", version_key(F.col("version")).alias("key"))
+    ends = spark.createDataFrame(spans, "known_as string, id string, low string, high string, last string")
+    ends = ends.select(F.lit("e").alias("ecosystem"), "known_as", "id", *[version_key(F.col(c)).alias(c) for c in ("low", "high", "last")])
+    listed = spark.createDataFrame(lists, "known_as string, version string, id string").withColumn("ecosystem", F.lit("e"))
+
+    def inside(v, s):
+        if v is None:
+            return s.low is None and s.high is None and s.last is None
+        return (s.low is None or s.low <= v) and (v < s.high if s.high is not None else s.last is None or v <= s.last)
+
+    want = {(p.known_as, p.version, s.id) for p in points.collect() for s in ends.collect() if s.known_as == p.known_as and inside(p.key, s)}
+    want |= {x for x in lists if x[:2] in used}
+    got = [(x.known_as, x.version, x.id) for x in versions_hit(points, ends, listed).collect()]
+    assert set(got) == want and len(got) == len(want) > 500
+
+
+def test_a_package_with_many_versions_and_advisories(spark):
+    """Ten thousand of each, of which each advisory hits three versions: the work is in proportion."""
+    n = 10_000
+    points = spark.range(n).select(F.lit("e").alias("ecosystem"), F.lit("p").alias("known_as"), F.concat(F.lit("1."), "id").alias("version")).withColumn("key", version_key(F.col("version")))
+    ends = spark.range(n - 3).select(F.lit("e").alias("ecosystem"), F.lit("p").alias("known_as"), F.concat(F.lit("A"), "id").alias("aid"), "id")
+    ends = ends.select("ecosystem", "known_as", F.col("aid").alias("id"), version_key(F.concat(F.lit("1."), F.col("id"))).alias("low"),
+                       version_key(F.concat(F.lit("1."), F.col("id") + 3)).alias("high"), F.lit(None).cast("string").alias("last"))
+    start = time.perf_counter()
+    assert versions_hit(points, ends).count() == 3 * (n - 3)
+    assert time.perf_counter() - start < 60
