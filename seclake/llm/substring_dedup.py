@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.workspace import written
-from .common import Codes, id_text, text_bytes
+from .common import Codes, id_text, text_bytes, text_parts
 from .fm_index import FmIndex
 
 LENGTH, RUN = 13, 3
@@ -347,9 +347,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_words: int = 2_0
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["shard", "blob"])
 
         state = _Stretches(shards, length, shared.value)
-        for batch in batches:
+        seen: set[tuple[int, int]] = set()  # of the rows of one task: those that repeat both say nothing new
+        for batch in (part for whole in batches for part in text_parts(whole, 2)):
             ids = np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], np.int64)
             copies, texts = batch.column(1).to_numpy(), text_bytes(batch.column(2))
+            fresh = [key not in seen and not seen.add(key) for key in zip(ids.tolist(), copies.tolist(), strict=True)]
+            ids, copies, texts = ids[fresh], copies[fresh], list(compress(texts, fresh))
             for part in _parts(texts):
                 state.add(ids[part], copies[part], texts[part[0] : part[-1] + 1])
                 if state.words >= task_words:
@@ -386,7 +389,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row a document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text (words joined by one space)."""
     texts = id_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
     found = written(repeated_spans(texts, length, **options))
-    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))
+    # Rows that repeat both identifier and text have the same spans, once for each task that read one.
+    spans = found.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))
     met = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left").select("doc_id", "text", "begin", "end")
 
     def kept(batches):

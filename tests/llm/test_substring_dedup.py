@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from seclake.llm import queries, substring_dedup
 from seclake.llm.fm_index import FmIndex, WaveletTree
 
@@ -77,3 +79,14 @@ def test_equals_brute_force(docs):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert got(queries.QUERIES["op4_substring_dedup"](spark, SF)) == brute(rows)
+
+
+def test_equal_rows_do_not_multiply(spark):
+    """Sixteen thousand rows without identifier and of one text, most of which repeats a smaller document's."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    one = spark.createDataFrame([(1, "a b " + passage)], "doc_id long, text string")
+    many = spark.range(16_000, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.lit(passage + " c d").alias("text"))
+    start = time.perf_counter()
+    rows = substring_dedup.without_repeats(one.unionByName(many), with_text=False).collect()
+    assert time.perf_counter() - start < 30
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in rows) == {(1, 42, 0): 1, (None, 42, 40): 16_000}
