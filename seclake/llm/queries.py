@@ -108,7 +108,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     store = token_counts.CountStore(spark, shared_folder(spark))
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     store.commit(1, token_counts.changes(token_counts.token_counts(docs, {"bpe": "word_bpe_49k.json", "words": "words"}), "insert"))
-    known = store.ledger().join(labels.select("doc_id", "quality", "toxic"), "doc_id")
+    known = store.ledger().join(labels.select(F.col("doc_id").cast("string").alias("doc_id"), "quality", "toxic"), "doc_id")
     store.commit(2, token_counts.changes(known.where("toxic = 1"), "delete"))
     low = known.where("quality = 0 AND toxic = 0 AND version = 'bpe'").withColumn("n_tokens", F.col("n_tokens") + 1)
     for _ in range(2):

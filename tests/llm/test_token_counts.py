@@ -2,34 +2,40 @@ import random
 from collections import defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from seclake.llm import queries, token_counts
 from seclake.llm.token_counts import CountStore
 from seclake.plans.workspace import shared_folder
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "op string, seq long, doc_id long, source string, lang string, version string, n_tokens long"
+SCHEMA = "op string, seq long, doc_id long, copy long, source string, lang string, version string, n_tokens long"
+CLASHING = "rows long, bucket string, batch string, live int"
 
 
 class Mirror:
-    """The same store as a dictionary."""
+    """The same store as a dictionary of documents and their rows."""
 
     def __init__(self):
         self.rows = {}
 
     def apply(self, rows):
-        for op, _, doc, source, lang, version, n in sorted(rows, key=lambda r: r[1]):
-            if doc is None:
-                continue
-            self.rows.pop((doc, version), None)
-            if op != "delete":
-                self.rows[doc, version] = (source, lang, n or 0)
+        last = {}
+        for op, seq, doc, copy, source, lang, version, n in rows:
+            key = (doc, copy, version)
+            if seq > last.get(key, (-1,))[0]:
+                last[key] = (seq, [])
+            if seq == last[key][0] and op != "delete":
+                last[key][1].append((source, lang, n or 0))
+        for key, (_, own) in last.items():
+            self.rows[key] = own
 
     def totals(self):
         out = defaultdict(lambda: [0, 0])
-        for (_, version), (source, lang, n) in self.rows.items():
-            out[source, lang, version][0] += 1
-            out[source, lang, version][1] += n
+        for (_, _, version), own in self.rows.items():
+            for source, lang, n in own:
+                out[source, lang, version][0] += 1
+                out[source, lang, version][1] += n
         return {k: tuple(v) for k, v in out.items()}
 
 
@@ -39,12 +45,13 @@ def totals(store):
 
 def test_batches_equal_a_dictionary(spark):
     dice = random.Random(8)
-    store, mirror = CountStore(spark, shared_folder(spark)), Mirror()
+    store, mirror = CountStore(spark, shared_folder(spark), buckets=5), Mirror()
     assert totals(store) == {}
     for batch in range(5):
-        rows = [(dice.choice(["insert", "insert", "revise", "delete"]), n, dice.choice([*range(12), None]), dice.choice(["a", "b", None]), dice.choice(["en", None]), dice.choice(["v1", "v2"]), dice.choice([3, 7, None]))
-                for n in range(dice.choice([0, 5, 20]) if batch else 30)]
-        frame = spark.createDataFrame(rows, SCHEMA)
+        rows = [(dice.choice(["insert", "insert", "revise", "delete"]), dice.randrange(3), dice.choice([*range(8), None]), dice.choice([1, 1, 2]), dice.choice(["a", "b", None]), dice.choice(["en", None]), dice.choice(["v1", "v2", None]), dice.choice([3, 7, None]))
+                for n in range(dice.choice([0, 5, 20]) if batch else 60)]
+        rows += rows[:5]
+        frame = spark.createDataFrame([(*r, 9, "x", "y", 0) for r in rows], f"{SCHEMA}, {CLASHING}")
         assert store.commit(batch, frame)
         mirror.apply(rows)
         assert totals(store) == mirror.totals()
@@ -57,14 +64,39 @@ def test_batches_equal_a_dictionary(spark):
 
 def test_half_written_batch_is_unseen_and_can_be_repeated(spark):
     store = CountStore(spark, shared_folder(spark))
-    one = spark.createDataFrame([("insert", 0, 1, "a", "en", "v", 5)], SCHEMA)
+    one = spark.createDataFrame([("insert", 0, 1, 7, "a", "en", "v", 5)], SCHEMA)
     store.commit(0, one)
-    two = spark.createDataFrame([("revise", 0, 1, "a", "en", "v", 9)], SCHEMA)
-    spark.createDataFrame([(1, "v", "zz", "zz", 99, True, 1)], token_counts._LEDGER).write.parquet(f"{store.folder}/ledger/batch-1")
+    two = spark.createDataFrame([("revise", 0, 1, 7, "a", "en", "v", 9)], SCHEMA)
+    spark.createDataFrame([("1", 7, "v", "zz", "zz", 99, 1, 1, 0)], token_counts._LEDGER).write.partitionBy("bucket").parquet(f"{store.folder}/ledger/part=batch-1")
     assert totals(store) == {("a", "en", "v"): (1, 5)}
     assert store.commit(1, two) and totals(store) == {("a", "en", "v"): (1, 9)}
 
 
+def test_every_row_counts(docs, spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "a b c"), (None, "d"), (None, "d"), (None, None), (2, "")]
+    store = CountStore(spark, shared_folder(spark))
+    counts = token_counts.token_counts(docs(*rows), {"words": "words"})
+    store.commit(0, token_counts.changes(counts, "insert"))
+    assert totals(store) == {(None, None, "words"): (7, 9)}
+    store.commit(1, token_counts.changes(store.ledger().where("doc_id IS NULL"), "delete"))
+    assert totals(store) == {(None, None, "words"): (4, 7)}
+    assert sorted((r.doc_id, r.rows, r.n_tokens) for r in store.ledger().collect()) == [("1", 1, 3), ("1", 2, 2), ("2", 1, 0)]
+
+
+def test_a_commit_reads_the_buckets_of_its_changes(spark):
+    store = CountStore(spark, shared_folder(spark))
+    many = spark.range(2000).select(F.lit("insert").alias("op"), F.lit(0).alias("seq"), F.col("id").alias("doc_id"), F.lit(0).alias("copy"), F.lit("s").alias("source"), F.lit("l").alias("lang"), F.lit("v").alias("version"), F.lit(1).alias("n_tokens"))
+    store.commit(0, many)
+    store.compact()
+    one = many.where("doc_id = 77")
+    bucket = store._entries(one, 1).first().bucket
+    held = store._read("ledger", token_counts._LEDGER, 0, [0]).where(F.col("bucket").isin([bucket]))
+    files = {r.f for r in held.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert files and all(f"bucket={bucket}/" in f for f in files) and held.count() < 200
+    assert store.commit(1, one.withColumn("n_tokens", F.lit(5))) and totals(store) == {("s", "l", "v"): (2000, 2004)}
+    assert totals(CountStore(spark, store.folder)) == {("s", "l", "v"): (2000, 2004)}
+
+
 def test_counts(docs):
     rows = [(1, None), (2, ""), (3, "Two words"), (3, "again"), (4, "it's " * 20_000), (None, "x")]
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
