@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.dialect import java_regex
 from ..rules.model import rx
+from .joining import meet
 from .matching import FILE, split_lines
 from .taint import function_ranges
 
@@ -61,31 +63,46 @@ def enclosing_functions(findings: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def _definitions(lines: Column, ranges: Column, at: Column) -> Column:
+    """array<struct(line, name, kind, i, text)>: what each line `at` names and where its function defines it; `i` counts from the head."""
+
+    def named(body: Column, facts: Column, place: Column, name: Column) -> Column:
+        quoted = F.replace(name, F.lit("$"), F.lit(r"\$"))
+        declares = F.concat(F.lit(r"(?:const|let|var)\s+"), quoted, F.lit(r"(?!\w)"))
+        sets = F.concat(declares, F.lit(r"|(?<!\w)"), quoted, F.lit(r"\s*="))
+        before = F.try_element_at(F.filter(facts, lambda b: (b["i"] < place) & F.rlike(b["text"], sets)), F.lit(-1))
+        after = F.get(F.filter(facts, lambda b: (b["i"] > place) & F.rlike(b["text"], declares)), F.lit(0))
+        told = lambda kind, i, text: F.struct(F.lit(kind).alias("kind"), i.alias("i"), text.alias("text"))
+        head = F.get(body, F.lit(0))
+        return (
+            F.when(F.array_contains(parameters(head), name), told("parameter", F.lit(0), head))
+            .when(before.isNotNull(), told("before", before["i"], before["text"])).when(after.isNotNull(), told("after", after["i"], after["text"]))
+        )
+
+    def inside(line: Column, start: Column, body: Column) -> Column:
+        # Lines that may define something, once for all names.
+        facts = F.filter(F.transform(body, lambda t, i: F.struct(i.alias("i"), t.alias("text"))), lambda b: F.rlike(b["text"], F.lit(r"=|(?:const|let|var)\s")))
+        row = lambda name, d: F.when(d.isNotNull(), F.struct(line.alias("line"), name.alias("name"), d["kind"].alias("kind"), (start + d["i"]).alias("definition_line"), d["text"].alias("text")))
+        found = lambda f: F.transform(identifiers(F.get(lines, line)), lambda name: let(named(body, f, line - start, name), lambda d: row(name, d)))
+        return F.filter(let(facts, found), lambda d: d.isNotNull())
+
+    def one(line: Column) -> Column:
+        around = F.transform(F.filter(ranges, lambda r: (r["start"] <= line) & (line <= r["stop"])), lambda r: F.struct(r["start"].alias("start"), (-r["stop"]).alias("stop")))
+        return let(F.array_max(around), lambda r: F.when(r.isNotNull(), let(F.slice(lines, r["start"] + 1, -r["stop"] - r["start"] + 1), lambda body: inside(line, r["start"], body))))
+
+    return F.flatten(F.filter(F.transform(at, one), lambda d: d.isNotNull()))
+
+
 def definitions(findings: DataFrame, files: DataFrame) -> DataFrame:
     """For each name on a finding's line: the parameter list, else the nearest earlier line that sets it,
-    else the first later line that declares it, all within the enclosing function."""
-    placed = enclosing_functions(findings.select(*FILE, "line", "code"), files).where(F.col("start").isNotNull())
-    lines = files.select("repo", "path", split_lines(F.col("content")).alias("lines"))
-    body = F.slice("lines", F.col("start") + 1, F.col("stop") - F.col("start") + 1)
-    held = placed.join(lines, ["repo", "path"]).select(*FILE, "line", "code", "start", body.alias("body"))
-    at = F.col("line") - F.col("start")
-    named = held.select(
-        *FILE, "line", "code", "start", "body", at.alias("at"), F.explode(identifiers(F.get("body", at))).alias("name")
-    )
-    quoted = F.replace("name", F.lit("$"), F.lit(r"\$"))
-    declares = F.concat(F.lit(r"(?:const|let|var)\s+"), quoted, F.lit(r"(?!\w)"))
-    sets = F.concat(declares, F.lit(r"|(?<!\w)"), quoted, F.lit(r"\s*="))
-    numbered = F.transform("body", lambda t, i: F.struct(i.alias("i"), t.alias("t")))
-    before = F.try_element_at(F.filter(numbered, lambda b: (b["i"] < F.col("at")) & F.rlike(b["t"], sets)), F.lit(-1))
-    after = F.get(F.filter(numbered, lambda b: (b["i"] > F.col("at")) & F.rlike(b["t"], declares)), F.lit(0))
-    head = F.get("body", F.lit(0))
-    is_parameter = F.array_contains(parameters(head), F.col("name"))
-    found = (
-        F.when(is_parameter, F.struct(F.lit("parameter").alias("kind"), F.lit(0).alias("i"), head.alias("t")))
-        .when(before.isNotNull(), F.struct(F.lit("before").alias("kind"), before["i"].alias("i"), before["t"].alias("t")))
-        .when(after.isNotNull(), F.struct(F.lit("after").alias("kind"), after["i"].alias("i"), after["t"].alias("t")))
-    )
-    return named.withColumn("d", found).where(F.col("d").isNotNull()).select(
-        *FILE, "line", "code", "name", F.col("d.kind").alias("kind"),
-        (F.col("start") + F.col("d.i")).alias("definition_line"), F.trim("d.t").alias("definition_text"),
-    )
+    else the first later line that declares it, all within the enclosing function.
+
+    The lines to look at go to the files, as long as they are few enough (see `joining.meet`); everything else happens inside the row of
+    a file, and only definitions leave it.
+    """
+    places = findings.groupBy("repo", "path").agg(F.array_sort(F.collect_set("line")).alias("at"))
+    held = meet(files.select(*FILE, "content"), places, ["repo", "path"]).withColumn("lines", split_lines(F.col("content")))
+    held = held.select(*FILE, "lines", "at", function_ranges(F.col("lines")).alias("ranges"))
+    found = held.select("repo", "path", F.explode(_definitions(F.col("lines"), F.col("ranges"), F.col("at"))).alias("d"))
+    told = found.select("repo", "path", "d.line", "d.name", "d.kind", "d.definition_line", F.trim("d.text").alias("definition_text"))
+    return findings.select(*FILE, "line", "code").join(told, ["repo", "path", "line"]).select(*FILE, "line", "code", "name", "kind", "definition_line", "definition_text")

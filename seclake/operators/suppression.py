@@ -1,7 +1,7 @@
 """Drop or lower findings: ignore lists, dismissals, baselines, learned helpers, paths, thresholds.
 
-Joins carry no hint: sizes of these tables depend on users, so the planner decides at run time
-whether a side is small enough to broadcast.
+Joins by file carry no hint: sizes of these tables depend on users, so the planner decides at run time whether a side is small
+enough to broadcast. Joins by rule, of which a few hold most findings, go through `joining.meet`.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import INTERNAL_PATHS, normal_path
 from ..rules.model import WARNING
+from .joining import meet
 
 KEY = ["repo", "path", "code", "line", "pattern"]
 
@@ -26,7 +27,8 @@ def without_ignored(findings: DataFrame, ignores: DataFrame, wildcard: bool = Fa
     exact = e.where(F.col("i_path") != "*") if wildcard else e
     kept = findings.join(exact, same & (normal_path(F.col("path")) == F.col("i_path")) & lines, "left_anti")
     if wildcard:
-        kept = kept.join(e.where(F.col("i_path") == "*"), same & lines, "left_anti")
+        anywhere = ignores.where(F.col("path") == "*").select("repo", "code", "line").distinct()
+        kept = meet(kept, anywhere, ["repo", "code"], "left_anti", lambda side: side("line").isNull() | (side("line") == F.col("line") + 1))
     return kept
 
 
@@ -83,7 +85,7 @@ def learned_suppression(findings: DataFrame, safe_patterns: DataFrame, respect_p
     rules = findings.select("repo", "code").distinct().select("repo", "code", F.explode(prefixes).alias("prefix"))
     lists = rules.join(helpers, ["repo", "prefix"]).groupBy("repo", "code").agg(F.array_distinct(F.flatten(F.collect_list("helpers"))).alias("helpers"))
     covered = F.coalesce(F.exists("near", lambda l: F.exists("helpers", lambda h: F.contains(l, h))), F.lit(False))
-    return findings.join(lists, ["repo", "code"], "left").where(~covered).select(*[c for c in findings.columns if c != "near"])
+    return meet(findings, lists, ["repo", "code"], "left").where(~covered).select(*[c for c in findings.columns if c != "near"])
 
 
 def at_least(findings: DataFrame, level: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import any_of
 from ..functions.literals import required
+from ..plans.workspace import written
 from ..rules.model import Rx, rx
 
 # What is scanned, what is skipped, and the language of each extension.
@@ -230,15 +231,16 @@ def file_snapshot(files: DataFrame, scanned_at: Column) -> DataFrame:
     )
 
 
-def file_changes(files: DataFrame, state: DataFrame) -> DataFrame:
+def file_changes(files: DataFrame, state: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
     """new, modified, unchanged or deleted, per path.
 
-    Sizes and times decide most files. Only contents of equal size and another time are hashed, each in the row
-    of its file; what is shuffled are listings.
+    Sizes and times decide most files, and come from the listing where `files` has them. Only contents of equal size and another
+    time are hashed, in the row of their file: the list of these paths goes to the files if it has at most `most_bytes`; beyond
+    that every file is hashed. What is shuffled are listings and hashes, no contents.
     """
     old = state.select("repo", "path", F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"), F.col("content_hash").alias("old_hash"))
-    now = files.select("repo", "path", F.octet_length("content").alias("size"), "mtime")
-    listed = now.join(old, ["repo", "path"], "full_outer")
+    size = F.col("size") if "size" in files.columns else F.octet_length("content")
+    now = files.select("repo", "path", size.alias("size"), "mtime")
     same_size = F.col("size") == F.col("old_size")
     status = (
         F.when(F.col("old_hash").isNull(), "new")
@@ -246,8 +248,13 @@ def file_changes(files: DataFrame, state: DataFrame) -> DataFrame:
         .when(same_size & (F.col("mtime") == F.col("old_mtime")), "unchanged")
         .when(~same_size, "modified")
     )
-    decided = listed.withColumn("status", status)
-    open_files = decided.where(F.col("status").isNull()).select("repo", "path", "old_hash")
-    read = files.select("repo", "path", "content").join(open_files, ["repo", "path"])
-    settled = read.select("repo", "path", F.when(content_hash(F.col("content")) == F.col("old_hash"), "unchanged").otherwise("modified").alias("status"))
+    decided = written(now.join(old, ["repo", "path"], "full_outer").select("repo", "path", status.alias("status"), "old_hash"))
+    unsettled = decided.where(F.col("status").isNull()).select("repo", "path", "old_hash")
+    listed = unsettled.agg(F.coalesce(F.sum(F.octet_length("repo") + F.octet_length("path") + 100), F.lit(0))).first()[0]
+    if listed <= most_bytes:
+        read = files.select("repo", "path", "content").join(F.broadcast(unsettled), ["repo", "path"])
+        hashed = read.select("repo", "path", "old_hash", content_hash(F.col("content")).alias("hash"))
+    else:
+        hashed = files.select("repo", "path", content_hash(F.col("content")).alias("hash")).join(unsettled, ["repo", "path"])
+    settled = hashed.select("repo", "path", F.when(F.col("hash") == F.col("old_hash"), "unchanged").otherwise("modified").alias("status"))
     return decided.where(F.col("status").isNotNull()).select("repo", "path", "status").unionByName(settled)

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from seclake.functions.versions import in_range, version_key
 from seclake.operators import export, fixes, lifecycle, scope, suppression
 from seclake.operators.dependencies import versions_hit, vulnerable_packages
+from seclake.operators.joining import meet
 from seclake.operators.learning import safe_helpers
 from seclake.operators.statistics import security_score
 from seclake.sources import changes, manifests, policies, reports
-from seclake.sources.files import language, read_files, spread
+from seclake.sources.files import content_hash, file_changes, language, read_files, spread
 
 FINDING = "repo string, path string, language string, line int, col int, code string, severity int, category string, message string, suggestion string, pattern string"
 
@@ -285,3 +286,35 @@ def test_a_package_with_many_versions_and_advisories(spark):
     start = time.perf_counter()
     assert versions_hit(points, ends).count() == 3 * (n - 3)
     assert time.perf_counter() - start < 60
+
+
+def test_side_tables_meet_large_ones(spark):
+    """The same rows whether the side table is small enough to go to all tasks or a frequent key is dealt out."""
+    large = spark.range(4000).select((F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 50)).alias("k"), F.col("id").alias("v"), F.lit(None).cast("string").alias("near"))
+    side = spark.createDataFrame([(0, 10), (0, None), (7, 3), (60, 1)], "k long, line long")
+    also = lambda s: s("line").isNull() | (s("line") * 100 < F.col("v"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        small, spread = (sorted(map(str, meet(large, side, ["k"], how, also, most_bytes=b).collect())) for b in (1 << 20, 0))
+        assert small == spread and small
+        assert len(small) == {"inner": 5_059, "left": 6_019, "left_semi": 3_040, "left_anti": 960}[how]
+    plan = meet(large, side, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    plan = meet(large, side, ["k"], most_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" in plan and "_salt" in plan
+
+
+def test_texts_stay_where_they_are(spark, files):
+    """Neither changes of files nor definitions shuffle a text."""
+    table = files(("a.js", "function f(a) {\n  const b = a;\n  use(b);\n}"), ("b.js", "x"))
+    f = findings(spark, ("a.js", 2, "X", 1, "p")).withColumn("language", F.lit("x"))
+    held = scope.definitions(f, table)
+    assert {(r.name, r.kind, r.definition_line) for r in held.collect()} == {("b", "before", 1)}
+    dated = table.withColumn("mtime", F.lit(2))
+    state = dated.select("repo", "path", F.octet_length("content").alias("size"), F.lit(1).alias("mtime"), F.when(F.col("path") == "a.js", content_hash(F.col("content"))).otherwise("old").alias("content_hash"))
+    for most in (1 << 20, 0):
+        changed = file_changes(dated, state, most)
+        assert {(r.path, r.status) for r in changed.collect()} == {("a.js", "unchanged"), ("b.js", "modified")}
+        for plan in (changed, held):
+            lines = plan._jdf.queryExecution().executedPlan().toString().split("\n")
+            moved = [lines[i + 1] for i, l in enumerate(lines) if "Exchange hashpartitioning" in l]
+            assert not [m for m in moved if re.search(r"\b(content|lines|body)#\d+", m.split("sha2")[0])]
