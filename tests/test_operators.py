@@ -305,10 +305,10 @@ def test_side_tables_meet_large_ones(spark):
 
 def test_texts_stay_where_they_are(spark, files):
     """Neither changes of files nor definitions shuffle a text."""
-    table = files(("a.js", "function f(a) {\n  const b = a;\n  use(b);\n}"), ("b.js", "x"))
+    table = files(("a.js", "function f(a) {\n  const bb = a;\n  log(bb);\n}"), ("b.js", "x"))
     f = findings(spark, ("a.js", 2, "X", 1, "p")).withColumn("language", F.lit("x"))
     held = scope.definitions(f, table)
-    assert {(r.name, r.kind, r.definition_line) for r in held.collect()} == {("b", "before", 1)}
+    assert {(r.name, r.kind, r.definition_line) for r in held.collect()} == {("bb", "before", 1)}
     dated = table.withColumn("mtime", F.lit(2))
     state = dated.select("repo", "path", F.octet_length("content").alias("size"), F.lit(1).alias("mtime"), F.when(F.col("path") == "a.js", content_hash(F.col("content"))).otherwise("old").alias("content_hash"))
     for most in (1 << 20, 0):
