@@ -10,9 +10,14 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..rules.model import Pattern, Rx
 
-_BLANKS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+BLANKS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: An edge between a word character and another one, ASCII only.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 _DOT = r"[^\n\r\u2028\u2029]"
 _SPECIAL = set("\\^$.|?*+()[]{}")
 
@@ -44,9 +49,9 @@ def _body(p: Rx) -> str:
         if c == "\\" and i + 1 < len(text):
             pair = text[i : i + 2]
             if pair == r"\s":
-                out.append(_BLANKS if in_class else f"[{_BLANKS}]")
+                out.append(BLANKS if in_class else f"[{BLANKS}]")
             elif pair == r"\S" and not in_class:
-                out.append(f"[^{_BLANKS}]")
+                out.append(f"[^{BLANKS}]")
             elif pair == r"\b" and not in_class:
                 out.append(_edge(text[i + 2 : i + 3]))
             else:
@@ -77,7 +82,12 @@ def _edge(after: str) -> str:
     """Java 17's word edge knows all letters, ECMAScript's only ASCII word characters."""
     if after.isalnum() and after.isascii():
         return r"(?<!\w)"
-    return r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+    return EDGE
+
+
+def trimmed(text: Column) -> Column:
+    """Without blanks at both ends, Unicode ones too."""
+    return F.regexp_replace(text, rf"\A[{BLANKS}]++|[{BLANKS}]++\z", "")
 
 
 def any_of(patterns: list[Pattern]) -> str | None:

@@ -113,14 +113,39 @@ def audit_severities(spark, sf):
     return levels.withColumn("severity", audit_severity(F.col("level")))
 
 
-@query("fn09_normal_lines")
+_KEPT = ", ".join(lit(k) for k in fixes.KEPT_WORDS)
+_ENDS = lit(r"^[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$")
+_STRINGS = lit("|".join(rf"{q}[^{q}\\]*(?:\\(?s:.)[^{q}\\]*)*{q}" for q in "'\"`"))
+_NUMBERS = lit(r"\b[0-9]+(?:\.[0-9]+)?\b")
+
+
+def _shape(text: str) -> str:
+    """The shape of a line: runs of word characters and dollar signs are cut into names, numbers and dollar signs, and names are numbered."""
+    plain = f"regexp_replace(regexp_replace(regexp_replace({text}, {_ENDS}, '', 'g'), {_STRINGS}, '$STRING', 'g'), {_NUMBERS}, '$NUM', 'g')"
+    runs = f"regexp_extract_all({plain}, '[\\w$]+|[^\\w$]+')"
+    pieces = f"flatten(list_transform({runs}, lambda r: CASE WHEN r IN ('$STRING', '$NUM') OR NOT regexp_matches(r, '^[\\w$]') THEN [r] ELSE regexp_extract_all(r, '[a-zA-Z_](?:[\\w$]*\\w)?|[0-9][\\w$]*|\\$+') END))"
+    names = "list_filter(x.pieces, lambda p, i: regexp_matches(p, '^[a-zA-Z_][a-zA-Z0-9_$]*$') AND p NOT IN (%s) AND list_position(x.pieces, p) = i)" % _KEPT
+    return (f"list_transform(list_transform([{{'pieces': {pieces}}}], lambda x: {{'pieces': x.pieces, 'names': {names}}}), "
+            "lambda y: array_to_string(list_transform(y.pieces, lambda p: CASE WHEN list_contains(y.names, p) THEN '$VAR' || list_position(y.names, p) ELSE p END), ''))[1]")
+
+
+@query("fn09_normal_lines", f"WITH {corpus.CODE},{lines_sql()} SELECT repo, path, line, {_shape('text')} AS shape FROM lines")
 def normal_lines(spark, sf):
-    """Lines of derived source files by shape; the tests check the shapes."""
+    """Lines of derived source files by shape."""
     rows = files.lines(corpus.code(spark, sf))
     return rows.select("repo", "path", "line", fixes.normal_line(F.col("text")).alias("shape"))
 
 
-@query("fn10_restored_lines")
+_RESTORED = f"""log AS (SELECT DISTINCT repo, code, before, after FROM ({duck(inputs.FIX_LOG)})), shaped AS (SELECT *, {_shape('after')} AS shape, regexp_replace(before, {_ENDS}, '', 'g') AS b FROM log),
+  cut AS (SELECT *, list_filter(regexp_extract_all(b, '\\b[a-zA-Z_$][a-zA-Z0-9_$]*\\b'), lambda n: n NOT IN ({_KEPT})) AS vars, regexp_extract_all(b, {_STRINGS}) AS strings, regexp_extract_all(b, {_NUMBERS}) AS nums,
+    regexp_extract_all(shape, '\\$(?:VAR[0-9]+|STRING|NUM)|[^$]+|\\$') AS pieces FROM shaped),
+  kinds AS (SELECT *, list_transform(pieces, lambda p: CASE WHEN p = '$STRING' THEN 's' WHEN p = '$NUM' THEN 'n' WHEN regexp_matches(p, '^\\$VAR[0-9]+$') THEN 'v' ELSE '' END) AS kinds FROM cut)
+SELECT repo, code, before, after, regexp_extract(before, '^\\s*') || array_to_string(list_transform(pieces, lambda p, i: CASE kinds[i]
+    WHEN 's' THEN coalesce(strings[len(list_filter(kinds[1:i], lambda k: k = 's'))], '""') WHEN 'n' THEN coalesce(nums[len(list_filter(kinds[1:i], lambda k: k = 'n'))], '0')
+    WHEN 'v' THEN coalesce(vars[len(list_filter(kinds[1:i], lambda k: k = 'v'))], '_unknown_') ELSE p END), '') AS restored FROM kinds"""
+
+
+@query("fn10_restored_lines", f"WITH {_RESTORED}")
 def restored_lines(spark, sf):
     log = sql_table(spark, sf, inputs.FIX_LOG)
     shapes = log.select("repo", "code", "before", "after", fixes.normal_line(F.col("after")).alias("shape")).distinct()
