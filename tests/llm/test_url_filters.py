@@ -10,59 +10,84 @@ from seclake.llm.url_filters import UrlRule
 RULES = [UrlRule("allow", "com", "/"), UrlRule("block", "example.com", "/en/"), UrlRule("block", "bad.net")]
 
 
-def brute(rows, rules, reject=0.6, weight=4.0, min_branches=16, thin=4.0, z=2.0, levels=8):
-    """The same decisions with dictionaries."""
-    parsed = []
+def parse(url):
+    m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+    return (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
+
+
+def fitting(host, path, rules):
+    fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(fits, key=lambda r: len(r.host + r.path), default=None)
+
+
+def brute(rows, rules, reject=0.6, weight=4.0, min_branches=16, thin=4.0, z=2.0):
+    """The same decisions with dictionaries, one node after another from the root of each host."""
+    parsed, count = [], defaultdict(lambda: [0, 0, 0])
     for i, url in rows:
-        m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
-        host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
-        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        rule = max(fits, key=lambda r: len(r.host + r.path), default=None)
+        host, path = parse(url)
+        rule = fitting(host, path, rules)
         shape = re.sub("[0-9]+", "#", re.sub(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", "#", path))
         parsed.append((i, host, path, rule, shape))
-    count = defaultdict(lambda: [0, 0, 0])
-    for _, host, _, rule, shape in parsed:
         c = count[host, shape]
         c[0] += 1
         c[1] += rule is not None and rule.verdict == "block"
         c[2] += rule is not None
     labelled = sum(c[2] for c in count.values())
-    prior = min(sum(c[1] for c in count.values()) / labelled if labelled else 0, reject / 2)
-    template = {}
-    rest = {}
-    for key in count:
-        parts = key[1].split("/", levels)
-        rest[key] = parts[1:] if key[1].startswith("/") else parts
-        template[key] = ""
-    for level in range(max(map(len, rest.values()), default=0)):
-        branch = defaultdict(lambda: [0, 0, 0])
-        live = [k for k in count if len(rest[k]) > level]
-        for k in live:
-            for j in range(3):
-                branch[k[0], template[k], rest[k][level]][j] += count[k][j]
-        node = defaultdict(lambda: [0, 0, 0, 0])
-        for (h, t, _), c in branch.items():
-            for j, v in enumerate([1, *c]):
-                node[h, t][j] += v
-        for k in live:
-            h, t, b = k[0], template[k], rest[k][level]
-            c, (width, n, blocked, lab) = branch[h, t, b], node[h, t]
-            if width >= min_branches and n < thin * width:
-                name = "*"
-            elif c[2] == 0:
-                name = "*?"
+    overall = sum(c[1] for c in count.values()) / labelled if labelled else 0.0
+    purity = {}
+
+    def close(group, prior):
+        share = (sum(count[k][1] for k in group) + weight * prior) / (sum(count[k][2] for k in group) + weight)
+        purity.update(dict.fromkeys(group, share))
+
+    def open_node(group, rest, prior, level):
+        n, blocked, lab = (sum(count[k][j] for k in group) for j in range(3))
+        if lab == 0 or lab == n or len(group) == 1:
+            close(group, prior)
+            return
+        above = (blocked + weight * prior) / (lab + weight)
+        ended = [k for k in group if len(rest[k]) <= level]
+        if ended:
+            close(ended, above)
+        branches = defaultdict(list)
+        for k in group:
+            if len(rest[k]) > level:
+                branches[rest[k][level]].append(k)
+        def kids(keys):
+            out = Counter()
+            for k in keys:
+                out[rest[k][level + 1] if len(rest[k]) > level + 1 else ""] += count[k][0]
+            return out
+        names, p = {}, blocked / lab
+        for b, keys in branches.items():
+            nb, bb, lb = (sum(count[k][j] for k in keys) for j in range(3))
+            if len(branches) >= min_branches and n < thin * len(branches):
+                names[b] = "*"
+            elif lb == 0:
+                names[b] = "*?"
             else:
-                p = blocked / lab
-                name = "*=" if abs(c[1] / c[2] - p) <= z * math.sqrt(p * (1 - p) / c[2]) + 1e-12 else b
-            template[k] = f"{t}/{name}"
-    purity = defaultdict(lambda: [0, 0])
-    for k, c in count.items():
-        purity[k[0], template[k]][0] += c[1]
-        purity[k[0], template[k]][1] += c[2]
+                names[b] = "*=" if abs(bb / lb - p) <= z * math.sqrt(p * (1 - p) / lb) + 1e-12 else b
+        pooled = kids([k for b, keys in branches.items() if names[b] == "*=" for k in keys])
+        for b in [b for b in branches if names[b] == "*?"]:
+            own = kids(branches[b])
+            if pooled:
+                r = math.sqrt(sum(pooled.values()) / sum(own.values()))
+                kinds = set(own) | set(pooled)
+                statistic = sum((own[c] * r - pooled[c] / r) ** 2 / (own[c] + pooled[c]) for c in kinds)
+                if statistic <= len(kinds) - 1 + z * math.sqrt(2 * (len(kinds) - 1)) + 1e-9:
+                    names[b] = "*="
+        merged = defaultdict(list)
+        for b, keys in branches.items():
+            merged[names[b]] += keys
+        for keys in merged.values():
+            open_node(keys, rest, above, level + 1)
+
+    rest = {k: k[1].split("/")[1:] if k[1].startswith("/") else k[1].split("/") for k in count}
+    for host in {h for h, _ in count}:
+        open_node([k for k in count if k[0] == host], rest, overall, 0)
     out = Counter()
     for i, host, path, rule, shape in parsed:
-        b, n = purity[host, template[host, shape]]
-        verdict = rule.verdict if rule else "block" if (b + weight * prior) / (n + weight) >= reject else "allow"
+        verdict = rule.verdict if rule else "block" if purity[host, shape] >= reject else "allow"
         out[(i, host, path, rule and rule.host + rule.path, verdict)] += 1
     return out
 
@@ -94,6 +119,32 @@ def test_empty_and_unruled(spark):
     assert judged(url_filters.judge_urls(table(spark, [None, "x://a/b"]), [])) == Counter({(0, "", "", None, "allow"): 1, (1, "a", "/b", None, "allow"): 1})
 
 
+def test_branches_are_judged_by_what_follows_them(spark):
+    """Unlabelled branches join the labelled ones where the same follows them; otherwise their surroundings decide."""
+    urls = [f"x://a.org/{b}/{n}" for b in ("spam", "junk", "new") for n in ("x", "y", "x", "y", "x", "z")] * 3
+    urls += [f"x://a.org/news/{n}" for n in ("p", "q", "r", "s")] * 6 + [f"x://a.org/good/{n}/w" for n in "pqr"] * 12
+    rules = [UrlRule("block", "a.org", "/spam"), UrlRule("block", "a.org", "/junk"), UrlRule("allow", "a.org", "/good"), UrlRule("allow", "b.org")]
+    want = brute(list(enumerate(urls)), rules)
+    assert judged(url_filters.judge_urls(table(spark, urls), rules)) == want
+
+
+def test_long_paths_are_followed_as_far_as_there_is_something_to_decide(spark):
+    urls = [f"x://a.org/{'s/' * 9}{n}" for n in "bcd" for _ in range(5)] + ["x://a.org/" + "u/" * 2000, "x://a.org/" + "v/" * 2000]
+    rules = [UrlRule("block", "a.org", "/" + "s/" * 9 + "b"), UrlRule("allow", "a.org", "/" + "s/" * 9 + "c")]
+    assert judged(url_filters.judge_urls(table(spark, urls), rules)) == brute(list(enumerate(urls)), rules)
+
+
+def test_verdicts_of_hidden_rules_are_found_again(spark):
+    """One of two like paths of each host has no rule; it gets the verdict of the other."""
+    dice = random.Random(3)
+    hosts = [f"h{i}.org" for i in range(20)]
+    urls = [f"x://{h}/{b}/{dice.choice(['', 'item'])}{dice.randrange(90)}{dice.choice(['', '.html'])}" for h in hosts for b in ("es", "fr", "fr2") for _ in range(8)]
+    rules = [UrlRule("block" if i % 2 else "allow", h, f"/{b}/") for i, h in enumerate(hosts) for b in ("es", "fr/")]
+    out = url_filters.judge_urls(table(spark, urls), [UrlRule(r.verdict, r.host, r.path.replace("//", "/")) for r in rules]).where("rule IS NULL").collect()
+    right = sum(r.verdict == ("block" if int(r.host[1:-4]) % 2 else "allow") for r in out)
+    assert len(out) == 160 and right >= 0.95 * len(out)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = duckdb.sql(f"SELECT page_id, url FROM '{sf}/pages.parquet'").fetchall()
