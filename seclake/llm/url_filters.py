@@ -10,8 +10,8 @@ judged by templates learned from all URLs, the rules' verdicts being the labels:
    siblings by its own evidence, what follows it: it joins them if a chi-square test of the two distributions of
    next segments does not tell them apart by more than `z`, and else the other unlabelled ones.
 3. A template (host and merged path) is rejected if its blocked share, smoothed by `weight` labels of its parent's share, is
-   at least `reject`. Shares are smoothed down the tree in this way, from the overall share at the root of a host, so that an unlabelled
-   template has what its surroundings say.
+   at least `reject`. Shares are smoothed down the tree in this way, so that an unlabelled template has what its surroundings say. At
+   the root of a host stands the overall share, at most half of `reject`: a host of which nothing is known is not rejected.
 
 A node whose URLs are all labelled, or all not, or of one shape, is closed: whatever the templates below it, its open
 URLs get the same verdict. So the tree is as deep as there is something to decide, however long the paths are.
@@ -141,7 +141,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], id_col: str = "page_i
     shapes = written(ruled.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("verdict") == BLOCK, 1).otherwise(0)).alias("blocked"), F.sum(known).alias("labelled")))
     overall = shapes.agg(F.sum("blocked"), F.sum("labelled")).first()
-    prior = (overall[0] or 0) / overall[1] if overall[1] else 0.0
+    prior = min((overall[0] or 0) / overall[1], reject / 2) if overall[1] else 0.0
     trees = written(templates(shapes, prior, weight, min_branches, thin, z))
     # All shapes of a template have the same share above them.
     purity = trees.groupBy("host", "template").agg(((F.sum("blocked") + weight * F.first("prior")) / (F.sum("labelled") + weight)).alias("purity"))

@@ -33,7 +33,7 @@ def brute(rows, rules, reject=0.6, weight=4.0, min_branches=16, thin=4.0, z=2.0)
         c[1] += rule is not None and rule.verdict == "block"
         c[2] += rule is not None
     labelled = sum(c[2] for c in count.values())
-    overall = sum(c[1] for c in count.values()) / labelled if labelled else 0.0
+    overall = min(sum(c[1] for c in count.values()) / labelled, reject / 2) if labelled else 0.0
     purity = {}
 
     def close(group, prior):
