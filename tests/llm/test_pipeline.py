@@ -53,3 +53,42 @@ def test_stages(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and "sequence_id" in got.columns
+
+
+CLASHING = "copy string, _id string, _copy string, root int, mark int, kept string, score string, predicted string, _row string, n string, item_id long, similarity string, shape string, names string, _hot string"
+
+
+def odd_table(spark, texts):
+    extra = [c.split()[1] for c in CLASHING.split(", ")]
+    values = [{"string": "x", "int": 3, "long": 4}[k] for k in extra]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
+    return spark.createDataFrame([(i, t, None, None, None, *values) for i, t in texts], schema)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, other columns of clashing names, and tables without rows."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    texts = [(1, None), (2, ""), (2, ""), (None, "alone " * 30), (None, "other " * 3), (None, "other " * 3), (3, "OTHER " * 3), (4, "w " * 60_000), (5, f"a {item} b"), (None, f"c {item} d"), (6, "x\x00y\n\n")]
+    table = odd_table(spark, texts)
+    stages = dict(corpus_pipeline.STAGES)
+    left = {}
+    for name in ("toxicity", "exact dedup", "SimHash near-dedup", "benchmark decontamination"):
+        for docs in (table, table.where("doc_id < 0")):
+            out = written(stages[name](spark, docs, SF))
+            assert out.columns == docs.columns
+            left[name, docs is table] = sorted(rows(out), key=str)
+        assert left[name, False] == []
+        assert set(left[name, True]) <= set(texts)
+    assert left["exact dedup", True] == sorted([(2, ""), (None, "alone " * 30), (3, "OTHER " * 3), (4, "w " * 60_000), (5, f"a {item} b"), (None, f"c {item} d"), (6, "x\x00y\n\n")], key=str)
+    assert left["benchmark decontamination", True] == sorted([t for t in texts if item not in (t[1] or "")], key=str)
+    marks = {c if c is not None else m for _, m, c in test_simhash_dedup.brute(texts)}  # no identifier names a component of rows without one
+    assert len(left["SimHash near-dedup", True]) == len(marks)
+    packed = stages["best-fit packing"](spark, table, SF)
+    test_packing.check(packed.collect(), texts)
+    assert stages["best-fit packing"](spark, table.where("doc_id < 0"), SF).collect() == []
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
