@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from ..operators.matching import scan_rules
 from ..plans.scan import scan
+from ..plans.sql import findings_view
+from ..plans.workspace import shared_folder
 from ..rules import Rule, all_rules, family
+from ..rules.tables import SCHEMA, rule_rows, rules_of
 from . import corpus, oracle
-from .registry import query
+from .registry import ORACLES, query
 
 _NAMES = [
     "auth", "jwt", "oauth", "ldap", "xss", "deserialization", "ssti", "xxe", "csrf", "cors", "headers",
@@ -69,3 +72,19 @@ def scan_pages_all(spark, sf):
 @query("scan_conversations_all_rules")
 def scan_conversations_all(spark, sf):
     return scan(corpus.conversations(spark, sf)).select(*COLUMNS)
+
+
+@query("rul01_rules_as_rows", ORACLES["scan_documents"].replace(corpus.DOCUMENTS, corpus.CODE))
+def rules_as_rows(spark, sf):
+    """The catalogue written as a table of rules, read again, and run."""
+    folder = shared_folder(spark)
+    rule_rows(spark, all_rules()).write.parquet(folder)
+    return scan_rules(corpus.code(spark, sf), rules_of(spark.read.schema(SCHEMA).parquet(folder))).select(*COLUMNS)
+
+
+@query("sql01_findings_view")
+def view_of_findings(spark, sf):
+    """Findings by rule of some files, asked in SQL."""
+    corpus.code(spark, sf).createOrReplaceTempView("seclake_files")
+    findings_view(spark, "seclake_files", "seclake_findings")
+    return spark.sql("SELECT repo, code, severity, count(*) AS found FROM seclake_findings WHERE language = 'javascript' AND path LIKE 'src/%' GROUP BY repo, code, severity")

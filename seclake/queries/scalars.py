@@ -359,6 +359,8 @@ ORACLES["jn14_taint_as_of"] = f"WITH {_TAINT} SELECT repo, path, line, sink, nam
 for _name, _files in (("code", corpus.CODE), ("documents", corpus.DOCUMENTS), ("pages", corpus.PAGES), ("conversations", corpus.CONVERSATIONS)):
     ORACLES[f"scan_{_name}_all_rules"] = f"""WITH {oracle.findings(all_rules(), corpus.CODE)}, {TAINT} SELECT repo, path, line, col, code, severity, category, pattern FROM findings
 UNION ALL SELECT repo, path, line, 0 AS col, code, severity, category, pattern FROM taint_findings""".replace(corpus.CODE, _files)
+ORACLES["sql01_findings_view"] = f"""WITH {oracle.findings(all_rules(), corpus.CODE)}, {TAINT}, every AS (SELECT repo, path, code, severity FROM findings UNION ALL SELECT repo, path, code, severity FROM taint_findings)
+SELECT e.repo, e.code, e.severity, count(*) AS found FROM every e JOIN files f ON f.repo = e.repo AND f.path = e.path WHERE f.language = 'javascript' AND e.path LIKE 'src/%' GROUP BY ALL"""
 ORACLES["set01_all_findings"] = f"""WITH {inputs.FINDINGS}, {TAINT} SELECT repo, path, line, code, severity, pattern FROM findings
 UNION ALL SELECT repo, path, line, code, severity, pattern FROM taint_findings"""
 

@@ -104,3 +104,26 @@ def test_hostile_lines_stay_fast(spark):
     for i in range(0, len(patterns), 100):
         rows.select(*[F.col("t").rlike(p).alias(f"p{n}") for n, p in enumerate(patterns[i : i + 100])]).write.format("noop").mode("overwrite").save()
     assert time.time() - start < 120
+
+
+def test_rules_survive_as_rows(spark):
+    from seclake.rules.tables import rule_from, rule_rows, rules_of
+
+    assert rules_of(rule_rows(spark, all_rules()).repartition(3)) == all_rules()
+    own = rule_from({"code": "OWN1", "category": "api-security", "patterns": ["todo", {"pattern": r"fix\s+me", "flags": "i"}], "message": None})
+    assert (own.severity, own.kind, own.message) == (1, "code-detectable", "OWN1") and len(own.match) == 2
+    for bad in ({"patterns": []}, {"patterns": ["x"], "severity": 7}, {"patterns": [{"kind": "glob", "pattern": "x"}]}, {"patterns": [{"pattern": "x", "flags": "g"}]}):
+        with pytest.raises(ValueError):
+            rule_from({"code": "B", "category": "c"} | bad)
+
+
+def test_findings_view(spark, files):
+    from seclake.plans.sql import findings_view
+    from seclake.rules.tables import rule_from, rule_rows
+
+    files(("src/a.js", "// fix  me\nexec(req.body.x)"), ("src/b.py", "todo")).createOrReplaceTempView("my_files")
+    rule_rows(spark, [rule_from({"code": "OWN1", "category": "api-security", "patterns": ["todo", {"pattern": r"fix\s+me"}]})]).createOrReplaceTempView("my_rules")
+    findings_view(spark, "my_files", "my_findings", "my_rules")
+    assert sorted(map(tuple, spark.sql("SELECT path, line, code FROM my_findings").collect())) == [("src/a.js", 0, "OWN1"), ("src/b.py", 0, "OWN1")]
+    findings_view(spark, "my_files")
+    assert spark.sql("SELECT count(*) FROM findings WHERE path LIKE '%.py'").first()[0] == 0
