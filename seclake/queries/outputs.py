@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators import export, history, suppression
+from ..operators import documents, export, history, suppression
 from ..operators.matching import project_advisories
 from ..plans.scan import scan
 from ..plans.workspace import shared_folder, written
@@ -77,6 +77,35 @@ def sarif_export(spark, sf):
                     place["region"]["startColumn"].alias("start_column"))
 
 
+@query("snk03_sarif_workspace", f"""WITH {inputs.FINDINGS}, r AS (SELECT repo, code, row_number() OVER (PARTITION BY repo ORDER BY min((path, line, code))) - 1 AS ix FROM findings GROUP BY repo, code)
+SELECT f.repo, f.path AS uri, f.code AS rule_id, ix AS rule_index, line + 1 AS start_line, col + 1 AS start_column, (SELECT count(*) FROM r c WHERE c.repo = f.repo) AS rules, count(*) OVER (PARTITION BY f.repo) AS results
+FROM findings f JOIN r ON r.repo = f.repo AND r.code = f.code""")
+def sarif_workspace(spark, sf):
+    """One log for each repository, written as lines and read again: its results, and what its frame says."""
+    folder = shared_folder(spark)
+    documents.write_framed(documents.sarif_lines(inputs.stored_findings(spark, sf)), folder)
+    lines = written(spark.read.schema("value string, repo string").text(folder))
+    entry = F.from_json(F.regexp_replace("value", "^,", ""), _RESULT)
+    results = lines.where(F.col("value").rlike('^,?[{]"ruleId"')).select("repo", entry.alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    head = F.from_json(F.concat("value", F.lit("]}]}")), "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>>>")
+    heads = lines.where(F.col("value").startswith('{"$schema"')).select("repo", F.size(head["runs"][0]["tool"]["driver"]["rules"]).alias("rules"))
+    commas = lines.groupBy("repo").agg(F.count(F.when(F.col("value").startswith(","), 1)).alias("commas"))
+    told = results.select("repo", place["artifactLocation"]["uri"].alias("uri"), F.col("r.ruleId").alias("rule_id"), F.col("r.ruleIndex").alias("rule_index"),
+                          place["region"]["startLine"].alias("start_line"), place["region"]["startColumn"].alias("start_column"))
+    return told.join(heads, "repo").join(commas, "repo").select(*told.columns, "rules", (F.col("commas") + 1).alias("results"))
+
+
+@query("snk05_baseline_workspace", f"WITH {inputs.FINDINGS} SELECT repo, path, code, count(*) AS n FROM findings GROUP BY ALL")
+def baseline_workspace(spark, sf):
+    """One baseline for each repository, written as lines; each line is parsed in the frame of a document of its own."""
+    folder = shared_folder(spark)
+    documents.write_framed(documents.baseline_lines(suppression.build_baseline(inputs.findings(spark, sf))), folder)
+    lines = spark.read.schema("value string, repo string").text(folder).where(F.col("value").rlike('^,?"'))
+    whole = F.concat(F.lit('{"version":1,"counts":{'), F.regexp_replace("value", "^,", ""), F.lit("}}"))
+    return policies.baseline_entries(lines.select("repo", whole.alias("content")))
+
+
 @query("snk04_text", f"""WITH {inputs.FINDINGS} SELECT repo, path, '--- ' || path || ' (' || count(*) || ' issue(s)) ---' || chr(10)
   || string_agg('  [' || {_SEV} || '] ' || code || ' (Line ' || (line + 1) || '): ' || message || chr(10) || '    Suggestion: ' || suggestion, chr(10) ORDER BY line, code, col) AS report FROM findings GROUP BY repo, path""")
 def text_export(spark, sf):

@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from seclake.functions.versions import in_range, version_key
-from seclake.operators import export, fixes, lifecycle, scope, suppression
+from seclake.operators import documents, export, fixes, lifecycle, scope, suppression
 from seclake.operators.dependencies import versions_hit, vulnerable_packages
 from seclake.operators.joining import meet
 from seclake.operators.learning import safe_helpers
@@ -248,6 +248,27 @@ def test_sarif_is_complete(spark):
     assert [(r["ruleIndex"], r["level"]) for r in run["results"]] == [(0, "error"), (1, "note"), (0, "warning")]
 
 
+def test_a_workspace_is_one_document(spark, tmp_path):
+    """Files of a repository, one after another by name, parse, however many tasks wrote them."""
+    rows = [(f"src/{i % 7}.js", i, f"X{i % 5}", 2, "p\"q") for i in range(200)] + [("src/1.js", 1, "X1", 2, "p\"q")] * 2
+    f = findings(spark, *rows).withColumn("repo", F.when(F.col("line") % 9 == 0, "small").otherwise("large"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name, lines in (("sarif", documents.sarif_lines(f)), ("baseline", documents.baseline_lines(suppression.build_baseline(f))), ("issues", documents.issue_lines(f, mask=False))):
+            documents.write_framed(lines, str(tmp_path / name))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    whole = lambda name, repo: json.loads("".join(p.read_text() for p in sorted((tmp_path / name / f"repo={repo}").glob("part-*"))))
+    assert len(list((tmp_path / "sarif" / "repo=large").glob("part-*"))) > 1
+    for repo in ("small", "large"):
+        own = [r for r in f.collect() if r.repo == repo]
+        run = whole("sarif", repo)["runs"][0]
+        assert len(run["results"]) == len(own) and {r["ruleId"] for r in run["results"]} == {r.code for r in own}
+        assert all(run["tool"]["driver"]["rules"][r["ruleIndex"]]["id"] == r["ruleId"] for r in run["results"])
+        assert sum(n for codes in whole("baseline", repo)["counts"].values() for n in codes.values()) == len(own)
+        assert sorted(i["pattern"] for i in whole("issues", repo)["issues"]) == sorted(r.pattern for r in own)
+
+
 def test_language(spark):
     names = {"a/Dockerfile": "dockerfile", "x.TSX": "typescriptreact", "b.unknown": "unknown", ".bashrc": "", "noext": ""}
     df = spark.createDataFrame([(k,) for k in names], "p string")
