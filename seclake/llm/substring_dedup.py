@@ -390,7 +390,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = id_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
     found = written(repeated_spans(texts, length, **options))
     # Rows that repeat both identifier and text have the same spans, once for each task that read one.
-    spans = found.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))
+    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.collect_set(F.struct("begin", "end")).alias("span"))
+    spans = spans.select("_id", "_copy", F.col("span.begin").alias("begin"), F.col("span.end").alias("end"))
     met = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left").select("doc_id", "text", "begin", "end")
 
     def kept(batches):
