@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dependencies, fixes, history, insights, learning, lifecycle, statistics, suppression, tasks
+from ..operators.learning_store import LearningStore, bucket_stats_of, language_stats_of, merged
+from ..plans.workspace import shared_folder
 from ..sources.files import EDITOR_LANGUAGES
 from . import corpus, inputs
 from .corpus import duck, lit, sql_table
@@ -106,6 +108,26 @@ _LANGS = f"langs AS (SELECT code, language, {_N('detected')} AS lang_detections,
 _BUCKETS = f"buckets AS (SELECT code, {_BUCKET} AS bucket, {_N('detected')} AS bucket_detections, {_N('false_positive')} AS bucket_fps FROM actions GROUP BY ALL)"
 
 
+def _kept_sums(spark, sf):
+    """The log in batches out of order: odd days, some of them wrong, then even days, a correction of the wrong ones, a repeated batch."""
+    store, log = LearningStore(spark, shared_folder(spark)), actions(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    odd = F.dayofmonth("ts") % 2 == 1
+    wrong = F.when(F.dayofmonth("ts") == 3, "ignored").otherwise(F.col("action"))
+    store.add(1, log.where(odd).withColumn("action", wrong))
+    store.add(2, log.where(~odd))
+    store.compact()
+    store.add(3, log.where(F.dayofmonth("ts") == 3), corrects=True)
+    store.add(3, log)
+    return store.sums()
+
+
+@query("agg08_rule_stats_by_batches", ORACLES["agg08_rule_stats"])
+def rule_stats_by_batches(spark, sf):
+    s = merged(_kept_sums(spark, sf), ["code"])
+    return s.select("code", "detections", "fps", "fixed", "ignored", "verified", "fix_failed", "resolution_ms", "resolutions",
+                    stamp("first_seen_at").alias("first_seen"), stamp("last_fired_at").alias("last_fired"))
+
+
 @query("agg09_language_stats", f"WITH {ACTIONS}, {_LANGS} SELECT * FROM langs")
 def language_stats(spark, sf):
     return learning.language_stats(actions(spark, sf))
@@ -116,6 +138,16 @@ def bucket_stats(spark, sf):
     return learning.bucket_stats(actions(spark, sf))
 
 
+@query("agg09_language_stats_by_batches", ORACLES["agg09_language_stats"])
+def language_stats_by_batches(spark, sf):
+    return language_stats_of(_kept_sums(spark, sf))
+
+
+@query("agg09_bucket_stats_by_batches", ORACLES["agg09_bucket_stats"])
+def bucket_stats_by_batches(spark, sf):
+    return bucket_stats_of(_kept_sums(spark, sf))
+
+
 @query("agg10_rule_rates", f"WITH {ACTIONS}, {STATS} SELECT code, {_R(_FP)} AS fp_rate, {_R(_EFF)} AS effectiveness, {_R(_FIX)} AS fix_success, {_R(_RATE('resolution_ms', 'resolutions'))} AS mean_resolution_ms FROM stats")
 def rule_rates(spark, sf):
     rates = learning.rule_rates(learning.rule_stats(actions(spark, sf)))

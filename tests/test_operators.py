@@ -13,8 +13,10 @@ from seclake.functions.versions import in_range, version_key
 from seclake.operators import documents, export, fixes, lifecycle, scope, suppression
 from seclake.operators.dependencies import versions_hit, vulnerable_packages
 from seclake.operators.joining import meet
-from seclake.operators.learning import safe_helpers
+from seclake.operators.learning import bucket_stats, language_stats, rule_stats, safe_helpers
+from seclake.operators.learning_store import LearningStore, bucket_stats_of, language_stats_of, merged
 from seclake.operators.statistics import security_score
+from seclake.plans.workspace import shared_folder
 from seclake.sources import changes, manifests, policies, reports
 from seclake.sources.files import content_hash, file_changes, language, read_files, spread
 
@@ -233,6 +235,32 @@ def test_helpers_learn(spark):
     assert got == {("cleanUp", ("X1",), 1, 0.5, "user_fp"), ("escape", ("X2",), 2, 0.8, "ai_fix")}
 
 
+def test_learning_by_batches_equals_the_whole_log(spark):
+    """Batches in any order, some late, some sent twice, one a correction, with and without merging in between."""
+    r = random.Random(6)
+    actions = ["detected", "fixed", "ignored", "false_positive", "verified", "fix_failed"]
+    row = lambda day: (f"X{r.randrange(3)}", r.choice(actions), r.choice(["js", None]), r.choice(["/src/a", "/test/b"]), f"2024-01-{day:02d} {r.randrange(24):02d}:00:00", r.choice([None, "2024-01-01 00:00:00"]))
+    schema = "code string, action string, language string, path string, ts string, detected_at string"
+    frame = lambda rows: spark.createDataFrame(rows, schema).withColumns({c: F.col(c).cast("timestamp") for c in ("ts", "detected_at")})
+    store, days = LearningStore(spark, shared_folder(spark)), {d: [] for d in range(1, 6)}
+    assert store.sums().count() == 0
+    for batch in range(6):
+        corrects = batch == 4
+        rows = [row(r.choice([2, 5] if corrects else list(days))) for _ in range(15 if batch != 3 else 0)]
+        assert store.add(batch, frame(rows), corrects) and not store.add(batch, frame(rows * 2))
+        for d in {int(x[4][8:10]) for x in rows} if corrects else ():
+            days[d] = []
+        for x in rows:
+            days[int(x[4][8:10])].append(x)
+        if batch in (2, 5):
+            store.compact()
+        want = frame([x for own in days.values() for x in own])
+        rowset = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+        assert rowset(merged(store.sums(), ["code"])) == rowset(rule_stats(want))
+        assert rowset(language_stats_of(store.sums())) == rowset(language_stats(want))
+        assert rowset(bucket_stats_of(store.sums())) == rowset(bucket_stats(want))
+
+
 def test_definitions(spark, files):
     text = "function f(aa, b) {\n  const cc = aa;\n  let q = 1;\n  use(aa, cc, dd, ee);\n  var dd = 2;\n  cc = 3;\n}"
     f = findings(spark, ("a.js", 3, "X", 1, "p")).withColumn("language", F.lit("x"))
