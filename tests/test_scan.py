@@ -246,6 +246,15 @@ def test_plan_moves_hits_not_text(files):
     assert "Exchange hashpartitioning" not in taint
 
 
+def test_a_whole_scan_reads_and_sends_texts_once(spark, files, tmp_path):
+    """Rules and flow analysis share one file scan and one Arrow stage."""
+    files(("a.js", "function f(req) {\n  exec(req.body.x);\n}"), ("b.js", "x")).write.parquet(str(tmp_path / "files"))
+    found = scan(spark.read.parquet(str(tmp_path / "files")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1
+    assert "TAINT001" in {r.code for r in found.collect()}
+
+
 def test_very_long_lines(spark, files):
     """No expression recurses with the length of a line."""
     from seclake.operators.fixes import normal_line
