@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .paths import SOURCE_PATHS, TEST_PATHS
 
 MIN_ACTIONS = 5
@@ -64,10 +67,14 @@ def adaptive_confidence(level: Column, path: Column, stats: dict[str, Column]) -
     actions = fps + fixed + verified + stats["ignored"]
     actionable = fps + fixed + verified
     fp_rate = F.when(actionable > 0, fps / actionable).otherwise(0.0)
-    step1 = F.when(fp_rate >= HIGH_FP, lowered(level)).otherwise(level)
-    step2 = F.when((fixed + verified) / actions >= HIGH_FIX, raised(step1)).otherwise(step1)
-    step3 = F.when(path.rlike(TEST_PATHS), lowered(step2)).otherwise(step2)
     lang = stats["lang_fixed"] + stats["lang_fps"]
     trusted = path.rlike(SOURCE_PATHS) & (lang >= 3) & (stats["lang_fixed"] / lang >= HIGH_FIX)
-    step4 = F.when(F.coalesce(trusted, F.lit(False)), raised(step3)).otherwise(step3)
-    return F.when(F.coalesce(actions, F.lit(0)) >= MIN_ACTIONS, step4).otherwise(level)
+    steps = [
+        lambda l: F.when(fp_rate >= HIGH_FP, lowered(l)).otherwise(l),
+        lambda l: F.when((fixed + verified) / actions >= HIGH_FIX, raised(l)).otherwise(l),
+        lambda l: F.when(path.rlike(TEST_PATHS), lowered(l)).otherwise(l),
+        lambda l: F.when(F.coalesce(trusted, F.lit(False)), raised(l)).otherwise(l),
+    ]
+    # Each step names the level several times; bound to a name it is one value, not a copy of all steps before.
+    shifted = reduce(let, steps, level)
+    return F.when(F.coalesce(actions, F.lit(0)) >= MIN_ACTIONS, shifted).otherwise(level)

@@ -16,10 +16,10 @@ from ..sources import files, policies
 from . import corpus, inputs, oracle
 from .corpus import duck, lines_sql, lit, sql_table
 from .counts import _BUCKET, _LANGS, ACTIONS, STATS, actions
-from .filters import _LABEL, _SEV
-from .joins import advisories_of, learned_helpers
+from .filters import _INTERNAL, _LABEL, _SEV
+from .joins import _DISMISSED, _SAFE, advisories_of, learned_helpers
 from .registry import ORACLES, query
-from .sources import update_type_sql
+from .sources import IGNORES, update_type_sql
 
 _PLACES = f"places AS ({duck(inputs.PLACES)})"
 
@@ -223,7 +223,18 @@ def editor(spark, sf):
     return editor_scan(corpus.code(spark, sf)).select("repo", "path", "line", "code", "severity", "confidence")
 
 
-@query("fn04_editor_scan_all_rules")
+_EDITED = oracle.findings(all_rules(), f"new_files AS ({duck(inputs.EDITED, 'files')})", "new_", markup=True)
+_NEW_CONFIDENCE = _CONFIDENCE.replace("FROM findings f", "FROM new_findings f").replace("FROM lines n", "FROM new_lines n")
+_STEPS = _ADAPTED[_ADAPTED.index(ACTIONS) : _ADAPTED.rindex("\nSELECT")]
+_WHOLE_EDITOR = f"""WITH {inputs.FINDINGS}, {_EDITED}, {_NEW_CONFIDENCE}, {_STEPS}, {_DISMISSED}, {IGNORES}, safe AS ({duck(_SAFE)}),
+  shown AS (SELECT f.*, CASE WHEN coalesce(acted, 0) >= 5 THEN c4 ELSE s.confidence END AS confidence FROM new_findings f JOIN s4 s ON s.repo = f.repo AND s.path = f.path AND s.line = f.line AND s.code = f.code)
+SELECT repo, path, line, code, CASE WHEN severity = 1 AND {_INTERNAL} THEN 0 ELSE severity END AS severity, confidence FROM shown f WHERE severity <> 0
+  AND NOT EXISTS (SELECT 1 FROM safe s JOIN new_lines n ON n.repo = s.repo WHERE s.observed >= 2 AND s.repo = f.repo AND starts_with(f.code, s.prefix) AND n.path = f.path AND n.line BETWEEN f.line - 3 AND f.line + 3 AND contains(n.text, s.helper))
+  AND NOT EXISTS (SELECT 1 FROM ignores i WHERE i.repo = f.repo AND i.code = f.code AND i.path = f.path AND (i.line IS NULL OR i.line = f.line + 1))
+  AND NOT EXISTS (SELECT 1 FROM dismissals d JOIN new_files n ON n.repo = d.repo AND n.path = d.path AND n.content = d.old WHERE d.repo = f.repo AND d.path = f.path AND d.code = f.code AND d.line = f.line AND d.pattern = f.pattern)"""
+
+
+@query("fn04_editor_scan_all_rules", _WHOLE_EDITOR)
 def editor_all(spark, sf):
     """The editor's scan of the edited files with every rule, all learned state and both severity toggles.
 
