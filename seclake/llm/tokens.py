@@ -67,7 +67,7 @@ class Encoder:
     probed once; where they do not hold, texts are encoded whole. What the two caches hold is bounded in bytes.
     """
 
-    def __init__(self, name: str, cache_bytes: int = 32 << 20) -> None:
+    def __init__(self, name: str, cache_bytes: int = 48 << 20) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
