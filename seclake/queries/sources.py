@@ -93,9 +93,10 @@ def skipped_documents(spark, sf):
 def read_back(spark, sf):
     """Documents stored as a file each, then listed, chosen and read again."""
     folder = shared_folder(spark)
-    corpus.table(spark, sf, "documents").select("text", F.col("doc_id").alias("doc")).write.partitionBy("doc").text(folder)
+    name, text = F.concat(F.lit("doc="), F.col("doc_id").cast("string"), F.lit(".txt")), F.coalesce("text", F.lit(""))
+    files.write_files(corpus.table(spark, sf, "documents").select(name.alias("name"), F.concat(text, F.lit("\n")).alias("content")), folder)
     found = files.read_files(spark, folder, "docs", includes=["part-"])
-    doc_id = F.regexp_extract("path", "doc=([0-9]+)/", 1).cast("long")
+    doc_id = F.regexp_extract("path", "doc=([0-9]+)[.]txt$", 1).cast("long")
     return found.select("repo", doc_id.alias("doc_id"), "language", F.sha2("content", 256).alias("content_sha256"), "size")
 
 
