@@ -2,12 +2,14 @@
 
 Words (lower case, without marks at their ends) and their first four and five letters are hashed to rows of an embedding
 table, and a word's vector is the sum of its rows; filters of one, two and three words slide over a whole text, the largest response of each filter is kept, and a logistic unit
-weighs them. All of it is numpy. The classifier is fitted on a bounded sample: at most `fit_rows` different texts of each label
-and `fit_bytes` bytes of text, in one task. A fifth of the sample is held back to choose, for each language, the response
-at which a text counts as toxic; scores are shifted so that this is 0.5. The language is guessed from the
-text itself by common function words, so that no column but the text enters a score.
+weighs them. All of it is numpy. The classifier learns from all labelled texts. It starts from a bounded sample (at most `fit_rows`
+different texts of each label and `fit_bytes` bytes of text, in one task) and goes on over every labelled text, whole, in shards of
+about `shard_rows` side by side; a parameter takes the mean of its changes in the shards, each weighing as much as the shard had
+to say about it. A fifth of the texts, by their hash, is held back from that to choose, for each language, the response at which a text counts as
+toxic; scores are shifted so that this is 0.5. The language is guessed from the text itself by common function words, so that no
+column but the text enters a score.
 
-Rows that the sample does not use are zero, so unseen words have no say beyond their beginnings. Texts are scored whole.
+Rows that no labelled text uses are zero, so unseen words have no say beyond their beginnings. Texts are scored whole.
 
 Defined results: null and empty texts score as texts without a word; where the labels hold only one class, all texts get the same
 score, 0 or 1 (0 where there are no labels); a document with several labels is toxic if one says so; null labels are left out; repeated
@@ -24,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, id_text, named, text_bytes
+from ..plans.workspace import written
+from .common import bounded_sample, id_text, named, skew_join, text_bytes, text_parts
 
 #: Common function words, by which the calibration groups are told apart.
 FUNCTION_WORDS = {
@@ -57,6 +60,22 @@ class ToxicityModel:
         self.bias = [np.full(self.filters, 0.02, np.float32) for _ in self.widths]
         self.out = dice.normal(0, 0.5, len(self.widths) * self.filters).astype(np.float32)
         self.offset = 0.0
+        #: Sums of squared steps, by which later steps are shortened; None before and after learning.
+        self.sums: list[np.ndarray] | None = None
+
+    def flat(self, sums: bool = False) -> np.ndarray:
+        """All parameters, or the sums of their squared steps, as rows of eight, those of the embedding first."""
+        parts = self.sums if sums else [self.embedding, *self.kernels, *self.bias, self.out, np.array([self.offset])]
+        flat = np.concatenate([x.ravel().astype(np.float64) for x in parts])
+        return np.concatenate([flat, np.zeros(-len(flat) % 8)]).reshape(-1, 8)
+
+    def add(self, changes: np.ndarray) -> None:
+        """Change all parameters by rows such as `flat` gives."""
+        left = changes.ravel()
+        for x in (self.embedding, *self.kernels, *self.bias, self.out):
+            x += left[: x.size].reshape(x.shape).astype(np.float32)
+            left = left[x.size :]
+        self.offset += float(left[0])
 
     def vectors(self, features: np.ndarray) -> np.ndarray:
         return self.embedding[features].sum(axis=1)
@@ -88,17 +107,23 @@ class ToxicityModel:
         """What each row of the embedding gives to each filter at each of its places."""
         return np.concatenate([self.embedding @ k[j] for k in self.kernels for j in range(len(k))], axis=1)
 
-    def train(self, texts: list[np.ndarray], labels: np.ndarray, features: np.ndarray, epochs: int = 15, least: int = 250, batch: int = 32, rate: float = 0.1, decay: float = 1e-4) -> None:
-        """Adagrad on the logistic loss, for at least `least` steps; both classes weigh the same. Word 0 is the room after the last word."""
-        dice = np.random.default_rng(self.seed + 1)
-        sums = [np.full_like(x, 1e-2) for x in (self.embedding, *self.kernels, *self.bias, self.out)]
-        sums[0][:] = 1e-3
-        offset_sum = 1e-2
-        weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
+    def train(self, texts: list[np.ndarray], labels: np.ndarray, features: np.ndarray, epochs: int = 15, least: int = 250, batch: int = 32, rate: float = 0.1, decay: float = 1e-4,
+              counts: dict[int, int] | None = None) -> None:
+        """Adagrad on the logistic loss, for at least `least` steps; both classes weigh the same, by `counts` if given. Word 0 is the room after the last word.
+
+        A model that has learned before goes on from there. Every text is used `epochs` times at least.
+        """
+        dice, fresh = np.random.default_rng(self.seed + 1), self.sums is None
+        if fresh:
+            self.sums = [np.full_like(x, 1e-2) for x in (self.embedding, *self.kernels, *self.bias, self.out)] + [np.full(1, 1e-2)]
+            self.sums[0][:] = 1e-3
+        sums = self.sums
+        counts = counts or {1: int(labels.sum()), 0: int((1 - labels).sum())}
+        weight = np.where(labels == 1, 0.5 / max(1, counts[1]), 0.5 / max(1, counts[0])) * sum(counts.values())
         texts = [self.padded(t) for t in texts]
         wide, order = max(self.widths) - 1, np.zeros(0, np.int64)
-        for _ in range(max(least, epochs * len(texts) // batch)):
-            if len(order) < min(batch, len(texts)):
+        for _ in range(max(least, epochs * -(-len(texts) // batch))):
+            if not len(order):
                 order = dice.permutation(len(texts))
             chosen, order = order[:batch], order[batch:]
             words = np.concatenate([texts[i] for i in chosen])
@@ -117,7 +142,7 @@ class ToxicityModel:
             hidden = np.concatenate(pooled, axis=1)
             alive = np.maximum(hidden, 0)
             p = 1 / (1 + np.exp(-np.clip(alive @ self.out + self.offset, -30, 30)))
-            error = ((p - labels[chosen]) * weight[chosen] / len(chosen)).astype(np.float32)
+            error = ((p - labels[chosen]) * weight[chosen] / min(batch, len(texts))).astype(np.float32)
             back = error[:, None] * self.out * (hidden > 0)
             changes, bias_changes, moved = [], [], np.zeros_like(vectors)
             touched = []
@@ -146,11 +171,13 @@ class ToxicityModel:
                 sums[k] += bias_change**2
                 self.bias[i] -= 0.1 * rate * bias_change / np.sqrt(sums[k])
             out_step = alive.T @ error + decay * self.out
-            sums[-1] += out_step**2
-            self.out -= rate * out_step / np.sqrt(sums[-1])
+            sums[-2] += out_step**2
+            self.out -= rate * out_step / np.sqrt(sums[-2])
             offset_step = float(error.sum())
-            offset_sum += offset_step**2
-            self.offset -= rate * offset_step / offset_sum**0.5
+            sums[-1] += offset_step**2
+            self.offset -= rate * offset_step / float(sums[-1][0]) ** 0.5
+        if not fresh:
+            return
         seen = np.zeros(self.buckets + 1, bool)
         seen[np.unique(features[np.unique(np.concatenate(texts))])] = True
         self.embedding[~seen] = 0
@@ -208,18 +235,48 @@ def _threshold(responses: np.ndarray, labels: np.ndarray, weight: float) -> floa
     return float((low + high) / 2)
 
 
+def _threshold_of_counts(responses: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """As `_threshold`, of ascending different responses with their numbers of clean and toxic texts."""
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + clean.sum() - np.concatenate([[0], np.cumsum(clean)])
+    best = np.flatnonzero(errors == errors.min())
+    cut = int(best[len(best) // 2])
+    low = responses[cut - 1] if cut else responses[0] - 1
+    high = responses[cut] if cut < len(responses) else responses[-1] + 1
+    return float((low + high) / 2)
+
+
+def labelled(docs: DataFrame, marks: DataFrame, most_marks: int = 500_000) -> DataFrame:
+    """(toxic, text, at, deal) of every document with a mark: hashes of its text, and of its text and identifier. At most `most_marks` marks are sent to the texts, more are met by a shuffle."""
+    texts = docs.where(F.col("doc_id").isNotNull())
+    if marks.limit(most_marks + 1).count() <= most_marks:
+        rows = texts.join(F.broadcast(marks), "doc_id")
+    else:
+        rows = skew_join(texts, written(marks).hint("shuffle_hash"), ["doc_id"], "inner")
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("toxic", text.alias("text"), F.xxhash64(text).alias("at"), F.xxhash64("doc_id", text).alias("deal"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 2000,
-        fit_bytes: int = 16_000_000, calibration_rows: int = 15, **options) -> ToxicityModel:
-    """Fit on the given labels. A language with fewer than `calibration_rows` held-back texts of a class takes the common threshold."""
+        fit_bytes: int = 16_000_000, calibration_rows: int = 15, shard_rows: int = 10_000, **options) -> ToxicityModel:
+    """Fit on the given labels, all of them. A language with fewer than `calibration_rows` held-back texts of a class takes the common threshold."""
     marks = named(labels, doc_id=id_col, toxic=label_col).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    counts = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    # Few enough labels to be sent to every task: twice `fit_rows` a class.
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    thin = F.lit(False)
-    for label, n in counts.items():
-        thin = thin | ((F.col("toxic") == label) & (spread <= F.lit(int(1.5 * fit_rows / n * (1 << 20)))))
-    few = marks.where(thin).orderBy(spread, "doc_id").limit(4 * fit_rows)
-    rows = named(docs, doc_id=id_col, text=text_col).join(F.broadcast(few), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    rows = written(labelled(named(docs, doc_id=id_col, text=text_col), marks))
+    held = F.pmod("at", F.lit(5)) == 0
+    n = {(r.toxic, r.held): r["count"] for r in rows.groupBy("toxic", held.alias("held")).count().collect()}
+    present = {label for label, _ in n}
+    if len(present) < 2:
+        return ToxicityModel(constant=float(max(present, default=0)), **options)
+    # Each part needs both classes; where one lacks them, there are too few texts to hold any back.
+    both = lambda part: {(0, part), (1, part)} <= set(n)
+    taught, asked = rows.where(~held) if both(False) else rows, rows.where(held) if both(True) else rows
+    counts = {label: sum(x for (own, part), x in n.items() if own == label and not (part and both(False))) for label in (0, 1)}
+    model = _refined(taught, _started(taught, counts, fit_rows, fit_bytes, calibration_rows, options), counts, -(-sum(counts.values()) // shard_rows))
+    model.thresholds = _thresholds(asked, model, calibration_rows)
+    return model
+
+
+def _started(rows: DataFrame, counts: dict[int, int], fit_rows: int, fit_bytes: int, calibration_rows: int, options: dict) -> ToxicityModel:
+    """A first model of a bounded sample, trained in one task; the driver only sees the model."""
     sample = bounded_sample(rows, "toxic", fit_rows, fit_bytes)
 
     def train(batches):
@@ -229,15 +286,83 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         given.sort(key=lambda x: xxhash.xxh3_64_intdigest(x[0]))  # the same order whatever the tasks before
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(fitted(given, counts, calibration_rows, **options)))], pa.binary())], names=["model"])
 
-    # One task trains on the bounded sample; the driver only sees the model.
-    learned = sample.select("toxic", "text").coalesce(1).mapInArrow(train, "model binary").first()
-    if learned is None:  # no task ran, as there are no rows
-        return fitted([], counts, **options)
     model = ToxicityModel(**options)
-    vars(model).update(pickle.loads(learned.model))
+    learned = sample.select("toxic", "text").coalesce(1).mapInArrow(train, "model binary").first()
+    known = pickle.loads(learned.model) if learned else {"constant": 0.0}
+    if known["constant"] is None:  # else the sample has one class only, as the other's texts are too long for it
+        vars(model).update(known)
     return model
 
 
+def _refined(rows: DataFrame, model: ToxicityModel, counts: dict[int, int], shards: int) -> ToxicityModel:
+    """The model after one more look at every row. Each shard goes on from the model by itself; sums over shards come back, for each row of `flat`."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    n = model.flat().size // 8
+
+    def changes(batches):
+        import pyarrow as pa
+
+        own, before = pickle.loads(pickle.dumps(shared.value)), shared.value
+        words = _Words(own.buckets)
+        for batch in batches:
+            for part in text_parts(batch, 1, 4 << 20):
+                texts, _ = words.of(text_bytes(part.column(1)))
+                own.train(texts, part.column(0).to_numpy(), words.features, epochs=1, least=0, counts=counts)
+                if len(words) > 200_000:
+                    words = _Words(own.buckets)
+        if own.sums is None:  # no text came
+            return
+        said = own.flat(sums=True) - (before.flat(sums=True) if before.sums else 0)
+        moved = (own.flat() - before.flat()) * said
+        used = np.flatnonzero(said.any(axis=1))
+        columns = [pa.array(x[used, i]) for x in (said, moved) for i in range(8)]
+        yield pa.RecordBatch.from_arrays([pa.array(used), *columns], names=["row", *names])
+
+    names = [f"{kind}{i}" for kind in ("said", "moved") for i in range(8)]
+    # Not by the text alone, of which there may be many copies; in an order that does not depend on how the table is stored.
+    dealt = rows.repartition(shards, "deal").sortWithinPartitions("deal", "at").select("toxic", "text")
+    told = dealt.mapInArrow(changes, "row long, " + ", ".join(f"{c} double" for c in names))
+    total = np.zeros((n, 16))
+    for r in told.groupBy("row").agg(*[F.sum(c).alias(c) for c in names]).collect():
+        total[r.row] = r[1:]
+    shared.unpersist()
+    model.add(np.divide(total[:, 8:], total[:, :8], out=np.zeros((n, 8)), where=total[:, :8] > 0))
+    model.sums = None
+    return model
+
+
+def _thresholds(rows: DataFrame, model: ToxicityModel, calibration_rows: int, steps: int = 256, most: int = 32) -> np.ndarray:
+    """By LANGUAGES, the response that parts the classes best among all rows. Responses are counted in steps of 1 / `steps` up to `most`."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def responses(batches):
+        import pyarrow as pa
+
+        own, words = shared.value, _Words(shared.value.buckets)
+        table = own.responses()
+        for batch in batches:
+            for part in text_parts(batch, 1, 2 << 20):
+                texts, languages = words.of(text_bytes(part.column(1)))
+                found = np.array([own.response(t, words.features, table) for t in texts])
+                at = np.rint(np.clip(found, -most, most) * steps).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(languages, pa.int32()), pa.array(at)], names=["toxic", "language", "at"])
+                if len(words) > 200_000:
+                    words = _Words(own.buckets)
+
+    found = rows.select("toxic", "text").mapInArrow(responses, "toxic int, language int, at long").groupBy("toxic", "language", "at").count().collect()
+    shared.unpersist()
+    grid = np.zeros((len(LANGUAGES), 2 * most * steps + 1, 2), np.int64)
+    for r in found:
+        grid[r.language, r.at + most * steps, r.toxic] = r["count"]
+
+    def parted(counts: np.ndarray) -> float:
+        met = np.flatnonzero(counts.any(axis=1))
+        return _threshold_of_counts(met / steps - most, counts[met, 0], counts[met, 1])
+
+    common = parted(grid.sum(axis=0))
+    return np.array([parted(own) if own.sum(axis=0).min() >= calibration_rows else common for own in grid])
+
+
 def fitted(rows: list[tuple[bytes, int]], counts: dict[int, int], calibration_rows: int = 15, **options) -> ToxicityModel:
     model = ToxicityModel(**options)
     given = np.array([label for _, label in rows], np.int64)

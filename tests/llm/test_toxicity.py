@@ -67,6 +67,32 @@ def test_held_out_documents(spark):
     assert sum((s >= 0.5) == bool(y) for s, y in held) >= 0.96 * len(held)
 
 
+def test_all_labels_are_learned_from(spark, docs):
+    """Most of the words to learn, and of the texts that decide a threshold, are outside the first model's sample."""
+    dice = random.Random(5)
+    bad, plain = [f"slur{i}x" for i in range(60)], [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(2400):
+        toxic = i % 3 == 0
+        text = dice.choices(plain, k=12)
+        text[dice.randrange(12)] = dice.choice(bad) if toxic else "calm"
+        rows.append((i, " ".join(text), int(toxic)))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:1800]], "doc_id long, toxic int")
+    given = docs(*[(i, t) for i, t, _ in rows])
+    found = [toxicity.fit(given.repartition(parts), labels, fit_rows=20, shard_rows=600) for parts in (2, 5)]
+    scorer = toxicity._Scorer(found[0])
+    assert found[0].sums is None and [scorer(t.encode()) for _, t, _ in rows[:50]] == [toxicity._Scorer(found[1])(t.encode()) for _, t, _ in rows[:50]]
+    known = sum(bool(toxicity._Scorer(found[0]).model.embedding[xxhash.xxh3_64_intdigest(w) % found[0].buckets].any()) for w in bad)
+    right = sum((scorer(t.encode()) >= 0.5) == bool(y) for _, t, y in rows[1800:])
+    assert known == 60 and right >= 590
+
+
+def test_many_labels_are_met_by_a_shuffle(spark, docs):
+    given, marks = docs((1, "a"), (1, "b"), (2, None), (3, "c"), (None, "d")), spark.createDataFrame([(1, 1), (2, 0), (4, 1)], "doc_id long, toxic int")
+    few, many = (sorted(map(tuple, toxicity.labelled(given, marks, most).select("toxic", "text").collect())) for most in (3, 2))
+    assert few == many == [(0, ""), (1, "a"), (1, "b")]
+
+
 def plain_score(model, text):
     """The same network with lists and loops, one place of one filter after another, in doubles."""
     marks = toxicity._MARKS
