@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.workspace import written
+
 _ORDER = {"warning": 0, "suggestion": 1, "celebration": 2, "info": 3}
 
 
@@ -89,7 +91,8 @@ def fix_statements(pattern_stats: DataFrame, success: DataFrame) -> DataFrame:
 def regression_summary(regressions: DataFrame) -> DataFrame:
     """(repo, regressions, files, sample): unacknowledged ones, with the first three paths."""
     open_ones = regressions.where(~F.coalesce("acknowledged", F.lit(False)))
-    per_file = open_ones.groupBy("repo", "path").agg(F.count("*").alias("n"))
+    # Stored, as it is read twice and may stand for whole scans.
+    per_file = written(open_ones.groupBy("repo", "path").agg(F.count("*").alias("n")))
     totals = per_file.groupBy("repo").agg(F.sum("n").alias("regressions"), F.count("*").alias("files"))
     # Ranked apart from the totals: a rank limit is applied before the exchange, a rank column is not.
     by_path = Window.partitionBy("repo").orderBy("path")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from seclake.functions.dialect import java_regex, linear_guard
 from seclake.functions.prefilter import _slices
-from seclake.operators import suppression
-from seclake.operators.matching import line_findings, pick_reminders, scan_rules
-from seclake.plans.scan import editor_scan, findings_with_confidence
+from seclake.operators import insights, suppression
+from seclake.operators.matching import line_findings, pattern_table, pick_reminders, scan_rules
+from seclake.plans.scan import editor_scan, findings_with_confidence, scan
+from seclake.queries import corpus, inputs
 from seclake.queries.snippets import SNIPPETS
 from seclake.rules import all_rules
 from seclake.rules.model import Rx
@@ -72,6 +73,29 @@ def test_no_line_is_moved(spark, files):
     assert told(late) == told(early) and 0 < len(told(early)) < len(told(scan_rules(rows, rules)))
 
 
+def test_few_rows_start_no_python_worker_and_what_a_number_tells_is_not_moved(spark, files):
+    rows = files(*[(f"src/{i}.{ext}", text) for i, (_, ext, text) in enumerate(SNIPPETS)])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan(pattern_table(spark, all_rules())) and "ExistingRDD" not in plan(pattern_table(spark, all_rules()))
+    assert "ExistingRDD" not in plan(corpus.code_from(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    moved = re.findall(r"min\(struct\(([^()]*)\)", plan(scan(rows)))
+    assert moved and not any("message" in m or "suggestion" in m for m in moved)
+
+
+def test_the_fix_log_is_dealt_over_the_cores(spark):
+    """One small file of events is one split; the shapes of its lines are made by several tasks all the same."""
+    assert spark.read.parquet("/root/testdata/sf0.01/events.parquet").rdd.getNumPartitions() == 1
+    assert inputs.fix_log(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() > 1
+
+
+def test_regressions_are_summed_from_a_stored_table(spark):
+    """What finds them may be whole scans, which are not to run once for the totals and once for the sample."""
+    found = spark.createDataFrame([("r", f"p{i % 5}", "A", i, i == 7) for i in range(20)], "repo string, path string, code string, line int, acknowledged boolean")
+    told = insights.regression_summary(found)
+    assert tuple(told.first()) == ("r", 19, 5, "p0, p1, p2")
+    assert "acknowledged" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_files_are_stored_some_to_a_folder(spark, tmp_path):
     rows = [(f"doc={i}.txt", None if i == 3 else f"x{i}\n") for i in [*range(25), 7]]
     place = str(tmp_path / "files")
