@@ -28,12 +28,16 @@ def is_secret(code: Column) -> Column:
     return code.startswith("CRED") | code.startswith("AUTH001")
 
 
+#: How the codes begin whose confidence depends on the lines around, too.
+QUERY_CODES = ("SQL", "DB001", "DB002")
+
+
 def is_query(code: Column) -> Column:
-    return code.startswith("SQL") | code.startswith("DB001") | code.startswith("DB002")
+    return reduce(Column.__or__, [code.startswith(c) for c in QUERY_CODES])
 
 
 def static_confidence(code: Column, text: Column, around: Column) -> Column:
-    """`around` holds the two lines before and after, without the line itself."""
+    """`around` holds the two lines before and after, without the line itself. It matters for `QUERY_CODES` only."""
     line = F.trim(text)
     secret = (
         F.when(line.rlike(_LITERAL), F.when(line.rlike(_ENVIRONMENT), "verify-needed").otherwise("critical"))

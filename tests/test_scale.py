@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from seclake.functions.dialect import java_regex, linear_guard
 from seclake.functions.prefilter import _slices
 from seclake.operators import insights, suppression
-from seclake.operators.matching import line_findings, pattern_table, pick_reminders, scan_rules
+from seclake.operators.matching import line_findings, pattern_table, pick_reminders, possible_pairs, scan_rules
+from seclake.plans import scan as scans
 from seclake.plans.scan import editor_scan, findings_with_confidence, scan
 from seclake.queries import corpus, inputs
 from seclake.queries.snippets import SNIPPETS
 from seclake.rules import all_rules
-from seclake.rules.model import Rx
+from seclake.rules.model import ADVISORY, Rx
 from seclake.sources.files import read_files, spread, write_files
 
 
@@ -73,6 +74,24 @@ def test_no_line_is_moved(spark, files):
     assert told(late) == told(early) and 0 < len(told(early)) < len(told(scan_rules(rows, rules)))
 
 
+def test_lines_around_go_with_the_pairs_that_need_them(spark, files, monkeypatch):
+    """They are copied into each pair and sorted with it: seven lines for each pattern that a line could match, if every rule had them."""
+    joined = "\nconst sql = 'select ' + id;\n"
+    rows = files(*[(f"src/{i}.{ext}", (joined + text.replace("\n", joined + "\n")) * (i % 2 + 1)) for i, (_, ext, text) in enumerate(SNIPPETS)])
+    rules, asked = [r for r in all_rules() if r.kind != ADVISORY], []
+    monkeypatch.setattr(scans, "line_findings", lambda f, r, near, *a, **k: asked.append(near) or line_findings(f, r, near, *a, **k))
+    told = lambda: sorted(str(tuple(r)) for r in findings_with_confidence(rows).select("path", "line", "code", "pattern", "confidence").collect())
+    few = told()
+    owner = [r for r in rules for _ in r.match]
+    held = {owner[r.number].code for r in possible_pairs(rows, rules, asked[0]).where("near IS NOT NULL").select("number").distinct().collect()}
+    need = {r.code for r in rules if r.unless_near or r.code.startswith(("SQL", "DB001", "DB002"))}
+    assert held and held <= need < {r.code for r in rules}
+    monkeypatch.setattr(scans, "QUERY_CODES", True)
+    assert told() == few
+    monkeypatch.setattr(scans, "QUERY_CODES", False)
+    assert told() != few and asked[1:] == [True, False]
+
+
 def test_few_rows_start_no_python_worker_and_what_a_number_tells_is_not_moved(spark, files):
     rows = files(*[(f"src/{i}.{ext}", text) for i, (_, ext, text) in enumerate(SNIPPETS)])
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
