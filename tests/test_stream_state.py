@@ -2,11 +2,14 @@
 
 import itertools
 import random
+import re
 
 import pyarrow as pa
 import pytest
 
+from seclake.functions.prefilter import _searcher
 from seclake.queries import QUERIES, inputs
+from seclake.queries.outputs import _stream
 from seclake.streaming.versions import one_row_each, updates
 
 SCANNED = pa.schema([
@@ -81,3 +84,32 @@ def test_files_are_scanned_once_for_old_findings_and_statuses(spark, tmp_path, m
 
     monkeypatch.setattr(inputs, "findings", again)
     assert sorted(map(tuple, QUERIES["str03_verify_stream"](spark, place).collect()), key=str) == wanted != []
+
+
+def test_patterns_of_the_table_are_not_compiled_for_each_row(spark, files):
+    from seclake.operators.matching import pattern_hits
+    from seclake.rules import all_rules
+
+    plan = pattern_hits(files(("src/a.js", "x")), all_rules())._jdf.queryExecution().optimizedPlan().toString()
+    of_table = r"(?:only_paths|skip_paths|info_paths|guard|regex|unless|unless_near)#"
+    assert re.search(rf"regexp_instr\([^()]*, {of_table}", plan) and not re.findall(rf"RLIKE\([^()]*, {of_table}", plan)
+
+
+def test_candidates_come_by_pattern_where_asked():
+    words, free = {"aa": [0 << 2, 2 << 2], "b": [1 << 2 | 3]}, [3 << 2]
+    text = "b aa\nx\naa b"
+    by_line = _searcher(words, free)(text)
+    by_pattern = _searcher(words, free, 2)(text)
+    numbers = lambda marks: [(m >> 20, m >> 2 & 7) for m in marks]
+    assert by_line == sorted(by_pattern)
+    # Numbers 0 and 1 by pattern, those from 2 on by line.
+    assert numbers(by_pattern) == [(0, 0), (2, 0), (0, 1), (2, 1), (0, 2), (0, 3), (1, 3), (2, 2), (2, 3)]
+
+
+def test_a_table_of_one_file_is_streamed_by_several_tasks(spark, tmp_path):
+    place = str(tmp_path / "one")
+    spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").coalesce(1).write.parquet(f"{place}/documents.parquet")
+    got = []
+    stream = _stream(spark, place, "documents").writeStream.foreachBatch(lambda df, n: got.append((df.rdd.getNumPartitions(), df.count())))
+    stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [n for _, n in got] == [50] and got[0][0] >= spark.sparkContext.defaultParallelism
