@@ -17,6 +17,7 @@ from seclake.queries import corpus, inputs
 from seclake.queries.snippets import SNIPPETS
 from seclake.rules import all_rules
 from seclake.rules.model import ADVISORY, Rx
+from seclake.sources import files as files_module
 from seclake.sources.files import read_files, spread, write_files
 
 
@@ -122,3 +123,40 @@ def test_files_are_stored_some_to_a_folder(spark, tmp_path):
     got = sorted((r.path, r.content) for r in read_files(spark, place, "r", includes=["part-"]).collect())
     # Spark's readers leave out files without a byte.
     assert got == sorted((f"part-000000-{i // 10:06d}/{i}-{n}", c) for i, (n, c) in enumerate(rows) if c)
+
+
+def _tree(place):
+    for i, name in enumerate([
+        "a.py", "src/b c+d%20é.js", "src/deep/er/e.ts", "node_modules/f.js", ".hidden/g.js", "src/.h.js", "_i/j.js", "_k=1/l.js", "src/_m.py", "src/_n=2.py", "docs/o.md", "src/empty.js",
+    ]):
+        (place / name).parent.mkdir(parents=True, exist_ok=True)
+        (place / name).write_bytes(b"" if "empty" in name else b"caf\xe9 \n" * (i + 1))
+    (place / "src/linked.js").symlink_to(place / "a.py")
+    (place / "linked").symlink_to(place / "src/deep")
+    (place / "src/broken.js").symlink_to(place / "nowhere.js")
+
+
+def test_tasks_list_and_read_what_sparks_reader_does(spark, tmp_path, monkeypatch):
+    place = tmp_path / "tree"
+    place.mkdir()
+    _tree(place)
+    found = lambda root, **options: sorted(map(tuple, read_files(spark, root, "r", includes=["docs/"], **options).collect()))
+    roots = [str(place), f"file://{place}/", f"file:{place}"]
+    own = [found(r) for r in roots] + [found(roots[0], max_size=20)]
+    plan = read_files(spark, roots[0], "r")._jdf.queryExecution().executedPlan().toString()
+    # The driver holds no list of the files: they come from a stored table.
+    assert "binaryFile" not in plan and "ArrowEvalPython" in plan
+    assert "ArrowEvalPython" not in read_files(spark, roots[0], "r").select("path", "size", "mtime")._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(files_module, "_local_folder", lambda spark, root: None)
+    assert own == [found(r) for r in roots] + [found(roots[0], max_size=20)]
+    assert {r[1] for r in own[0]} == {"a.py", "src/b c+d%20é.js", "src/deep/er/e.ts", "_k=1/l.js", "src/_n=2.py", "docs/o.md", "src/linked.js", "linked/er/e.ts"}
+
+
+def test_many_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    rows = [(f"{i}.py", "x" * 100) for i in range(3000)]
+    place = str(tmp_path / "many")
+    write_files(spark.createDataFrame(rows, "name string, content string").coalesce(2), place, 100)
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert read_files(spark, place, "r").count() == 3000 and read_files(spark, place, "r").rdd.getNumPartitions() <= most
+    monkeypatch.setattr(files_module, "_local_folder", lambda spark, root: None)
+    assert read_files(spark, place, "r").count() == 3000 and read_files(spark, place, "r").rdd.getNumPartitions() <= most
